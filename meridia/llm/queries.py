@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import arrowseq, bestfit, bpefst, tiff
+from meridia.llm import arrowseq, bestfit, bpefst, jaccard, substrings, tiff
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,12 @@ def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    found = jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"), jaccard.Threshold(85, 100, 4))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of at most 2048 tokens."""
     return bestfit.packed(spark, _table(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
@@ -44,10 +50,18 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpefst.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 20-word windows that start earlier as well."""
+    kept = substrings.without_repeats(spark, _table(spark, sf_dir, "documents"), 20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_arrow_sequences": op2_arrow_sequences,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
