@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import arrowseq, bestfit, bpefst, jaccard, substrings, tiff
+from meridia.llm import arrowseq, bestfit, bpefst, hilbert, jaccard, quality, substrings, tiff
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,11 +45,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.packed(spark, _table(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
 
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that aren't held out."""
+    return quality.quality_scores(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE by the transducer, and the ids decoded again."""
     return bpefst.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of each vector whose id is divisible by 100, among all vectors."""
+    return hilbert.nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 20-word windows that start earlier as well."""
     kept = substrings.without_repeats(spark, _table(spark, sf_dir, "documents"), 20)
@@ -61,7 +71,9 @@ QUERIES = {
     "op2_arrow_sequences": op2_arrow_sequences,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_pairwise_quality": op6_pairwise_quality,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}

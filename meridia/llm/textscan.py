@@ -93,10 +93,11 @@ def ngrams(h: np.ndarray, n: int, multiplier: int = 0xD6E8FEB86659FD93) -> np.nd
 
 
 class Words:
-    """The words of a slice of documents, flat: spans, the document of each and each one's first word."""
+    """The words of a slice of documents, flat: the batch's rows, the bytes (one space behind each
+    document), each word's span, each document's first word and where its bytes start."""
 
-    def __init__(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
-        self.rows, self.data, self.starts, self.ends, self.first = rows, data, starts, ends, first
+    def __init__(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, edges: np.ndarray):
+        self.rows, self.data, self.starts, self.ends, self.first, self.edges = rows, data, starts, ends, first, edges
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -135,5 +136,5 @@ def slices(texts: pa.Array, step: int = 1 << 22) -> Iterator[Words]:
         if len(flat) and not space[0]:
             turns = np.concatenate([[0], turns])
         starts, ends = turns[0::2], turns[1::2]
-        yield Words(np.arange(i, k), flat, starts, ends, np.searchsorted(starts, at))
+        yield Words(np.arange(i, k), flat, starts, ends, np.searchsorted(starts, at), at)
         i = k
