@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import arrowseq, bestfit, bpefst, hilbert, jaccard, quality, substrings, tiff
+from meridia.llm import arrowseq, bestfit, bigru, bpefst, hilbert, jaccard, quality, substrings, tiff, urllists
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,60 @@ def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _dated_list(pages: DataFrame) -> DataFrame:
+    """The dated list of op3, by a rule from the hosts of all pages: a quarter of them are added some
+    time in the year, a third of these removed 60 days later and half of those added again after 30
+    more; with them a domain for the second quarter and a folder of every fourth host."""
+    hosts = pages.select(urllists.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    n = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
+    day = lambda shift: F.date_add(F.lit("2024-01-01").cast("date"), n % 200 + shift)
+    event = lambda kind, value, shift, action: F.struct(F.lit(kind).alias("kind"), value.alias("value"), day(shift).alias("listed_on"), F.lit(action).alias("action"))
+    host = F.col("host")
+    added = F.array(event("host", host, 0, "add"), event("folder", F.concat(host, F.lit("/en")), 20, "add"))
+    gone = F.when(n % 3 == 0, F.array(event("host", host, 60, "remove")))
+    back = F.when(n % 6 == 0, F.array(event("host", host, 90, "add")))
+    none = F.slice(added, 1, 0)
+    events = hosts.where(n % 4 == 0).select(F.explode(F.concat(added, F.coalesce(gone, none), F.coalesce(back, none))).alias("e")).select("e.*")
+    fixed = pages.sparkSession.createDataFrame([("domain", "example.net", "2024-04-01", "add"), ("domain", "example.net", "2024-07-01", "remove")], "kind string, value string, listed_on string, action string")
+    return events.union(fixed.withColumn("listed_on", F.to_date("listed_on")))
+
+
+def op3_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched on a day of 2024 that follows from its id, against the list as of that day."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.pmod(F.col("page_id") * 37, F.lit(366))).cast("int")))
+    return urllists.evaluate(captures, _dated_list(pages))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS h,
+         nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/', 1), '') AS folder,
+         DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched_on FROM pages),
+c AS (SELECT page_id, url, regexp_replace(h, '\.$', '') AS host, folder, fetched_on FROM p),
+hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n FROM c WHERE host IS NOT NULL),
+events AS (
+  SELECT 'host' AS kind, host AS value, DATE '2024-01-01' + n % 200 AS d, 'add' AS action FROM hosts WHERE n % 4 = 0
+  UNION ALL SELECT 'folder', host || '/en', DATE '2024-01-01' + (n % 200 + 20), 'add' FROM hosts WHERE n % 4 = 0
+  UNION ALL SELECT 'host', host, DATE '2024-01-01' + (n % 200 + 60), 'remove' FROM hosts WHERE n % 4 = 0 AND n % 3 = 0
+  UNION ALL SELECT 'host', host, DATE '2024-01-01' + (n % 200 + 90), 'add' FROM hosts WHERE n % 4 = 0 AND n % 6 = 0
+  UNION ALL VALUES ('domain', 'example.net', DATE '2024-04-01', 'add'), ('domain', 'example.net', DATE '2024-07-01', 'remove')),
+daily AS (SELECT kind, value, d, max(action) AS action FROM events GROUP BY ALL),
+spans AS (SELECT *, lead(d) OVER (PARTITION BY kind, value ORDER BY d) AS valid_to FROM daily),
+keys AS (
+  SELECT page_id, url, host, fetched_on, 'host' AS kind, host AS value FROM c
+  UNION ALL SELECT page_id, url, host, fetched_on, 'folder', host || '/' || folder FROM c WHERE folder IS NOT NULL
+  UNION ALL SELECT page_id, url, host, fetched_on, 'domain',
+      unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM c WHERE host IS NOT NULL),
+met AS (
+  SELECT k.page_id, k.url, k.host, k.fetched_on, s.kind AS kind, s.value AS value FROM keys k
+  LEFT JOIN spans s ON s.action = 'add' AND s.kind = k.kind AND s.value = k.value AND s.d <= k.fetched_on AND (s.valid_to IS NULL OR k.fetched_on < s.valid_to))
+SELECT page_id, host, fetched_on, count(DISTINCT kind || ':' || value) AS n_active, count(kind) > 0 AS blocked,
+       arg_max(kind || ':' || value, (CASE kind WHEN 'folder' THEN 3 WHEN 'host' THEN 2 ELSE 1 END) * 1000000 + length(value)) FILTER (WHERE kind IS NOT NULL) AS reason
+FROM met GROUP BY page_id, url, host, fetched_on
+"""
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     found = jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"), jaccard.Threshold(85, 100, 4))
@@ -50,6 +104,11 @@ def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by the byte network, trained on those that aren't held out."""
+    return bigru.language_of(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE by the transducer, and the ids decoded again."""
     return bpefst.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
@@ -69,11 +128,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_arrow_sequences": op2_arrow_sequences,
+    "op3_temporal_list_join": op3_temporal_list_join,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_pairwise_quality": op6_pairwise_quality,
+    "op7_byte_gru": op7_byte_gru,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_temporal_list_join": OP3_SQL}

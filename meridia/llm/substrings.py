@@ -290,3 +290,46 @@ def _cut(w: Words, batch: pa.RecordBatch, at: np.ndarray, values: np.ndarray, nu
         removed.append(int(counts[i]) - (hi - lo))
         kept.append(body[place[lo] : place[hi] - 1].decode() if hi > lo else "")
     return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(kept)), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+
+def cut_texts(spark: SparkSession, documents: DataFrame, width: int = 20, group: int = GROUP) -> DataFrame:
+    """The rows of documents with their repeats cut out of ``text``, and ``n_chars`` to match where
+    there is such a column. Texts without repeats stay byte for byte; rows that lose every word
+    go; rows with a null id stay as they are."""
+    spans = repeat_spans(spark, documents, width, group).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    joined = documents.join(spans, documents["doc_id"].cast("long") == spans["__id"], "left").drop("__id")
+    joined = joined.withColumn("text", F.col("text").cast("string"))
+    kept = joined.drop("__spans").schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("__spans")
+            null = np.asarray(spans.is_null())
+            rest = batch.drop_columns(["__spans"])
+            if null.all():
+                yield rest
+                continue
+            at, values = spans.offsets.to_numpy(), spans.values.to_numpy()
+            some = batch.filter(pa.array(~null))
+            texts = []
+            chosen = np.flatnonzero(~null)
+            own = pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text")], names=["doc_id", "text"])
+            sizes = (at[1:] - at[:-1])[chosen]
+            own_at = np.concatenate([[0], np.cumsum(sizes)])
+            own_values = np.concatenate([values[at[i] : at[i + 1]] for i in chosen])
+            none = np.zeros(len(chosen), dtype=bool)
+            for w in slices(own.column("text")):
+                texts += _cut(w, own, own_at, own_values, none).column("kept").to_pylist()
+            whole = batch.column("text").to_pylist()
+            for i, text in zip(chosen.tolist(), texts, strict=True):
+                whole[i] = text
+            column = rest.schema.get_field_index("text")
+            changed = rest.set_column(column, "text", pa.array(whole, pa.string()))
+            stays = np.ones(batch.num_rows, dtype=bool)
+            stays[[i for i, text in zip(chosen.tolist(), texts, strict=True) if not text]] = False
+            yield changed.filter(pa.array(stays))
+
+    out = joined.mapInArrow(cut, kept)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(kept["n_chars"].dataType))
+    return out.select(documents.columns)
