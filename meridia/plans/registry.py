@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    from meridia.plans import formulas  # noqa: F401
