@@ -286,18 +286,18 @@ def random_tree(space: Space, rng: random.Random, levels: int = 4) -> Node:
 
 
 def point_mutate(n: Node, space: Space, rng: random.Random) -> Node:
-    """One node's contents exchanged for another of its class; the shape stays."""
+    """One node's contents exchanged for others of its class; the shape stays."""
+    other = lambda options, own: rng.choice([o for o in options if o != own] or [own])
     path, m = rng.choice(list(walk(n)))
     if m.op == "feature":
-        new = feature(rng.choice(space.features))
+        new = feature(other(space.features, m.params[0]))
     elif m.op == "const":
-        new = const(rng.choice(space.constants))
+        new = const(other(space.constants, m.params[0]))
     elif m.params and rng.random() < 0.5:
-        new = Node(m.op, m.children, (rng.choice(space.windows), *m.params[1:]))
+        new = Node(m.op, m.children, (other(space.windows, m.params[0]), *m.params[1:]))
     else:
         kind = space.rolling if m.params else space.plain
-        same = [op for op, arity in kind if arity == len(m.children)] or [m.op]
-        new = Node(rng.choice(same), m.children, m.params)
+        new = Node(other([op for op, arity in kind if arity == len(m.children)], m.op), m.children, m.params)
     return replace(n, path, new)
 
 

@@ -71,6 +71,14 @@ def average_rank(x: Column, over_order, over_all) -> Column:
     return F.rank().over(over_order) + (F.count(F.lit(1)).over(over_all) - 1) / 2
 
 
+def correlation(x: Column, y: Column, w=None) -> Column:
+    """Correlation, null where a side doesn't vary (the built-in raises there under ANSI)."""
+    over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    sx, sy = over(F.stddev_pop(x)), over(F.stddev_pop(y))
+    vary = (sx > 1e-9) & (sy > 1e-9)
+    return F.when(vary, over(F.covar_pop(x, y)) / F.when(vary, sx * sy))
+
+
 # --- Dialect of the mining trees: every node is bounded; windows restart with the segment ----------
 
 def _unary(f):
@@ -368,7 +376,7 @@ INFIX = Dialect(
         "TS_ARGMIN": _short(lambda p, x, n: _since_first(p, x, n, F.array_min, 0)),
         "HIGHDAY": _short(lambda p, x, n: _since_first(p, x, n, F.array_max, 1)),
         "LOWDAY": _short(lambda p, x, n: _since_first(p, x, n, F.array_min, 1)),
-        "TS_CORR": _short(lambda p, x, y, n: _at_least(2, x, F.when((F.stddev_pop(x).over(p.last(n)) > 1e-9) & (F.stddev_pop(y).over(p.last(n)) > 1e-9), F.corr(x, y).over(p.last(n))), p.last(n)), 2),
+        "TS_CORR": _short(lambda p, x, y, n: _at_least(2, x, correlation(x, y, p.last(n)), p.last(n)), 2),
         "TS_COVARIANCE": _short(lambda p, x, y, n: _at_least(2, x, F.covar_samp(x, y).over(p.last(n)), p.last(n)), 2),
         "TS_STD": _short(lambda p, x, n: F.stddev_samp(x).over(p.last(n)), default=20),
         "TS_VAR": _short(lambda p, x, n: F.var_samp(x).over(p.last(n))),

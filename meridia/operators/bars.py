@@ -237,7 +237,7 @@ def seasonal_profile(df: DataFrame, keys: list[str], day: str, slot: str, x: str
     w = Window.partitionBy(*keys, slot).orderBy("__k").rangeBetween(-days, -1)
     med = each.withColumn("m", F.when(F.count("a").over(w) >= least, F.percentile("a", 0.5).over(w)))
     mean = F.avg("m").over(Window.partitionBy(*keys, day))
-    return med.select(*keys, day, slot, F.when(mean > 0, F.greatest(F.lit(floor), F.col("m") / F.when(mean > 0, mean))).alias("profile"))
+    return med.select(*keys, day, slot, F.when(F.col("m").isNotNull() & (mean > 0), F.greatest(F.lit(floor), F.col("m") / F.when(mean > 0, mean))).alias("profile"))
 
 
 def variable_lag_sum(df: DataFrame, panel: Panel, x: str, lag: str, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Recurrences that no window frame expresses: one Arrow pass per series.
+"""Recurrences that no window frame expresses: one Arrow pass over sorted series.
 
 A series is read in order by one task and needs a few numbers of state; use segments in the series
 key where a series may be long.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from meridia.functions.compile import Panel
@@ -46,27 +47,49 @@ def ewm_varying(x: np.ndarray, halflife: np.ndarray) -> np.ndarray:
     return out
 
 
-def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+def _doubles(column) -> np.ndarray:
     return np.asarray(column.cast(pa.float64()).to_pandas(), dtype=float)
 
 
 def per_series(df: DataFrame, panel: Panel, inputs: list[str], outputs: dict[str, object], function) -> DataFrame:
     """Adds columns: ``function`` gets the inputs of one series in order, as double arrays with NaN for
-    null, and returns an array per output."""
+    null, and returns an array per output. Partitions hold whole series, sorted; they stream through,
+    and one series at a time is in memory."""
     schema = StructType([*df.schema.fields, *(StructField(k, t) for k, t in outputs.items())])
-    order = [(c, "ascending") for c in panel.order]
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        made = function(*[_doubles(table[c]) for c in inputs])
-        for (name, kind), values in zip(outputs.items(), made, strict=True):
-            if isinstance(kind, IntegerType):
-                table = table.append_column(name, pa.array(values, pa.int32()))
-            else:
-                table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+    keyed = df.withColumn("__series", F.xxhash64(*panel.series))
+    dealt = keyed.repartition(*panel.series).sortWithinPartitions(*panel.series, *panel.order)
+
+    def finish(table: pa.Table) -> pa.Table:
+        key = table["__series"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        columns = [_doubles(table[c]) for c in inputs]
+        parts = [function(*[c[lo:hi] for c in columns]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        table = table.drop_columns(["__series"])
+        for k, (name, kind) in enumerate(outputs.items()):
+            values = np.concatenate([p[k] for p in parts])
+            whole = isinstance(kind, IntegerType)
+            table = table.append_column(name, pa.array(values, pa.int32() if whole else pa.float64(), from_pandas=not whole))
         return table
 
-    return df.groupBy(*panel.series).applyInArrow(run, schema)
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("__series").to_numpy()
+            if held and held[-1].column("__series")[-1].as_py() != key[0]:
+                yield from finish(pa.Table.from_batches(held)).to_batches()
+                held = []
+            # the last series of a batch may go on in the next
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            if last:
+                yield from finish(pa.Table.from_batches([*held, batch.slice(0, last)])).to_batches()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from finish(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def exponential(df: DataFrame, source: str, target: str, panel: Panel, kind: str, number: float) -> DataFrame:
