@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles of A-Z-
 Documents with equal sets form a class; the smallest id stands for it. Tokens are ordered rare
 first, by a count over all documents with a fixed number of hash cells (the order affects cost,
 never results). Each representative sends its prefix of n - ceil(t n) + 1 tokens; two sets with
-similarity t or more share one of them. Candidates pass the length and positional filters, then
-each pair is verified once, with a suffix filter before the full intersection.
+similarity t or more share one of them. Candidates pass the length and positional filters and
+a suffix filter on counts of each set's tokens in ``BINS`` parts of the hash range; then each pair
+is verified once, with the suffix filter by halves before the full intersection.
 
 A group of near copies shares its prefix tokens, so all its pairs would be candidates. The join
 therefore goes in two rounds. First each token's documents are compared with the smallest of
@@ -29,9 +30,11 @@ from meridia.llm.components import components
 from meridia.llm.textscan import Lane, U, Words, mix, ngrams, slices
 from meridia.llm.workspace import Workspace, texts_by_id
 
-#: Hash cells of the document-frequency count, as a power of two: 2 MB whatever the input.
-CELL_BITS = 18
-BLOCK = 4096
+#: Hash cells of the document-frequency count, as a power of two: 8 MB whatever the input.
+CELL_BITS = 20
+BLOCK = 1 << 14
+#: Parts of the hash range whose token counts bound an intersection.
+BINS = 128
 _LANE = Lane(11, fold=True)
 
 
@@ -81,51 +84,61 @@ def _prints(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def _bins(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Tokens of each set by their low bits, (sets, BINS); counts beyond uint16 stop there, which
+    only the filter's caller must know (see ``_bounded``)."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    counts = np.bincount(owner * BINS + (flat & U(BINS - 1)).astype(np.int64), minlength=(len(bounds) - 1) * BINS)
+    return np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BINS)
+
+
 def _scan(docs: DataFrame, t: Threshold) -> DataFrame:
-    """A row (doc_id, n, f1, f2) per document and, of each task, its cell counts in blocks."""
+    """A row (doc_id, n, f1, f2, bins) per document and, of each task, its cell counts in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "f1", "f2", "block", "counts"]
+        cells = np.zeros(1 << CELL_BITS, dtype=np.int32)
+        names = ["doc_id", "n", "f1", "f2", "bins", "block", "counts"]
         for batch in batches:
             for w in slices(batch.column("text")):
                 flat, bounds = shingle_sets(w, t.words)
-                cells += np.bincount((flat >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+                cells += np.bincount((flat >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
                 f1, f2 = _prints(flat, bounds)
                 m = len(w.rows)
+                bins = _bins(flat, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(w.rows[0], m), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
+                    [batch.column("doc_id").slice(w.rows[0], m), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([b.tobytes() for b in bins], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
                 )
         if cells.any():
             blocks = cells.reshape(-1, BLOCK)
             m = len(blocks)
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(m), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bins binary, block int, counts binary")
 
 
 def _cells(scanned: DataFrame) -> np.ndarray:
-    """Document frequency by hash cell, summed over all tasks: a fixed 64 rows reach the driver."""
+    """Document frequency by hash cell, summed over all tasks: a fixed 64 rows of 128 KB reach the driver, one at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(c, dtype=np.int64)
+                part = np.frombuffer(c, dtype=np.int32).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
     parts = scanned.where("block is not null").select("block", "counts")
     summed = parts.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     cells = np.zeros((1 << CELL_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
     for row in summed.toLocalIterator():
-        cells[row.block] += np.frombuffer(row.counts, dtype=np.int64)
+        cells[row.block] += np.frombuffer(row.counts, dtype=np.int32)
     return cells.reshape(-1)
 
 
 def _prefixes(docs: DataFrame, t: Threshold, cells) -> DataFrame:
-    """(token, doc_id, n, pos): the prefix tokens of one document of each set in a batch."""
+    """(token, print, doc_id, n, pos): the prefix tokens of one document of each set in a task, with half
+    the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = cells.value
@@ -138,7 +151,7 @@ def _prefixes(docs: DataFrame, t: Threshold, cells) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 df = frequency[(flat >> U(64 - CELL_BITS)).astype(np.int64)]
-                tokens, docs_, sizes, places = [], [], [], []
+                tokens, prints, docs_, sizes, places = [], [], [], [], []
                 order = np.argsort(ids[w.rows], kind="stable")
                 for i in order.tolist():
                     lo, hi = bounds[i], bounds[i + 1]
@@ -151,13 +164,14 @@ def _prefixes(docs: DataFrame, t: Threshold, cells) -> DataFrame:
                     own = flat[lo:hi]
                     rare = np.lexsort((own, df[lo:hi]))[:p]
                     tokens.append(own[rare])
+                    prints.append(np.full(p, f1[i]))
                     docs_.append(np.full(p, ids[w.rows[i]]))
                     sizes.append(np.full(p, n, dtype=np.int32))
                     places.append(np.arange(p, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "doc_id", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "print", "doc_id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return docs.mapInArrow(run, "token long, print long, doc_id long, n int, pos int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -192,7 +206,9 @@ def _shared(prefixes: DataFrame) -> DataFrame:
                     names=["token", "doc_id", "n", "pos", "hub", "hub_n", "hub_pos"],
                 )
 
-    grouped = prefixes.repartition("token").sortWithinPartitions("token", "doc_id")
+    # copies that different tasks sent become one row where they meet, without a further shuffle
+    once = prefixes.repartition("token").groupBy("token", "print").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("pos").alias("pos"))
+    grouped = once.select("token", "doc_id", "n", "pos").sortWithinPartitions("token", "doc_id")
     return grouped.mapInArrow(run, "token long, doc_id long, n int, pos int, hub long, hub_n int, hub_pos int")
 
 
@@ -214,7 +230,26 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return overlap_bound(a[:i], b[:j], depth - 1) + overlap_bound(a[i:], b[j:], depth - 1)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, t: Threshold, space: Workspace, step: str) -> DataFrame:
+def _bounded(pairs: DataFrame, bins: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (u, v) that the suffix filter on counts lets through. A full count bounds nothing, so it
+    counts as the smaller whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BINS).astype(np.int64) for c in ("a", "b"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            least = np.where((a == 65535) & (b == 65535), np.minimum(na, nb)[:, None], np.minimum(a, b)).sum(axis=1)
+            keep = least >= t.overlap(na, nb)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
+
+    a = bins.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("bins").alias("a"))
+    b = bins.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("bins").alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _verified(docs: DataFrame, bins: DataFrame, pairs: DataFrame, t: Threshold, space: Workspace, step: str) -> DataFrame:
     """The pairs (u, v) whose sets link. Only documents of some pair are scanned again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +270,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: Threshold, space: Workspace,
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(us[keep]), pa.array(vs[keep])], names=["u", "v"])
 
+    pairs = space.write(_bounded(pairs, bins, t), f"{step}-bounded")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     wanted = space.write(docs.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary"), f"{step}-sets")
     a = wanted.select(F.col("doc_id").alias("u"), F.col("own").alias("a"))
     b = wanted.select(F.col("doc_id").alias("v"), F.col("own").alias("b"))
     links = space.write(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), f"{step}-links")
-    space.drop(f"{step}-sets")
+    space.drop(f"{step}-sets", f"{step}-bounded")
     return links
 
 
@@ -268,11 +304,12 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold |
     tokens = shared.join(as_class, "doc_id").select("token", F.col("class_id").alias("u"), "n", "pos", "hub", "hub_n", "hub_pos")
     tokens = tokens.join(as_class.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("hub_class")), "hub")
     tokens = space.write(tokens.select("token", "u", "n", "pos", F.col("hub_class").alias("v"), F.col("hub_n").alias("vn"), F.col("hub_pos").alias("vpos")).distinct(), "tokens")
-    space.drop("shared", "scan")
+    space.drop("shared")
+    bins = scanned.where("block is null").select("doc_id", "n", "bins")
 
     near = tokens.where((F.col("u") != F.col("v")) & _may_link(t, F.col("n"), F.col("pos"), F.col("vn"), F.col("vpos")))
     pairs = space.write(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs1")
-    links1 = _verified(docs, pairs, t, space, "first")
+    links1 = _verified(docs, bins, pairs, t, space, "first")
     roots = components(links1, space, "c1")
 
     # tokens whose documents lie in more than one component
@@ -288,7 +325,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold |
     again = space.write(again, "pairs2")
     links = links1
     if not again.isEmpty():
-        links = space.write(links1.union(_verified(docs, again, t, space, "second")), "links")
+        links = space.write(links1.union(_verified(docs, bins, again, t, space, "second")), "links")
         roots = components(links, space, "c2")
     degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     out = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(degree, "class_id", "left")
