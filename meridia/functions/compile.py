@@ -92,9 +92,9 @@ def compile_formulas(df: DataFrame, formulas: dict[str, Node], dialect: Dialect,
             if op.windowed:
                 # window functions don't nest: arguments come first
                 kids = [k if c.op in ("feature", "const") else stage(k) for k, c in zip(kids, n.children, strict=True)]
-            made = dialect.finish(op.make(panel, kids, n.params))
-            if op.windowed:
-                made = stage(made)
+            made = op.make(panel, kids, n.params)
+            # staged before the finish, which reads its argument several times
+            made = dialect.finish(stage(made) if op.windowed else made)
         staged[key] = made
         return made
 

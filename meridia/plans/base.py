@@ -57,16 +57,17 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as monthly prices of twelve instruments."""
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / 1000
+    r4 = lambda c: F.round(c + F.lit(3.17e-6), 4)  # noqa: E731  off decimal ties
     out = li.groupBy(F.trunc("l_shipdate", "month").alias("date"), (F.col("l_suppkey") % 12).alias("instrument")).agg(
-        F.round(F.avg(price), 4).alias("close"), F.round(F.avg(price * (1 - F.col("l_discount"))), 4).alias("open"), F.round(F.max(price), 4).alias("high"),
-        F.round(F.min(price), 4).alias("low"), F.round(F.sum("l_quantity") / 100, 4).alias("volume"),
+        r4(F.avg(price)).alias("close"), r4(F.avg(price * (1 - F.col("l_discount")))).alias("open"), r4(F.max(price)).alias("high"),
+        r4(F.min(price)).alias("low"), r4(F.sum("l_quantity") / 100).alias("volume"),
     )
     return out
 
 
 MONTHS_SQL = """months AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_suppkey % 12 AS instrument,
-  round(avg(l_extendedprice / 1000), 4) AS close, round(avg(l_extendedprice / 1000 * (1 - l_discount)), 4) AS open,
-  round(max(l_extendedprice / 1000), 4) AS high, round(min(l_extendedprice / 1000), 4) AS low, round(sum(l_quantity) / 100, 4) AS volume
+  round(avg(l_extendedprice / 1000) + 3.17e-6, 4) AS close, round(avg(l_extendedprice / 1000 * (1 - l_discount)) + 3.17e-6, 4) AS open,
+  round(max(l_extendedprice / 1000) + 3.17e-6, 4) AS high, round(min(l_extendedprice / 1000) + 3.17e-6, 4) AS low, round(sum(l_quantity) / 100 + 3.17e-6, 4) AS volume
   FROM lineitem GROUP BY ALL)"""
 
 

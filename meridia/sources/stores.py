@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 PRICES = "date date, symbol string, open double, high double, low double, close double, volume double, turnover double, vwap double, return_pct double, turnover_rate double"
 EDGES = "asof_date date, leader string, follower string, lag_bars smallint, strength float, sign tinyint, a_stat float, p_value float, q_value float, family string, n_eff bigint, stability float, half_life float, regime_flags string, window_start date, window_end date, config_hash string"
@@ -50,7 +50,7 @@ class PriceStore:
         schema = StructType.fromDDL(PRICES)
         if not _exists(self.spark, self.root):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(StructType([*schema.fields]).add("year", "int")).parquet(self.root)
+        df = self.spark.read.schema(StructType([*schema.fields]).add("year", IntegerType())).parquet(self.root)
         if start:
             df = df.where((F.col("year") >= int(start[:4])) & (F.col("date") >= F.lit(start).cast("date")))
         if end:
