@@ -3,10 +3,11 @@
 A window is ``width`` consecutive words of one document. Every word covered by a window whose word
 sequence also starts earlier (in a smaller document id, or in the same document before) goes.
 
-Which suffixes can repeat at all is found first: of the 8-word grams inside a window the one with
+A document whose whole word sequence a smaller id has as well loses every word, and takes no further
+part. Which suffixes of the others can repeat at all is found next: of the 8-word grams inside a window the one with
 the smallest hash is its anchor, so equal windows have equal anchors, and a window can repeat in
-another document only if its anchor occurs in two. Only suffixes with such an anchor go on, each
-as the hashes of its first 5, 10 and ``width`` words. Repeats inside a document and inside a batch
+another document only if its anchor occurs in two different ones. Only suffixes with such an anchor go on, each
+as the hashes of its first 5, 10 and ``width`` words (128 bits in all). Repeats inside a document and inside a batch
 are settled where they are read, so of a passage however common each task sends one suffix.
 
 The suffixes are dealt to memory-sized groups by variable-length prefixes: by 5 words, and where
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.textscan import Lane, Words, ngrams, slices
+from meridia.llm.textscan import Lane, U, Words, mix, ngrams, slices
 from meridia.llm.workspace import Workspace, texts_by_id
 
 GRAM = 8
 PREFIXES = (5, 10)
 GROUP = 100_000
 _LANE = Lane(23)
-SUFFIX = "doc_id long, start int, stop int, p5 long, p10 long, p20 long"
+SUFFIX = "doc_id long, start int, stop int, p5 int, p10 int, p20 long"
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -54,8 +55,49 @@ def window_anchors(h: np.ndarray, width: int, gram: int = GRAM) -> np.ndarray:
     return sliding_min(g, n) if len(g) >= n else g[:0]
 
 
+class SequencePrints:
+    """Order-sensitive 64-bit fingerprints of each document's word sequence, by prefix sums."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.salt = U(int(rng.integers(1, 1 << 62)))
+        self.base = U((int(rng.integers(1, 1 << 61)) << 3) | 5)
+        self.inverse = U(pow(int(self.base), -1, 1 << 64))
+
+    def of(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate([[U(1)], np.full(len(h), self.base)]), dtype=np.uint64)
+            back = np.cumprod(np.concatenate([[U(1)], np.full(len(h), self.inverse)]), dtype=np.uint64)
+            sums = np.concatenate([[U(0)], np.cumsum(mix(h ^ self.salt) * power[:-1], dtype=np.uint64)])
+            return (mix((sums[first[1:]] - sums[first[:-1]]) * back[first[:-1]])).view(np.int64)
+
+
+_PRINTS = (SequencePrints(41), SequencePrints(43))
+
+
+def _sequences(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, f1, f2) of the documents that hold a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in slices(batch.column("text")):
+                h = _LANE.words(w.data, w.starts, w.ends)
+                keep = pa.array(w.counts() >= width)
+                columns = [batch.column("doc_id").slice(w.rows[0], len(w.rows)), pa.array(w.counts(), pa.int64()), *(pa.array(p.of(h, w.first)) for p in _PRINTS)]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["doc_id", "n", "f1", "f2"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+
+
+def _copies(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n) of documents whose word sequence a smaller id has."""
+    own = _sequences(docs, width)
+    first = own.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
+    return own.join(first, ["f1", "f2", "n"]).where("doc_id > first").select("doc_id", "n")
+
+
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, doc_id), once per document."""
+    """(anchor, print, doc_id), once per document; the print is the same for equal word sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +105,8 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
             for w in slices(batch.column("text")):
                 h = _LANE.words(w.data, w.starts, w.ends)
                 all_anchors = window_anchors(h, width)
-                found, who = [], []
+                prints = _PRINTS[0].of(h, w.first)
+                found, who, same = [], [], []
                 for i, (lo, n) in enumerate(zip(w.first.tolist(), w.counts().tolist(), strict=False)):
                     if n < width:
                         continue
@@ -71,14 +114,16 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
                     a = np.unique(a[np.concatenate([[True], a[1:] != a[:-1]])])
                     found.append(a)
                     who.append(np.full(len(a), ids[w.rows[i]]))
+                    same.append(np.full(len(a), prints[i]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(who))], names=["anchor", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(same)), pa.array(np.concatenate(who))], names=["anchor", "print", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(run, "anchor long, print long, doc_id long")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
-    """Rows of anchors that two or more rows have; a run of equal anchors streams through."""
+    """(anchor, doc_id) of anchors that two or more different sequences have, the smallest id of each;
+    a run of equal anchors streams through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -99,7 +144,8 @@ def _repeated(anchors: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(doc[keep])], names=["anchor", "doc_id"])
 
-    return anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, doc_id long")
+    once = anchors.repartition("anchor").groupBy("anchor", "print").agg(F.min("doc_id").alias("doc_id")).select("anchor", "doc_id")
+    return once.sortWithinPartitions("anchor").mapInArrow(run, "anchor long, doc_id long")
 
 
 def _spans(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +209,7 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
             if len(firsts):
                 s, m = at[firsts], len(firsts)
                 start = (s - base[firsts]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[firsts]), pa.array(start), pa.array(start), *(pa.array(p[s].view(np.int64)) for p in (*prefix, full))], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[firsts]), pa.array(start), pa.array(start), *(pa.array((p[s] >> U(32)).astype(np.uint32).view(np.int32)) for p in prefix), pa.array(full[s].view(np.int64))], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
         if settled:
             docs_, lows, highs = [], [], []
             for doc_id, starts in settled:
@@ -172,8 +218,8 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
                 lows.append(lo)
                 highs.append(hi)
             docs_, lows, highs = np.concatenate(docs_), np.concatenate(lows).astype(np.int32), np.concatenate(highs).astype(np.int32)
-            none = pa.nulls(len(docs_), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(lows), pa.array(highs), none, none, none], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
+            none = pa.nulls(len(docs_), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(lows), pa.array(highs), none, none, pa.nulls(len(docs_), pa.int64())], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
 
     return docs.mapInArrow(run, SUFFIX)
 
@@ -185,7 +231,7 @@ def _grouped(suffixes: DataFrame, group: int) -> DataFrame:
     with5 = suffixes.join(F.broadcast(hot5), "p5", "left")
     hot10 = suffixes.join(F.broadcast(hot5), "p5", "left_semi").groupBy("p5", "p10").count().where(F.col("count") > group).select("p5", "p10", F.lit(True).alias("h10"))
     with10 = with5.join(F.broadcast(hot10), ["p5", "p10"], "left")
-    prefix = F.when(F.col("h10"), F.xxhash64("p5", "p10", "p20")).when(F.col("h5"), F.xxhash64("p5", "p10")).otherwise(F.col("p5"))
+    prefix = F.when(F.col("h10"), F.xxhash64("p5", "p10", "p20")).when(F.col("h5"), F.xxhash64("p5", "p10")).otherwise(F.xxhash64("p5"))
     return with10.select("doc_id", "start", "p5", "p10", "p20", prefix.alias("prefix"))
 
 
@@ -220,12 +266,13 @@ def repeat_spans(spark: SparkSession, documents: DataFrame, width: int = 20, gro
     docs = texts_by_id(documents)
     repeated = _repeated(_anchors(docs, width))
     lists = space.write(repeated.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
-    with_lists = docs.join(lists, "doc_id", "left")
+    copies = space.write(_copies(docs, width), "copies")
+    with_lists = docs.join(copies.select("doc_id"), "doc_id", "left_anti").join(lists, "doc_id", "left")
     found = space.write(_suffixes(with_lists, width), "suffixes")
     space.drop("anchors")
     across = _tree_repeats(_grouped(found.where("p20 is not null"), group)).select("doc_id", "start", F.col("start").alias("stop"))
     inside = found.where("p20 is null").select("doc_id", "start", "stop")
-    runs = across.union(inside).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = across.union(inside).union(copies.select("doc_id", F.lit(0).alias("start"), (F.col("n") - width).cast("int").alias("stop"))).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
