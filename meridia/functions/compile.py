@@ -8,12 +8,12 @@ formulas is one plan over one scan and one sort.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.expr import FormulaError, Node, canonical
+from meridia.functions.expr import FormulaError, Node, canonical, expand
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class Dialect:
     operators: dict[str, Operator]
     finish: Callable[[Column], Column] = staticmethod(lambda c: c)
     sequential: frozenset[str] = frozenset()
+    macros: dict = field(default_factory=dict)
 
 
 def compile_formulas(df: DataFrame, formulas: dict[str, Node], dialect: Dialect, panel: Panel) -> DataFrame:
@@ -98,6 +99,6 @@ def compile_formulas(df: DataFrame, formulas: dict[str, Node], dialect: Dialect,
         staged[key] = made
         return made
 
-    built = {name: build(tree) for name, tree in formulas.items()}
+    built = {name: build(expand(tree, dialect.macros)) for name, tree in formulas.items()}
     out = state["df"]
     return out.select(*df.columns, *[c.alias(name) for name, c in built.items()])

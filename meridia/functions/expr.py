@@ -263,6 +263,12 @@ def lift_parameters(n: Node, windows: dict[str, int]) -> Node:
     return Node(n.op, kids[:k], n.params + whole)
 
 
+def expand(n: Node, macros: dict[str, object]) -> Node:
+    """Replaces operators that are written in terms of others."""
+    n = Node(n.op, tuple(expand(c, macros) for c in n.children), n.params)
+    return expand(macros[n.op](n), {k: v for k, v in macros.items() if k != n.op}) if n.op in macros else n
+
+
 # --- Random trees and their mutation ------------------------------------------------------------
 
 @dataclass(frozen=True)

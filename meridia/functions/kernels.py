@@ -12,6 +12,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.compile import Dialect, Operator, Panel
+from meridia.functions.expr import Node, call, const
 
 LIMIT = 1e6
 
@@ -235,6 +236,23 @@ DAILY = Dialect(
 )
 
 
+def _macd(n: Node) -> Node:
+    """Difference of two exponential averages."""
+    short, long = n.params[:2] if len(n.params) > 1 else (12, 26)
+    x = n.children[0]
+    return call("SUBTRACT", call("EMA", x, params=(short,)), call("EMA", x, params=(long,)))
+
+
+def _rsi(n: Node) -> Node:
+    """100 - 100 / (1 + average rise / average fall); without falls, 100."""
+    span = n.params[:1] or (14,)
+    change = call("DELTA", n.children[0], params=(1,))
+    up = call("EMA", call("MAX", change, const(0)), params=span)
+    down = call("EMA", call("MAX", call("NEG", change), const(0)), params=span)
+    share = call("DIVIDE", up, call("ADD", up, down))
+    return call("MULTIPLY", const(100), share)
+
+
 # --- Library of infix formulas: windows of what there is; cross-sections by date --------------------
 
 def _series_all(p: Panel, x: Column, f) -> Column:
@@ -397,9 +415,10 @@ INFIX = Dialect(
         "EMA": Operator(lambda p, k, a: ("adjusted", 2.0 / (int(a[0]) + 1)), 1, True, 1),
     },
     sequential=frozenset({"SMA", "EMA"}),
+    macros={"MACD": _macd, "RSI": _rsi},
 )
 #: Series that an operator takes; what follows them in a call are numbers.
-INFIX_SERIES = {name: op.series for name, op in INFIX.operators.items() if op.windowed}
+INFIX_SERIES = {name: op.series for name, op in INFIX.operators.items() if op.windowed} | {"MACD": 1, "RSI": 1}
 DAILY_SERIES = {name: op.series for name, op in DAILY.operators.items() if op.windowed}
 
 

@@ -99,3 +99,31 @@ def reindex(df: DataFrame, days: DataFrame, key: str, day: str) -> DataFrame:
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).union(b.exceptAll(a)).distinct()
+
+
+def monthly_edges(edges: DataFrame, k: int = 3, max_age: int = 45, q_max: float = 0.1, least_stability: float = 0.0) -> DataFrame:
+    """(month, follower, rank, leader, lag_bars, strength): the k leaders of each follower as known
+    before each month's first day. An edge is copied to the few months it is fresh in, so months and
+    edges meet by equality."""
+    days = F.sequence(F.trunc(F.add_months("asof_date", 1), "month"), F.trunc(F.date_add("asof_date", max_age), "month"), F.expr("interval 1 month"))
+    reach = F.trunc(F.date_add("asof_date", max_age), "month") > F.trunc("asof_date", "month")
+    fresh = edges.where(reach).withColumn("month", F.explode(days)).where((F.col("asof_date") < F.col("month")) & (F.col("asof_date") >= F.date_sub("month", max_age)))
+    newest = Window.partitionBy("month", "leader", "follower").orderBy(F.desc("asof_date"), F.desc("config_hash"))
+    known = fresh.withColumn("__r", F.row_number().over(newest)).where("__r = 1").where((F.col("q_value") <= q_max) & (F.coalesce("stability", F.lit(0.0)) >= least_stability))
+    place = Window.partitionBy("month", "follower").orderBy(F.desc(F.abs("a_stat")), "leader")
+    return known.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("month", "follower", "rank", "leader", "lag_bars", "strength")
+
+
+def leader_terminals(panel: DataFrame, edges: DataFrame, rank: int) -> DataFrame:
+    """panel (product, row, month, x, oi_chg, stale) with the columns of its leader of a rank: lead_ret
+    (sum of the leader's x over its last lag_bars rows, 0 until there are as many), lead_oi_chg,
+    lead_stale and ll_strength; 0 without a leader. Sums are prefix sums met on the row they start from."""
+    w = Window.partitionBy("product").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    sums = panel.select(F.col("product").alias("leader"), "row", F.sum(F.coalesce("x", F.lit(0.0))).over(w).alias("__s"), F.col("oi_chg").alias("lead_oi_chg"), F.col("stale").alias("lead_stale"))
+    own = edges.where(F.col("rank") == rank).select("month", F.col("follower").alias("product"), "leader", "lag_bars", F.col("strength").alias("ll_strength"))
+    met = panel.join(own, ["month", "product"], "left").join(sums, ["leader", "row"], "left")
+    start = sums.select("leader", (F.col("row")).alias("__row0"), F.col("__s").alias("__s0"))
+    met = met.withColumn("__row0", F.col("row") - F.col("lag_bars")).join(start, ["leader", "__row0"], "left")
+    total = F.when(F.col("row") + 1 == F.col("lag_bars"), F.col("__s")).when(F.col("row") + 1 > F.col("lag_bars"), F.col("__s") - F.coalesce("__s0", F.lit(0.0)))
+    out = met.withColumn("lead_ret", total)
+    return out.select(*panel.columns, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("lead_ret", "lead_oi_chg", "lead_stale", "ll_strength")])

@@ -295,6 +295,19 @@ def f_exponential(spark, sf_dir):
     return out.select("date", "instrument", *[r5(F.col(k)).alias(k) for k in formulas])
 
 
+# rises and falls are averaged from the second row on: the first change is unknown
+_RSI_SQL = f""", d AS (SELECT date, instrument, row_number() {_DI} AS k, close - lag(close) {_DI} AS c FROM months), n AS (SELECT date, instrument, k, greatest(c, 0) AS u, greatest(-c, 0) AS f FROM d WHERE k > 1),
+r AS (SELECT date, instrument, k, u, f FROM n WHERE k = 2 UNION ALL SELECT n.date, n.instrument, n.k, n.u + r.u * (1 - 2.0 / 8), n.f + r.f * (1 - 2.0 / 8) FROM r JOIN n ON n.instrument = r.instrument AND n.k = r.k + 1)"""
+
+
+@query("f_rsi", f"WITH RECURSIVE {MONTHS_SQL}{_RSI_SQL} SELECT date, instrument, {sql5('100 * u / nullif(u + f, 0)', 'rsi')} FROM r")
+def f_rsi(spark, sf_dir):
+    tree = lift_parameters(parse_infix("RSI($close, 7)"), K.INFIX_SERIES)
+    out = compile_formulas(months(spark, sf_dir), {"rsi": tree}, K.INFIX, MONTHS)
+    first = F.row_number().over(MONTHS.rows()) > 1
+    return out.withColumn("__k", first).where("__k").select("date", "instrument", r5(F.col("rsi")).alias("rsi"))
+
+
 _GUARDED = {
     "ad": ("(add close open)", "close + open"), "su": ("(sub close open)", "close - open"), "mu": ("(mul close open)", "close * open"), "di": ("(div close (sub volume volume))", "1.0"), "sq": ("(sqrt (neg close))", "sqrt(close)"),
     "lg": ("(log (neg close))", "ln(close)"), "iv": ("(inv close)", "1 / close"), "ab": ("(abs (neg close))", "close"), "mx": ("(max close open)", "greatest(close, open)"), "mn": ("(min close open)", "least(close, open)"),

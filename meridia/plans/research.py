@@ -98,6 +98,31 @@ def leadlag_stability(spark, sf_dir):
     return s.select("leader", "follower", r5(F.col("stability")).alias("stability"), r5(F.col("half_life")).alias("half_life"))
 
 
+_LEAD_SQL = """e AS (SELECT DISTINCT ON (leader, follower, asof_date) o_custkey % 6 AS leader, o_custkey % 5 AS follower, CAST(o_orderdate AS DATE) AS asof_date, o_totalprice / 1000 - 150 AS a_stat, 1 + o_orderkey % 4 AS lag_bars, (o_orderkey % 100) / 100.0 AS strength
+  FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' ORDER BY leader, follower, asof_date, o_orderkey),
+m AS (SELECT CAST(unnest(range(DATE '1996-01-01', DATE '1996-07-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+l AS (SELECT month, e.*, row_number() OVER (PARTITION BY month, leader, follower ORDER BY asof_date DESC) AS r FROM m JOIN e ON asof_date < month AND asof_date >= month - 45),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month, follower ORDER BY abs(a_stat) DESC, leader) AS rank FROM l WHERE r = 1) WHERE rank = 1),
+p AS (SELECT product, row, month, ((product * 7 + row * 13) % 11) / 10.0 - 0.5 AS x FROM range(0, 6) a(product), (SELECT month, i + 20 * (month(month) - 1) AS row FROM m, range(0, 20) t(i)))"""
+
+
+@query("g_lead_terminals", f"""WITH {_LEAD_SQL} SELECT p.product, CAST(p.row AS BIGINT) AS row, {sql5('coalesce(CASE WHEN p.row + 1 >= k.lag_bars THEN (SELECT sum(q.x) FROM p q WHERE q.product = k.leader AND q.row <= p.row AND q.row > p.row - k.lag_bars) END, 0)', 'lead_ret')},
+{sql5('coalesce(k.strength, 0)', 'll_strength')} FROM p LEFT JOIN k ON k.month = p.month AND k.follower = p.product""")
+def g_lead_terminals(spark, sf_dir):
+    from meridia.operators import asof
+    from meridia.sources.raw import first_of
+
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    e = o.select((F.col("o_custkey") % 6).alias("leader"), (F.col("o_custkey") % 5).alias("follower"), F.to_date("o_orderdate").alias("asof_date"), F.lit("h").alias("config_hash"), F.lit(0.0).alias("q_value"), F.lit(1.0).alias("stability"), (F.col("o_totalprice") / 1000 - 150).alias("a_stat"), (1 + F.col("o_orderkey") % 4).alias("lag_bars"), ((F.col("o_orderkey") % 100) / 100.0).alias("strength"), "o_orderkey")
+    e = first_of(e, ["leader", "follower", "asof_date"], [F.col("o_orderkey")])
+    month = F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-06-01").cast("date"), F.expr("interval 1 month")))
+    p = spark.range(6).select(F.col("id").alias("product"), month.alias("month")).select("product", "month", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    p = p.withColumn("row", (F.col("i") + 20 * (F.month("month") - 1)).cast("bigint")).withColumn("x", ((F.col("product") * 7 + F.col("row") * 13) % 11) / 10.0 - 0.5)
+    p = p.select("product", "row", "month", "x", F.lit(0.0).alias("oi_chg"), F.lit(0.0).alias("stale"))
+    out = asof.leader_terminals(p, asof.monthly_edges(e, 1), 1)
+    return out.select("product", "row", r5(F.col("lead_ret")).alias("lead_ret"), r5(F.col("ll_strength")).alias("ll_strength"))
+
+
 # --- features -----------------------------------------------------------------------------------
 
 _P = Panel(("product",), ("bob",), ("bob",))
