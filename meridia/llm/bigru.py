@@ -63,8 +63,11 @@ def new_network(languages: list[str], hidden: int = HIDDEN, seed: int = 1) -> Ne
 
 
 def _layer(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (T, B, H) of bytes x (T, B) read in order. Gates: z updates, r resets."""
+    """Hidden states (T, B, H) of bytes x (T, B) read in order; a pad leaves the state empty. Gates: z
+    updates, r resets."""
     steps, batch = x.shape
+    pads = x == PAD
+    padded = pads.any(axis=1)
     n = u.shape[0]
     states = np.empty((steps, batch, n), np.float32)
     h = np.zeros((batch, n), np.float32)
@@ -85,6 +88,8 @@ def _layer(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: list | None =
         new -= h
         new *= z
         h = h + new
+        if padded[t]:
+            h[pads[t]] = 0
         states[t] = h
     return states
 
@@ -109,6 +114,7 @@ def _back(x: np.ndarray, u: np.ndarray, kept: list, d_states: np.ndarray, table:
     for t in range(len(kept) - 1, -1, -1):
         z, r, new, h = kept[t]
         d_h = d_h + d_states[t]
+        d_h[x[t] == PAD] = 0
         d_new = d_h * z * (1 - new * new)
         d_z = d_h * (new - h) * z * (1 - z)
         d_reset = d_new @ u[:, 2 * n :].T

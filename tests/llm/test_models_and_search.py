@@ -78,7 +78,7 @@ def test_gradients_match_differences():
 
 def test_network_learns_and_pools():
     texts = [b"the thing and this there " * 8, "über schön größe weiß ".encode() * 8]
-    net = bigru.train(texts * 20, ["en", "de"] * 20, steps=60, batch=32)
+    net = bigru.train(texts * 20, ["en", "de"] * 20, steps=200, batch=32)
     p = bigru.document_probabilities(net, [b"this thing", "größe schön".encode(), b"", b"the " * 3000])
     assert [net.languages[k] for k in p[[0, 1, 3]].argmax(axis=1)] == ["en", "de", "en"]
     assert p[2].tolist() == [0.5, 0.5] and np.allclose(p.sum(axis=1), 1)
