@@ -2,14 +2,16 @@
 
 The encoder reads a pre-token byte by byte. The BPE encoding of a text has exactly one last
 token for each prefix, and a sequence of tokens is an encoding if and only if every two
-neighbours encode to themselves when joined. So the set of unfinished analyses after a byte
-is known from (a) the longest suffix that some token starts with and (b) the last token of each
-prefix that ends inside that suffix. These make a state. A transition on a byte gives the next
-state and the tokens on which all unfinished analyses agree: that is the output, after a
-lookahead bounded by the longest token. States and transitions are made when first needed and
-then kept, so the merge table is compiled only as far as the data ask for.
-
-A pre-token that is a token as a whole is that token, as ranked encoders have it.
+neighbours encode to themselves when joined. So the last token of a prefix follows from (a) the
+longest suffix that some longer token starts with and (b) the last token of each prefix that ends
+inside that suffix where a longer token can still start. These make a state. A transition on a byte
+gives the next state and the new prefix's last token. States and transitions are made when first
+needed and then kept, so the merge table is compiled only as far as the data ask for.
+
+A token is final once the analyses of all prefixes that a later token may start after agree on
+it: ``stream`` gives it out then, after a lookahead of less than the longest token behind the
+point where they agree. A pre-token that is a token as a whole is that token, as ranked encoders
+have it; ``transduce`` traces a whole pre-token back at once.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from meridia.llm.tokens import chunks, pieces_of_batch
 from meridia.llm.workspace import ship
 
-#: Distinct chunks, and transitions, that a Python worker remembers; beyond that the memory starts afresh.
-MEMORY = 200_000
-TRANSITIONS = 400_000
+#: Distinct pre-tokens, and transitions, that a Python worker remembers; beyond that the memory starts afresh.
+MEMORY = 500_000
+TRANSITIONS = 700_000
 _LOADED: dict[tuple[str, str], "BpeTransducer"] = {}
 
 
@@ -39,14 +41,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-class State:
-    """Next states by byte. ``before`` is the last token given out, ``tail`` the longest suffix that
-    starts some token; ``lasts`` are the last tokens of the prefixes after ``before``, in order."""
+class State(dict):
+    """Byte -> (next state, last token's id), filled when first asked. ``tail`` is the longest suffix that
+    starts a longer token; ``lasts`` are the last tokens of the prefixes that end at its places, from
+    before its first byte to its end: empty at the start of the text, None where no token starts."""
 
-    __slots__ = ("before", "lasts", "next", "tail")
+    __slots__ = ("lasts", "machine", "tail")
 
-    def __init__(self, before: bytes, tail: bytes, lasts: tuple[bytes, ...]):
-        self.before, self.tail, self.lasts, self.next = before, tail, lasts, {}
+    def __init__(self, machine: BpeTransducer, tail: bytes, lasts: tuple[bytes | None, ...]):
+        self.machine, self.tail, self.lasts = machine, tail, lasts
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        self.machine.made += 1
+        step = self[byte] = self.machine._advance(self, bytes((byte,)))
+        return step
 
 
 class BpeTransducer:
@@ -56,17 +64,17 @@ class BpeTransducer:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.starts = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
-        self.longest = max(map(len, ranks), default=1)
-        self._merged: dict[bytes, list[bytes]] = {}
+        self.starts = {t[:i] for t in ranks for i in range(len(t))}
+        self.length = {v: len(k) for k, v in ranks.items()}
+        self._merged: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def _reset(self) -> None:
-        self.states: dict[tuple[bytes, bytes, tuple[bytes, ...]], State] = {}
+        self.states: dict[tuple[bytes, tuple[bytes | None, ...]], State] = {}
         self.made = 0
-        self.start = self._state(b"", b"", ())
+        self.start = self._state(b"", (b"",))
 
     @classmethod
     def of(cls, path: str, pattern: str) -> BpeTransducer:
@@ -74,14 +82,14 @@ class BpeTransducer:
             _LOADED[path, pattern] = cls(load_ranks(path), pattern)
         return _LOADED[path, pattern]
 
-    def _state(self, before: bytes, tail: bytes, lasts: tuple[bytes, ...]) -> State:
-        key = (before, tail, lasts)
-        if key not in self.states:
-            self.states[key] = State(before, tail, lasts)
-        return self.states[key]
+    def _state(self, tail: bytes, lasts: tuple[bytes | None, ...]) -> State:
+        state = self.states.get((tail, lasts))
+        if state is None:
+            state = self.states[tail, lasts] = State(self, tail, lasts)
+        return state
 
     def _merge(self, text: bytes) -> list[bytes]:
-        """Merging by rank, the definition; asked only for tokens and pairs of tokens."""
+        """Merging by rank: the definition, for tests."""
         parts = [text[i : i + 1] for i in range(len(text))]
         while len(parts) > 1:
             found = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -91,76 +99,129 @@ class BpeTransducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _parts(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """What a token's last merge joined; None for a single byte or a token that merging doesn't give."""
+        parts = self._merged.get(token, ())
+        if parts == ():
+            pieces = [token[i : i + 1] for i in range(len(token))]
+            parts = None
+            while len(pieces) > 1:
+                found = [(r, i) for i in range(len(pieces) - 1) if (r := self.ranks.get(pieces[i] + pieces[i + 1])) is not None]
+                if not found:
+                    parts = None
+                    break
+                i = min(found)[1]
+                parts = (pieces[i], pieces[i + 1])
+                pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            self._merged[token] = parts
+        return parts
+
     def _fit(self, left: bytes, right: bytes) -> bool:
-        """Whether two tokens stay as they are when joined; an empty left asks for the token alone."""
+        """Whether two tokens stay as they are when joined; an empty left asks for the token alone.
+
+        The merges on both sides of the border are undone from the latest one. The tokens that touch the
+        border at some time would have merged across it, had that merge come before the next one undone.
+        """
         key = (left, right)
         ok = self._fits.get(key)
         if ok is None:
             if len(self._fits) > TRANSITIONS:
                 self._fits.clear()
-            ok = self._fits[key] = self._merge(left + right) == ([left, right] if left else [right])
+            ok = self._fits[key] = self._border_holds(left, right) if left else len(right) == 1 or self._parts(right) is not None
         return ok
 
-    def _advance(self, state: State, byte: bytes) -> tuple[State, tuple[bytes, ...]]:
-        tail = state.tail + byte
-        while tail not in self.starts:
-            tail = tail[1:]
-        lasts, n = state.lasts, len(state.lasts)
-        # the new prefix's last token: the one suffix token that fits behind the prefix before it
-        for size in range(1, min(len(tail), n + 1) + 1):
-            token = tail[len(tail) - size :]
-            at = n + 1 - size
-            if token in self.ranks and self._fit(b"", token) and self._fit(lasts[at - 1] if at else state.before, token):
+    def _border_holds(self, left: bytes, right: bytes) -> bool:
+        ranks, until = self.ranks, float("inf")
+        while True:
+            across = ranks.get(left + right)
+            if across is not None and across < until:
+                return False
+            a, b = (ranks[left] if len(left) > 1 else -1), (ranks[right] if len(right) > 1 else -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                # at equal ranks the merge further left comes first
+                until, left = a, self._parts(left)[1]
+            else:
+                until, right = b + 0.5, self._parts(right)[0]
+
+    def _advance(self, state: State, byte: bytes) -> tuple[State, int]:
+        text, lasts = state.tail + byte, state.lasts
+        n = len(text)
+        for at in range(n - 1, -1, -1):
+            token, before = text[at:], lasts[at]
+            # the one token that fits behind the prefix before it
+            if before is not None and token in self.ranks and self._fit(b"", token) and (not before or self._fit(before, token)):
                 break
         else:
             raise ValueError("some byte isn't a token")
-        lasts = (*lasts, token)
-        # prefixes that a later token may still start after
-        live = range(max(0, n + 1 - len(tail)), n + 2)
-        paths = []
-        for end in live:
-            path, at = [], end
-            while at > 0:
-                path.append(at)
-                at -= len(lasts[at - 1])
-            paths.append(path[::-1])
-        agreed = 0
-        while all(len(p) > agreed for p in paths) and len({p[agreed] for p in paths}) == 1:
-            agreed += 1
-        settled = paths[0][:agreed]
-        cut = settled[-1] if settled else 0
-        out = tuple(lasts[at - 1] for at in settled)
-        # what no later token can depend on is blanked, so that more histories share a state
-        used = {at for p in paths for at in p}
-        before = (lasts[cut - 1] if cut else state.before) if len(tail) >= n + 1 - cut else b""
-        return self._state(before, tail, tuple(lasts[at - 1] if at in used else b"" for at in range(cut + 1, n + 2))), out
-
-    def transduce(self, piece: bytes) -> list[bytes]:
-        """Tokens of one pre-token."""
-        if piece in self.ranks:
-            return [piece]
+        cut = 0
+        while text[cut:] not in self.starts:
+            cut += 1
+        kept = [lasts[at] if text[at:] in self.starts else None for at in range(cut, n)]
+        return self._state(text[cut:], (*kept, token)), self.ranks[token]
+
+    def transduce(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        state, last = self.start, []
+        for b in piece:
+            state, token = state[b]
+            last.append(token)
         if self.made > TRANSITIONS:
             self._reset()
-        state, out = self.start, []
-        for i in range(len(piece)):
-            b = piece[i]
-            step = state.next.get(b)
-            if step is None:
-                step = state.next[b] = self._advance(state, piece[i : i + 1])
-                self.made += 1
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        rest, at = [], len(state.lasts)
-        while at > 0:
-            rest.append(state.lasts[at - 1])
-            at -= len(state.lasts[at - 1])
-        return out + rest[::-1]
+        out, at, length = [], len(last), self.length
+        while at:
+            out.append(last[at - 1])
+            at -= length[last[at - 1]]
+        out.reverse()
+        return out
+
+    def stream(self, piece: Iterable[int]) -> Iterator[int]:
+        """Ids of one pre-token's bytes as they come, each as soon as it is final; a pre-token that is a
+        token as a whole isn't known as such before its end, and comes as its merges give it."""
+        state, last, settled = self.start, [], 0
+        for b in piece:
+            state, token = state[b]
+            last.append(token)
+            n = len(last)
+            ends = {n - len(state.tail) + k for k, t in enumerate(state.lasts) if t is not None} | {n}
+            while len(ends) > 1:
+                far = max(ends)
+                ends = (ends - {far}) | {max(settled, far - self.length[last[far - 1]])}
+            yield from self._path(last, settled, next(iter(ends)))
+            settled = next(iter(ends))
+        yield from self._path(last, settled, len(last))
+
+    def _path(self, last: list[int], start: int, end: int) -> list[int]:
+        out = []
+        while end > start:
+            out.append(last[end - 1])
+            end -= self.length[last[end - 1]]
+        return out[::-1]
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > MEMORY:
+                self.pieces.clear()
+            ids = self.pieces[piece] = self.transduce(piece.encode())
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        ranks = self.ranks
-        return [ranks[t] for p in self.pattern.findall(text) for t in self.transduce(p.encode())]
+        return [i for p in self.pattern.findall(text) for i in self._piece(p)]
+
+    def encode_chunk(self, chunk: str) -> list[int]:
+        """Ids of a short text. Letters with at most a space before and plain marks behind are two
+        pre-tokens at sight; all else goes through the pattern."""
+        word = chunk.rstrip(".,;:!?|")
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and max(word) < "ɐ":
+            ids = self._piece(word)
+            return ids + self._piece(chunk[len(word) :]) if len(word) < len(chunk) else ids
+        return self.encode(chunk)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -228,15 +289,7 @@ def encode_batch(machine: BpeTransducer, texts: pa.Array) -> Iterator[list[int]]
     the pattern cuts as well; each distinct chunk is encoded once. Other texts are encoded whole."""
     texts = pc.fill_null(texts, "")
     words, codes, first = chunks(texts)
-    if len(machine.known) > MEMORY:
-        machine.known.clear()
-    known = machine.known
     open_end = np.array([not w or w[-1].isspace() for w in words], dtype=bool)
-    def ids_of(chunk: str) -> list[int]:
-        ids = known.get(chunk)
-        if ids is None:
-            ids = known[chunk] = machine.encode(chunk)
-        return ids
     heads: dict[int, list[int]] = {}
     bodies = [None] * len(words)
     for i in range(len(first) - 1):
@@ -249,12 +302,12 @@ def encode_batch(machine: BpeTransducer, texts: pa.Array) -> Iterator[list[int]]
         if own:
             c = own[0]
             if c not in heads:
-                heads[c] = ids_of(words[c])
+                heads[c] = machine.encode_chunk(words[c]) if words[c] else []
             out += heads[c]
         for c in own[1:]:
             ids = bodies[c]
             if ids is None:
-                ids = bodies[c] = ids_of(" " + words[c])
+                ids = bodies[c] = machine.encode_chunk(" " + words[c])
             out += ids
         yield out
 
@@ -268,7 +321,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         machine = BpeTransducer.of(ranks_path, pattern)
         digits = {v: str(v) for v in machine.bytes_of}
         for whole in batches:
-            for batch in pieces_of_batch(whole, "text", 2 << 20):
+            for batch in pieces_of_batch(whole, "text", 6 << 20):
                 counts, ids_sha, decoded_sha, valid = [], [], [], []
                 for ids in encode_batch(machine, batch.column("text")):
                     counts.append(len(ids))
