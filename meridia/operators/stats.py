@@ -157,3 +157,11 @@ def probabilistic_sharpe(sr: Column, n: Column, skew: Column, excess: Column, be
 
     spread = F.greatest(1 - skew * sr + (excess + 2) / 4 * sr * sr, F.lit(1e-12)) / (n - 1)
     return F.when(n > 1, normal_cdf((sr - benchmark) / F.sqrt(F.when(n > 1, spread))))
+
+
+def day_strata(panel: DataFrame, day: str = "segment") -> DataFrame:
+    """(day, bars, stratum): runs of days of equal length, within which a permutation may shift days."""
+    days = panel.groupBy(day).agg(F.count("*").alias("bars"))
+    w = Window.partitionBy(F.lit(0)).orderBy(day)
+    new = F.coalesce((F.lag("bars").over(w) != F.col("bars")).cast("int"), F.lit(0))
+    return days.withColumn("__new", new).withColumn("stratum", F.sum("__new").over(w)).drop("__new")
