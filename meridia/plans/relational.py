@@ -105,7 +105,16 @@ def filter_segment_price(spark, sf_dir):
 
 @query("filter_validity_mask", f"WITH {BARS_SQL} SELECT event_id, event_type <> 'error' AND isfinite(close) AS valid, {sql5('''CASE WHEN event_type <> 'error' AND isfinite(close) THEN close ELSE 0 END''', 'x')} FROM bars WHERE event_id % 15 = 0")
 def filter_validity_mask(spark, sf_dir):
-    b = bars(spark, sf_dir).where("event_id % 15 = 0")
+    return _validity_mask(bars(spark, sf_dir).where("event_id % 15 = 0"))
+
+
+@query("filter_validity_mask_all", f"WITH {BARS_SQL} SELECT event_id, event_type <> 'error' AND isfinite(close) AS valid, {sql5("""CASE WHEN event_type <> 'error' AND isfinite(close) THEN close ELSE 0 END""", 'x')} FROM bars")
+def filter_validity_mask_all(spark, sf_dir):
+    """Of every bar."""
+    return _validity_mask(bars(spark, sf_dir))
+
+
+def _validity_mask(b):
     ok = (F.col("event_type") != "error") & ~F.isnan("close") & (F.abs("close") < float("inf"))
     return b.select("event_id", ok.alias("valid"), r5(F.when(ok, F.col("close")).otherwise(0.0)).alias("x"))
 
@@ -162,8 +171,19 @@ def asof_backward(spark, sf_dir):
 @query("asof_next_day", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 = 0), q AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT date, (SELECT min(day) FROM days WHERE day >= date) AS ge, (SELECT min(day) FROM days WHERE day > date) AS gt FROM q""")
 def asof_next_day(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return asof.next_days(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct(), days)
+    return _next_days(table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"), table(spark, sf_dir, "lineitem"))
+
+
+@query("asof_next_day_all", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), q AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+SELECT date, (SELECT min(day) FROM days WHERE day >= date) AS ge, (SELECT min(day) FROM days WHERE day > date) AS gt FROM q""")
+def asof_next_day_all(spark, sf_dir):
+    """In the calendar of every order."""
+    return _next_days(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+def _next_days(orders, lines):
+    days = orders.select(F.to_date("o_orderdate").alias("day")).distinct()
+    return asof.next_days(lines.select(F.to_date("l_shipdate").alias("date")).distinct(), days)
 
 
 _SPANS_SQL = "runs AS (SELECT s_suppkey AS k, DATE '1995-01-01' + CAST(s_suppkey * 13 % 900 AS INTEGER) AS a, DATE '1995-01-01' + CAST(s_suppkey * 13 % 900 + 400 AS INTEGER) AS b, s_name AS tpl FROM supplier)"
@@ -216,8 +236,20 @@ def join_members(spark, sf_dir):
 j AS (SELECT coalesce(a.d, b.d) AS d, x, y FROM a FULL OUTER JOIN b ON a.d = b.d)
 SELECT d, coalesce(last_value(x IGNORE NULLS) OVER w, 1) AS x, coalesce(last_value(y IGNORE NULLS) OVER w, 1) AS y FROM j WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def join_full_outer_fill(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("x"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.max("l_quantity").alias("y"))
+    return _outer_fill(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("join_full_outer_fill_all", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS x FROM orders GROUP BY ALL), b AS (SELECT CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS y FROM lineitem GROUP BY ALL),
+j AS (SELECT coalesce(a.d, b.d) AS d, x, y FROM a FULL OUTER JOIN b ON a.d = b.d)
+SELECT d, coalesce(last_value(x IGNORE NULLS) OVER w, 1) AS x, coalesce(last_value(y IGNORE NULLS) OVER w, 1) AS y FROM j WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def join_full_outer_fill_all(spark, sf_dir):
+    """Of every order and line."""
+    return _outer_fill(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+def _outer_fill(orders, lines):
+    a = orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("x"))
+    b = lines.groupBy(F.to_date("l_shipdate").alias("d")).agg(F.max("l_quantity").alias("y"))
     j = asof.full_outer([a, b], ["d"]).withColumn("__k", F.lit(0))
     return asof.fill_forward(j, ["__k"], ["d"], ["x", "y"], 1.0).drop("__k")
 
@@ -225,8 +257,19 @@ def join_full_outer_fill(spark, sf_dir):
 @query("join_reindex", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT l_suppkey % 20 AS k, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL),
 e AS (SELECT k, min(day) AS lo, max(day) AS hi FROM x GROUP BY k) SELECT e.k, CAST(count(*) AS BIGINT) AS days, CAST(count(x.q) AS BIGINT) AS known FROM e JOIN d ON d.day BETWEEN lo AND hi LEFT JOIN x ON x.k = e.k AND x.day = d.day GROUP BY e.k""")
 def join_reindex(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").groupBy((F.col("l_suppkey") % 20).alias("k"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("q"))
+    return _reindexed(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0"), F.col("l_suppkey") % 20)
+
+
+@query("join_reindex_all", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+e AS (SELECT k, min(day) AS lo, max(day) AS hi FROM x GROUP BY k) SELECT e.k, CAST(count(*) AS BIGINT) AS days, CAST(count(x.q) AS BIGINT) AS known FROM e JOIN d ON d.day BETWEEN lo AND hi LEFT JOIN x ON x.k = e.k AND x.day = d.day GROUP BY e.k""")
+def join_reindex_all(spark, sf_dir):
+    """Of every line; a supplier of its own has days without any."""
+    return _reindexed(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
+
+
+def _reindexed(orders, lines, k):
+    days = orders.select(F.to_date("o_orderdate").alias("day")).distinct()
+    x = lines.groupBy(k.alias("k"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("q"))
     return asof.reindex(x, days, "k", "day").groupBy("k").agg(F.count("*").alias("days"), F.count("q").alias("known"))
 
 

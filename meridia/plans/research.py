@@ -70,14 +70,25 @@ def leadlag_permutation(spark, sf_dir):
 
 
 _Q_SRC = "t AS (SELECT o_orderkey AS k, ((o_orderkey * 7919) % 10007) / 10007.0 AS p, CASE WHEN o_custkey % 3 = 0 THEN 'A' ELSE 'B' END AS family FROM orders WHERE o_orderkey % 20 = 0)"
-
-
-@query("leadlag_false_discovery", f"""WITH {_Q_SRC}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM t),
+_Q_ALL = _Q_SRC.replace(" WHERE o_orderkey % 20 = 0", "")
+_FDR_SQL = f"""r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM t),
 b AS (SELECT k, family, least(1, min(p * m / i) OVER (PARTITION BY family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, m, i, p FROM r),
 h AS (SELECT family, sum(1.0 / i) AS hs FROM r GROUP BY family) SELECT k, family, {sql5('q', 'bh')}, {sql5('least(1, min(p * m * hs / i) OVER (PARTITION BY family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by_q')},
-(family = 'A' AND q <= 0.05) OR (family = 'B' AND q <= 0.10) AS validated FROM b JOIN h USING (family)""")
+(family = 'A' AND q <= 0.05) OR (family = 'B' AND q <= 0.10) AS validated FROM b JOIN h USING (family)"""
+
+
+@query("leadlag_false_discovery", f"WITH {_Q_SRC}, {_FDR_SQL}")
 def leadlag_false_discovery(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    return _discoveries(table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query("leadlag_false_discovery_all", f"WITH {_Q_ALL}, {_FDR_SQL}")
+def leadlag_false_discovery_all(spark, sf_dir):
+    """Of every order."""
+    return _discoveries(table(spark, sf_dir, "orders"))
+
+
+def _discoveries(o):
     t = o.select(F.col("o_orderkey").alias("k"), (((F.col("o_orderkey") * 7919) % 10007) / 10007.0).alias("p"), F.when(F.col("o_custkey") % 3 == 0, "A").otherwise("B").alias("family"))
     q = stats.false_discovery(stats.false_discovery(t, "p", ["family"], name="bh"), "p", ["family"], dependent=True, name="by_q")
     ok = ((F.col("family") == "A") & (F.col("bh") <= 0.05)) | ((F.col("family") == "B") & (F.col("bh") <= 0.10))
@@ -232,8 +243,19 @@ def state_sessions(spark, sf_dir):
 @query("state_day_grid", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars WHERE product < 20), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
 SELECT day, CAST(rel AS BIGINT) AS rel, CAST(sum(brk) OVER (PARTITION BY day ORDER BY rel) AS BIGINT) AS seg FROM g""")
 def state_day_grid(spark, sf_dir):
+    return _day_grid(bars(spark, sf_dir).where("product < 20"))
+
+
+@query("state_day_grid_all", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
+SELECT day, CAST(rel AS BIGINT) AS rel, CAST(sum(brk) OVER (PARTITION BY day ORDER BY rel) AS BIGINT) AS seg FROM g""")
+def state_day_grid_all(spark, sf_dir):
+    """Of every product."""
+    return _day_grid(bars(spark, sf_dir))
+
+
+def _day_grid(b):
     rel = B.relative_minute(F.col("bob"))
-    b = bars(spark, sf_dir).where("product < 20").select(F.col("day").alias("trading_date"), rel.alias("start"), (rel + 1).alias("end")).distinct()
+    b = b.select(F.col("day").alias("trading_date"), rel.alias("start"), (rel + 1).alias("end")).distinct()
     sessions = b.withColumn("template_id", F.unix_date("trading_date"))
     grid = B.grid_rows(sessions.select("template_id", "start", "end"), sessions.select("trading_date", "template_id"))
     return grid.select(F.col("trading_date").alias("day"), F.col("rel_min").cast("bigint").alias("rel"), F.col("seg_session").cast("bigint").alias("seg"))
@@ -284,7 +306,17 @@ def search_generation(spark, sf_dir):
 
 @query("search_pool_correlation", f"WITH {BARS_SQL}, s AS (SELECT close AS a, volume AS b, close * volume AS c FROM bars WHERE event_id % 15 = 0) SELECT {sql5('corr(a, b)', 'ab')}, {sql5('corr(a, c)', 'ac')}, {sql5('corr(b, c)', 'bc')} FROM s")
 def search_pool_correlation(spark, sf_dir):
-    s = bars(spark, sf_dir).where("event_id % 15 = 0").select(F.col("close").alias("a"), F.col("volume").alias("b"), (F.col("close") * F.col("volume")).alias("c"))
+    return _pool_correlation(bars(spark, sf_dir).where("event_id % 15 = 0"))
+
+
+@query("search_pool_correlation_all", f"WITH {BARS_SQL}, s AS (SELECT close AS a, volume AS b, close * volume AS c FROM bars) SELECT {sql5('corr(a, b)', 'ab')}, {sql5('corr(a, c)', 'ac')}, {sql5('corr(b, c)', 'bc')} FROM s")
+def search_pool_correlation_all(spark, sf_dir):
+    """Of every bar."""
+    return _pool_correlation(bars(spark, sf_dir))
+
+
+def _pool_correlation(b):
+    s = b.select(F.col("close").alias("a"), F.col("volume").alias("b"), (F.col("close") * F.col("volume")).alias("c"))
     return s.agg(*[r5(K.correlation(F.col(x), F.col(y))).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
 
 
