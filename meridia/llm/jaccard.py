@@ -14,6 +14,11 @@ them only, and the links found make components. Then every token whose documents
 more than one component compares the documents of the smaller components with all documents of
 other components. A pair is left out only if links already join its ends, so the components are
 exact, and work grows with a group's size rather than its square.
+
+All links of a document lie in its component, so a last step counts them there: every two
+classes of a component are compared by their whole sets. A component's classes are dealt to blocks of
+about ``SIDE`` and each two blocks meet in one task, whose sets are multiplied as 0-1 matrices. This
+step alone grows with the square of a component, as the number of links does.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ CELL_BITS = 20
 BLOCK = 1 << 14
 #: Parts of the hash range whose token counts bound an intersection.
 BINS = 128
+#: Classes of a component in one block of the link count.
+SIDE = 256
 _LANE = Lane(11, fold=True)
 
 
@@ -280,14 +287,89 @@ def _verified(docs: DataFrame, bins: DataFrame, pairs: DataFrame, t: Threshold,
     return links
 
 
-def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold | None = None) -> DataFrame:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right, or with each other,
+    then without what a set shares with itself alone.
+    Sets multiply as 0-1 matrices over the tokens that can meet, a few megabytes at a time."""
+    if right is None:
+        values, times = np.unique(np.concatenate(left), return_counts=True)
+        common = values[times > 1]
+    else:
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    found = np.zeros((len(left), len(left if right is None else right)), dtype=np.int64)
+    if not len(common):
+        return found
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    a, b = placed(left), None if right is None else placed(right)
+    width = max(256, (1 << 21) // max(found.shape))
+
+    def dense(side: tuple[np.ndarray, np.ndarray], rows: int, at: int) -> np.ndarray:
+        lo, hi = np.searchsorted(side[0], (at, at + width))
+        out = np.zeros((rows, width), dtype=np.float32)
+        out[side[1][lo:hi], side[0][lo:hi] - at] = 1
+        return out
+
+    for at in range(0, len(common), width):
+        x = dense(a, found.shape[0], at)
+        y = x if b is None else dense(b, found.shape[1], at)
+        found += np.rint(x @ y.T).astype(np.int64)
+    return found
+
+
+def link_counts(docs: DataFrame, roots: DataFrame, t: Threshold) -> DataFrame:
+    """(class_id, n_links) of the classes in ``roots``: with how many others of its component each links."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in slices(batch.column("text")):
+                flat, bounds = shingle_sets(w, t.words)
+                own = [flat[lo:hi].tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                rest = [batch.column(c).slice(w.rows[0], len(own)) for c in ("doc_id", "root", "parts")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(own, pa.binary())], names=["doc_id", "root", "parts", "own"])
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = [np.frombuffer(s, dtype=np.uint64) for s in table["own"].to_pylist()]
+        ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+        n = np.array([len(s) for s in own])
+        if key[1].as_py() == key[2].as_py():
+            links = overlaps(own) >= t.overlap(n[:, None], n[None])
+            np.fill_diagonal(links, False)
+            degree = links.sum(axis=1)
+        else:
+            degree = np.zeros(len(own), dtype=np.int64)
+            a, b = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+            if len(a) and len(b):
+                links = overlaps([own[i] for i in a], [own[i] for i in b]) >= t.overlap(n[a][:, None], n[b][None])
+                degree[a], degree[b] = links.sum(axis=1), links.sum(axis=0)
+        return pa.table({"class_id": ids, "part": pa.array(degree, pa.int64())})
+
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    placed = roots.join(sizes, "root")
+    # two classes that make a component link with each other
+    two = placed.where("size = 2").select(F.col("node").alias("class_id"), F.lit(1).cast("long").alias("part"))
+    many = placed.where("size > 2").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("size") / SIDE).cast("int").alias("parts"))
+    held = docs.select("doc_id", "text").join(many, "doc_id").select("doc_id", "text", "root", "parts").mapInArrow(sets, "doc_id long, root long, parts int, own binary")
+    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = held.select("doc_id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "own")
+    counted = met.groupBy("root", "lo", "hi").applyInArrow(count, "class_id long, part long")
+    return two.union(counted).groupBy("class_id").agg(F.sum("part").alias("n_links"))
+
+
+def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold | None = None, counted: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links): the set's size, the smallest id with the
-    same set, the smallest id that links reach, and the number of verified links of the class.
+    same set, the smallest id that links reach, and the number of other classes that its class links with.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows with a
     null id are left out; of rows that share an id one stays (see ``texts_by_id``). Other columns are
-    not read. An empty table gives an empty result. ``n_links`` counts the links that were needed for
-    the components; pairs inside a component that others already join are not all verified.
+    not read. An empty table gives an empty result. Without ``counted`` there is no ``n_links``.
     """
     t = t or Threshold()
     space = Workspace(spark, "jaccard")
@@ -323,17 +405,19 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold |
     met = left.join(right, (left["token"] == right["token"]) & (F.col("root") != F.col("vroot")) & _may_link(t, F.col("n"), F.col("pos"), F.col("vn"), F.col("vpos")))
     again = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     again = space.write(again, "pairs2")
-    links = links1
     if not again.isEmpty():
         links = space.write(links1.union(_verified(docs, bins, again, t, space, "second")), "links")
         roots = components(links, space, "c2")
-    degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    out = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").join(degree, "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = classes.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id")]
+    if not counted:
+        return out.select(*columns)
+    degree = space.write(link_counts(docs, roots, t), "degrees")
+    return out.join(degree, "class_id", "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_group(spark: SparkSession, documents: DataFrame, t: Threshold | None = None) -> DataFrame:
     """The rows of documents whose id is the smallest of its component. Rows with a null id stay."""
-    found = jaccard_components(spark, documents, t)
+    found = jaccard_components(spark, documents, t, counted=False)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")

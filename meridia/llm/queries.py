@@ -91,7 +91,7 @@ FROM met GROUP BY page_id, url, host, fetched_on
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     found = jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"), jaccard.Threshold(85, 100, 4))
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
