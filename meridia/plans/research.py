@@ -237,7 +237,7 @@ def state_dominant_contract(spark, sf_dir):
 def state_sessions(spark, sf_dir):
     b = bars(spark, sf_dir).select((F.col("product") % 5).alias("product"), F.col("day").alias("trading_date"), F.col("bob").alias("wall"))
     days = B.day_template(b.withColumn("wall", F.date_trunc("hour", "wall").cast("timestamp_ntz")))
-    return B.session_runs(days.withColumn("template", F.substring("template", 1, 3)), 2)
+    return B.session_runs(days, 2)
 
 
 @query("state_day_grid", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars WHERE product < 20), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
