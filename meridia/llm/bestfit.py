@@ -10,7 +10,6 @@ stops early once the number of bins equals the lower bound, ceil(sum / capacity)
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +22,6 @@ from meridia.llm.workspace import Workspace
 
 #: Pieces that are packed together in one task. Groups waste less than a bin each beyond the search's own loss.
 GROUP = 20_000
-#: Pairs of an item and a bin that the local search of one group looks at.
-TRIES = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,103 +48,108 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: list[int], bins: list[list[int]], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Local search that empties the least full bins, the least full first. ``tries`` bounds how many
-    pairs of an item and a bin it looks at (a bin of many items counts more); every item stays packed however early it ends."""
-    bins = [sorted(b, key=lambda i: lengths[i]) for b in bins if b]
+def improve(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search that empties the least full bins, the least full first, until no exchange improves or
+    the bins are as few as the bound."""
+    bins = [list(b) for b in bins if b]
     fill = [sum(lengths[i] for i in b) for b in bins]
     bound = -(-sum(fill) // capacity)
-    left = [tries]
-    while left[0] > 0:
-        alive = [b for b in range(len(bins)) if bins[b]]
-        if len(alive) <= bound:
-            break
-        donors = sorted((b for b in alive if fill[b] < capacity), key=lambda b: fill[b])
-        # receivers by room, the smallest first
-        takers = sorted((capacity - fill[b], b) for b in donors)
+    count = len(bins)
+    if count <= bound:
+        return bins
+    index, moved = _Exchanges(lengths, bins, fill, capacity), True
+    while moved and count > bound:
         moved = False
-        for donor in donors:
-            while bins[donor] and _step(lengths, bins, fill, capacity, donor, takers, left):
+        for donor in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__):
+            while bins[donor] and fill[donor] < capacity and index.step(donor):
                 moved = True
-            if left[0] <= 0:
+            count -= not bins[donor]
+            if count <= bound:
                 break
-        if not moved:
-            break
     return [b for b in bins if b]
 
 
-def _step(lengths: list[int], bins: list[list[int]], fill: list[int], capacity: int, donor: int, takers: list[tuple[int, int]], left: list[int]) -> bool:
-    """One improving exchange out of ``donor``, longest items first; False if there is none."""
-    key = lengths.__getitem__
-    for x in reversed(bins[donor]):
-        n = lengths[x]
-        k = bisect_left(takers, (1, -1))
-        while k < len(takers):
-            room, b = takers[k]
-            k += 1
-            left[0] -= 1 + (len(bins[b]) + len(bins[donor])) // 4
-            if left[0] <= 0:
-                return False
-            if b == donor or not bins[b] or fill[b] + room != capacity:
+class _Exchanges:
+    """What each underfull bin can give back, as flat arrays: nothing, one item or two, so that one
+    pass over the arrays finds an exchange or shows that there is none."""
+
+    def __init__(self, lengths: list[int], bins: list[list[int]], fill: list[int], capacity: int):
+        self.lengths, self.bins, self.fill, self.capacity = lengths, bins, fill, capacity
+        self._fill_in()
+
+    def _fill_in(self) -> None:
+        self.backs: list[list[int]] = []
+        self.at: dict[int, tuple[int, int]] = {}
+        rows = [self._rows(b) for b in range(len(self.bins))]
+        self.n = sum(map(len, rows))
+        room = 2 * self.n + 1024
+        self.low, self.top, self.two, self.owner = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.zeros(room, bool), np.zeros(room, np.int32)
+        self.n = 0
+        for b, r in enumerate(rows):
+            self._append(b, r)
+
+    def _rows(self, b: int) -> list[tuple[int, list[int]]]:
+        """(tokens given back, the items): one way for each sum, of the fewest items."""
+        if not self.bins[b] or self.fill[b] >= self.capacity:
+            return []
+        one = {self.lengths[i]: [i] for i in self.bins[b]}
+        pairs: dict[int, list[int]] = {}
+        kinds: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            kinds.setdefault(self.lengths[i], []).append(i)
+        values = sorted(kinds)
+        for k, x in enumerate(values):
+            if len(kinds[x]) > 1:
+                pairs.setdefault(2 * x, kinds[x][:2])
+            for y in values[k + 1 :]:
+                pairs.setdefault(x + y, [kinds[x][0], kinds[y][0]])
+        return [(0, [])] + list(one.items()) + [(v, p) for v, p in pairs.items() if v not in one]
+
+    def _append(self, b: int, rows: list[tuple[int, list[int]]]) -> None:
+        lo, hi = self.n, self.n + len(rows)
+        self.low[lo:hi] = [v for v, _ in rows]
+        self.top[lo:hi] = self.low[lo:hi] + (self.capacity - self.fill[b])
+        self.two[lo:hi] = [len(p) == 2 for _, p in rows]
+        self.owner[lo:hi] = b
+        self.backs += [p for _, p in rows]
+        self.at[b], self.n = (lo, hi), hi
+
+    def _renew(self, b: int) -> None:
+        lo, hi = self.at[b]
+        self.top[lo:hi] = -1
+        rows = self._rows(b)
+        if self.n + len(rows) > len(self.low):
+            self._fill_in()
+        else:
+            self._append(b, rows)
+
+    def step(self, donor: int) -> bool:
+        """One improving exchange out of ``donor``, longest items first; False if there is none."""
+        mine = sorted(self._rows(donor)[1:], key=lambda r: (len(r[1]), -r[0]))
+        room = self.capacity - self.fill[donor]
+        low, top = self.low[: self.n], self.top[: self.n]
+        least = np.maximum(low, top - room)
+        lo, hi = self.at[donor]
+        least[lo:hi] = np.iinfo(np.int32).max
+        for out, items in mine:
+            ok = (least < out) & (out <= top)
+            if len(items) == 2:
+                ok &= ~self.two[: self.n]
+            found = np.flatnonzero(ok)
+            if not len(found):
                 continue
-            gain = None
-            if n <= room and fill[b] + n > fill[donor]:
-                gain = (n, [])
-            else:
-                # swap out one item of length in [n - room, n), the shortest such gains most
-                own = bins[b]
-                at = bisect_left(own, n - room, key=key)
-                if at < len(own) and lengths[own[at]] < n and fill[b] + n - lengths[own[at]] > fill[donor]:
-                    gain = (n - lengths[own[at]], [own[at]])
-                elif len(own) >= 2:
-                    # or two items whose sum lies there
-                    lo, hi = 0, len(own) - 1
-                    while lo < hi:
-                        two = lengths[own[lo]] + lengths[own[hi]]
-                        if two < n - room:
-                            lo += 1
-                        elif two >= n:
-                            hi -= 1
-                        else:
-                            if fill[b] + n - two > fill[donor]:
-                                gain = (n - two, [own[lo], own[hi]])
-                            break
-            if gain is None:
-                # or two of the donor's items for one longer of the taker's
-                gain_two = _two_for_one(lengths, bins, fill, donor, b, x, room)
-                if gain_two is None:
-                    continue
-                d, out, back = gain_two
-            else:
-                d, back = gain
-                out = [x]
-            for i in out:
-                bins[donor].remove(i)
-                insort(bins[b], i, key=key)
-            for i in back:
-                bins[b].remove(i)
-                insort(bins[donor], i, key=key)
-            fill[b] += d
-            fill[donor] -= d
-            takers.pop(k - 1)
-            if fill[b] < capacity:
-                insort(takers, (capacity - fill[b], b))
+            # into the fullest bin, and there the most
+            k = int(found[np.lexsort((low[found], top[found] - low[found]))[0]])
+            b, d = int(self.owner[k]), out - int(low[k])
+            back = self.backs[k]
+            self.bins[donor][:] = [i for i in self.bins[donor] if i not in items] + back
+            self.bins[b][:] = [i for i in self.bins[b] if i not in back] + items
+            self.fill[donor] -= d
+            self.fill[b] += d
+            self._renew(donor)
+            self._renew(b)
             return True
-    return False
-
-
-def _two_for_one(lengths: list[int], bins: list[list[int]], fill: list[int], donor: int, b: int, x: int, room: int):
-    n = lengths[x]
-    for y in bins[donor]:
-        if y == x:
-            continue
-        both = n + lengths[y]
-        at = bisect_left(bins[b], both - room, key=lengths.__getitem__)
-        if at < len(bins[b]) and lengths[bins[b][at]] < both:
-            d = both - lengths[bins[b][at]]
-            if fill[b] + d > fill[donor]:
-                return d, [x, y], [bins[b][at]]
-    return None
+        return False
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
