@@ -1,7 +1,7 @@
 """Nearest neighbours by shifted space-filling curves.
 
 Each of ``curves`` orderings projects the vectors onto ``dims`` random orthonormal directions,
-shifts and quantises them and takes the Hilbert key. The keys are range-partitioned into cells of
+quantises their ranks in a sample, shifted, and takes the Hilbert key. The keys are range-partitioned into cells of
 a bounded size; a query looks through its own cell and the neighbouring ones on either side, a
 share of ``window`` of all rows each way, whatever the size of the table. What the windows of all
 curves find is merged and ranked again by the exact distance of the original vectors.
@@ -25,6 +25,8 @@ from meridia.llm.workspace import Workspace
 SAMPLE = 20_000
 CELL_ROWS = 20_000
 TIE_BITS = 15
+#: Quantiles of the sample that place a projection.
+KNOTS = 257
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,16 +64,18 @@ class Curves:
         self.bits, self.dims, self.cells = bits, min(dims, width), cells
         self.directions = np.stack([np.linalg.qr(rng.normal(size=(width, width)))[0][:, : self.dims] for _ in range(curves)])
         flat = [sample @ d for d in self.directions]
-        self.low = np.stack([f.min(axis=0) for f in flat])
-        reach = np.stack([f.max(axis=0) for f in flat]) - self.low
-        self.scale = np.where(reach > 0, reach, 1.0) * 1.3
-        self.low -= rng.uniform(0, 0.3, self.low.shape) * self.scale / 1.3
+        # places are ranks in the sample, so that a few far vectors or a tight cluster don't squeeze the rest
+        self.share = np.linspace(0, 1, KNOTS)
+        self.knots = np.stack([np.quantile(f, self.share, axis=0).T for f in flat])
+        self.shift = rng.uniform(0, 0.3, (curves, self.dims))
         keys = [np.sort(self.keys(c, sample, ids)) for c in range(curves)]
         at = (np.arange(1, cells) * len(sample)) // cells
         self.bounds = np.stack([k[at] for k in keys]) if cells > 1 else np.empty((curves, 0), dtype=np.int64)
 
     def keys(self, curve: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        place = (x @ self.directions[curve] - self.low[curve]) / self.scale[curve] * (1 << self.bits)
+        flat = x @ self.directions[curve]
+        place = np.stack([np.interp(flat[:, i], knots, self.share) for i, knots in enumerate(self.knots[curve])], axis=1)
+        place = (place + self.shift[curve]) / 1.3 * (1 << self.bits)
         key = hilbert_keys(np.clip(place, 0, (1 << self.bits) - 1).astype(np.int64), self.bits)
         with np.errstate(over="ignore"):
             tie = (ids.astype(np.uint64) * np.uint64(2 * curve + 1) + np.uint64(curve)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TIE_BITS)
