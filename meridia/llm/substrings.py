@@ -1,21 +1,26 @@
 """Exact substring deduplication on words with prefix-partitioned suffix trees.
 
 A window is ``width`` consecutive words of one document. Every word covered by a window whose word
-sequence also starts earlier (in a smaller document id, or in the same document before) goes.
-
-A document whose whole word sequence a smaller id has as well loses every word, and takes no further
-part. Which suffixes of the others can repeat at all is found next: of the 8-word grams inside a window the one with
-the smallest hash is its anchor, so equal windows have equal anchors, and a window can repeat in
-another document only if its anchor occurs in two different ones. Only suffixes with such an anchor go on, each
-as the hashes of its first 5, 10 and ``width`` words (128 bits in all). Repeats inside a document and inside a batch
-are settled where they are read, so of a passage however common each task sends one suffix.
-
-The suffixes are dealt to memory-sized groups by variable-length prefixes: by 5 words, and where
-a 5-word prefix holds more than ``group`` suffixes by 10, and where that does by all ``width``.
-Sorted by prefix, a group is its suffix tree read depth first: neighbours that agree on 5, 10 or
-``width`` words lie under a common inner node of that depth, and inner nodes at depth ``width`` are
-the repeats. Their first leaf, in document order, stays. Windows that repeat side by side join up
-to maximal repeats.
+sequence also starts earlier (smaller id, or the same document and an earlier word) goes.
+
+Of the ``GRAM``-word grams inside a window the leftmost one with the smallest hash is its anchor. Equal
+windows have their anchors at the same offset, so the suffixes that start at anchors are all the tree needs: two
+windows are equal exactly if their anchors' suffixes share the words from the anchor on and the words before it.
+An anchor that occurs once in the whole table repeats in nothing, and its suffix isn't sent.
+
+The suffixes are dealt to groups by variable-length prefixes: by the anchor's ``GRAM`` words, and where more than
+``group`` suffixes share these, each of its windows by all ``width`` words. A task reads group after group
+and builds their trees from the root down, on the words themselves: the leaves of a node are split by
+their next word, and a node with a single leaf isn't followed. A second tree over the words before the
+anchors, read backwards, hangs under the nodes of depth ``GRAM``. A node of the first tree and one of the second whose
+depths come to ``width`` words or more hold a repeat; extended to both sides it is maximal. Its first leaf, in
+document order, stays. Equal contexts within a task are settled where they are read, so of a passage however
+common each task sends one suffix.
+
+Documents whose whole word sequence (128 bits) an earlier one has lose every word and take no further part.
+
+The texts are written once, each file a part with a number; what later steps find (anchors that repeat, spans to cut)
+is written in a folder for each part and read beside it, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,35 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from meridia.llm.textscan import Lane, U, Words, mix, ngrams, slices
-from meridia.llm.workspace import Workspace, texts_by_id
+from meridia.llm.workspace import Workspace, side_rows, tidy
 
 GRAM = 8
-PREFIXES = (5, 10)
-GROUP = 100_000
-_LANE = Lane(23)
-SUFFIX = "doc_id long, start int, stop int, p5 int, p10 int, p20 long"
-
-
-def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each run of n values, by doubling."""
-    size = 1
-    while size * 2 <= n:
-        x = np.minimum(x[: len(x) - size], x[size:])
-        size *= 2
-    rest = n - size
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def window_anchors(h: np.ndarray, width: int, gram: int = GRAM) -> np.ndarray:
-    """Each window's anchor: the least gram hash in it."""
-    gram = min(gram, width)
-    g = ngrams(h, gram)
-    n = width - gram + 1
-    return sliding_min(g, n) if len(g) >= n else g[:0]
+#: Suffixes that share a prefix beyond which they are dealt by longer ones; also what a task holds at a time.
+GROUP = 50_000
+#: Anchors, and contexts, that a task gathers before it sends them or starts afresh.
+GATHER = 1 << 19
+SEEN = 60_000
+_LANES = (Lane(23), Lane(29))
 
 
 class SequencePrints:
@@ -75,308 +66,404 @@ class SequencePrints:
 _PRINTS = (SequencePrints(41), SequencePrints(43))
 
 
-def _sequences(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, f1, f2) of the documents that hold a window."""
+def leftmost_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Place of the leftmost minimum of each run of n values, by doubling."""
+    at, size = np.arange(len(x)), 1
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[a] <= x[b], a, b)
+
+    while size * 2 <= n:
+        at = better(at[: len(at) - size], at[size:])
+        size *= 2
+    rest = n - size
+    return better(at[: len(at) - rest], at[rest:]) if rest else at
+
+
+class Anchors:
+    """The anchors of a slice, ascending: place and hash of each, the windows [low, high] that have it, and its
+    document's number in the slice. Places count words of the slice."""
+
+    def __init__(self, w: Words, h: np.ndarray, width: int):
+        gram = min(GRAM, width)
+        grams = ngrams(h, gram)
+        n = width - gram + 1
+        place = leftmost_least(grams, n) if len(grams) >= n else np.empty(0, dtype=np.int64)
+        counts = w.counts()
+        starts = np.flatnonzero(np.arange(len(h)) + width <= np.repeat(w.first[1:], counts))
+        place = place[starts]
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, dtype=np.int64)
+        self.at, self.low = place[new], starts[new]
+        self.high = starts[np.concatenate([new[1:], [len(starts)]]) - 1] if len(new) else starts
+        self.hash = grams[self.at].view(np.int64)
+        self.doc = np.searchsorted(w.first, self.at, "right") - 1
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the part changes; a task may read several parts one after the other."""
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                yield int(parts[lo]), batch.slice(lo, hi - lo)
+
+
+def _texts(documents: DataFrame, width: int, rest: list[str]) -> DataFrame:
+    """(id, text, part, row, n, f1, f2[, rest]): each text with its part, a number of its own, its words if it
+    holds a window (else 0) and its sequence's fingerprints."""
+    columns = [F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")]
+    if rest:
+        columns.append(F.struct(*[documents[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"))
+    source = documents.select(*columns)
+    schema = StructType([f for f in source.schema.fields if f.name != "rest"]).add("n", "long").add("f1", "long").add("f2", "long")
+    if rest:
+        schema = schema.add(source.schema["rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in slices(batch.column("text")):
-                h = _LANE.words(w.data, w.starts, w.ends)
-                keep = pa.array(w.counts() >= width)
-                columns = [batch.column("doc_id").slice(w.rows[0], len(w.rows)), pa.array(w.counts(), pa.int64()), *(pa.array(p.of(h, w.first)) for p in _PRINTS)]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["doc_id", "n", "f1", "f2"])
+                m = len(w.rows)
+                own = batch.slice(w.rows[0], m)
+                prints = [p.of(lane.words(w.data, w.starts, w.ends), w.first) for p, lane in zip(_PRINTS, _LANES, strict=True)]
+                counts = np.where(w.counts() >= width, w.counts(), 0)
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(counts, pa.int64()), *map(pa.array, prints), *own.columns[4:]], names=schema.names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return source.mapInArrow(tidy(run), schema)
 
 
-def _copies(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n) of documents whose word sequence a smaller id has."""
-    own = _sequences(docs, width)
-    first = own.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    return own.join(first, ["f1", "f2", "n"]).where("doc_id > first").select("doc_id", "n")
+def _copies(texts: DataFrame, space: Workspace) -> DataFrame:
+    """(part, row) of documents whose word sequence an earlier one has. The groups' first rows are a table of
+    their own, so that the join can split a group however large."""
+    own = texts.where("n > 0 and id is not null").select("part", F.struct("id", "row").alias("key"), "n", "f1", "f2")
+    first = own.groupBy("n", "f1", "f2").agg(F.min("key").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = space.write(first, "firsts")
+    return own.join(first, ["n", "f1", "f2"]).where(F.col("key") > F.col("first")).select("part", F.col("key.row").alias("row"))
 
 
-def _anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, print, doc_id), once per document; the print is the same for equal word sequences."""
+def _repeated(texts: DataFrame, gone: str, width: int, group: int) -> DataFrame:
+    """(part, anchor, hot): anchors of each part that occur more than once in all, and whether more than
+    ``group`` times. Of an anchor each task sends a few rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+        held: list[np.ndarray] = []
+        size, part_of, left_out = 0, None, None
+
+        def given() -> pa.RecordBatch:
+            anchors, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.full(len(n), part_of, dtype=np.int32)), pa.array(n)], names=["anchor", "part", "n"])
+
+        for part, batch in _by_part(batches):
+            if part != part_of:
+                if held:
+                    yield given()
+                held, size, part_of, left_out = [], 0, part, _rows_of(gone, part)
+            rows = batch.column("row").to_numpy()
             for w in slices(batch.column("text")):
-                h = _LANE.words(w.data, w.starts, w.ends)
-                all_anchors = window_anchors(h, width)
-                prints = _PRINTS[0].of(h, w.first)
-                found, who, same = [], [], []
-                for i, (lo, n) in enumerate(zip(w.first.tolist(), w.counts().tolist(), strict=False)):
-                    if n < width:
-                        continue
-                    a = all_anchors[lo : lo + n - width + 1]
-                    a = np.unique(a[np.concatenate([[True], a[1:] != a[:-1]])])
-                    found.append(a)
-                    who.append(np.full(len(a), ids[w.rows[i]]))
-                    same.append(np.full(len(a), prints[i]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(same)), pa.array(np.concatenate(who))], names=["anchor", "print", "doc_id"])
-
-    return docs.mapInArrow(run, "anchor long, print long, doc_id long")
-
-
-def _repeated(anchors: DataFrame) -> DataFrame:
-    """(anchor, doc_id) of anchors that two or more different sequences have, the smallest id of each;
-    a run of equal anchors streams through."""
+                a = Anchors(w, _LANES[0].words(w.data, w.starts, w.ends), width)
+                held.append(a.hash[~np.isin(rows[w.rows], left_out)[a.doc]])
+                size += len(held[-1])
+                if size > GATHER:
+                    yield given()
+                    held, size = [], 0
+        if held:
+            yield given()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            anchor, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(anchor):
-                continue
-            given = False
-            if held is not None and held[0] == anchor[0]:
-                anchor, doc, given = np.concatenate([[held[0]], anchor]), np.concatenate([[held[1]], doc]), held[2]
-            same = np.zeros(len(anchor) + 1, dtype=bool)
-            same[1:-1] = anchor[1:] == anchor[:-1]
-            keep = same[1:] | same[:-1]
-            held = (anchor[-1], doc[-1], bool(keep[-1]))
-            if given:
-                keep[0] = False
-                held = (anchor[-1], doc[-1], bool(same[-2]) or len(anchor) == 1)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(doc[keep])], names=["anchor", "doc_id"])
+    found = texts.where("n > 0 and id is not null").select("text", "part", "row").mapInArrow(tidy(run), "anchor long, part int, n long")
+    found = found.withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1")
+    return found.select("part", "anchor", (F.col("total") > group).alias("hot"))
 
-    once = anchors.repartition("anchor").groupBy("anchor", "print").agg(F.min("doc_id").alias("doc_id")).select("anchor", "doc_id")
-    return once.sortWithinPartitions("anchor").mapInArrow(run, "anchor long, doc_id long")
 
+def _rows_of(folder: str, part: int) -> np.ndarray:
+    return np.sort(side_rows(folder, part, ["row"])["row"].to_numpy())
 
-def _spans(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending window starts as runs of starts [from, to]."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
 
+SUFFIX = "prefix long, id long, row long, part int, at int, far int, near int, context binary"
 
-def _suffixes(docs: DataFrame, width: int) -> DataFrame:
-    """Suffixes to compare across documents and, with null prefixes, runs of window starts of which it
-    is settled that they repeat. ``docs`` holds doc_id, text and the repeated anchors."""
+
+def _suffixes(texts: DataFrame, gone: str, sets: str, width: int) -> DataFrame:
+    """Suffixes at repeated anchors: the anchor's place in its document, the windows' offsets before it (far to near),
+    and the words of all these windows. Without a context, windows that are settled: an equal
+    context of this task starts earlier."""
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            hot = batch.column("anchors")
-            hot_at, hot_of = hot.offsets.to_numpy(), hot.values.to_numpy().view(np.uint64)
-            hot_null = np.asarray(hot.is_null())
-            for w in slices(batch.column("text")):
-                yield from of_slice(w, ids, hot_at, hot_of, hot_null)
+        part_of, left_out, known, hot = None, None, None, None
+        seen: dict[bytes, tuple[int, int, int]] = {}
+        for part, batch in _by_part(batches):
+            if part != part_of:
+                part_of, left_out = part, _rows_of(gone, part)
+                table = side_rows(sets, part, ["anchor", "hot"])
+                known, hot = table["anchor"].to_numpy(), table["hot"].to_numpy(zero_copy_only=False)
+                known, place = np.unique(known, return_index=True)
+                hot = hot[place]
+            ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
+            for w in slices(batch.column("text"), 1 << 21):
+                if len(seen) > SEEN:
+                    seen.clear()
+                found = of_slice(w, ids[w.rows], rows[w.rows], left_out, known, hot, seen)
+                if found is not None:
+                    columns, contexts = found
+                    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
+                    prefix, doc, row, at, far, near = (c.astype(k) for c, k in zip(columns, kinds, strict=True))
+                    parts = np.full(len(at), part, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (prefix, doc, row, parts, at, far, near)), pa.array(contexts, pa.binary())], names=names)
+
+    def of_slice(w, ids, rows, left_out, known, hot, seen):
+        if not len(known):
+            return None
+        h = _LANES[0].words(w.data, w.starts, w.ends)
+        a = Anchors(w, h, width)
+        k = np.minimum(np.searchsorted(known, a.hash), len(known) - 1)
+        chosen = (known[k] == a.hash) & ~np.isin(rows, left_out)[a.doc]
+        warm = chosen & hot[k]
+        cold = np.flatnonzero(chosen & ~warm)
+        prefix, at, low, high, doc = a.hash[cold], a.at[cold], a.low[cold], a.high[cold], a.doc[cold]
+        if warm.any():
+            # each window by itself, by all its words
+            each = np.flatnonzero(warm)
+            times = a.high[each] - a.low[each] + 1
+            which = np.repeat(each, times)
+            start = a.low[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            full = ngrams(h, width).view(np.int64)
+            prefix, at, low, high, doc = (np.concatenate(x) for x in ((prefix, full[start]), (at, a.at[which]), (low, start), (high, start), (doc, a.doc[which])))
+        if not len(at):
+            return None
+        order = np.lexsort((at, rows[doc], ids[doc]))
+        prefix, at, low, high, doc = (x[order] for x in (prefix, at, low, high, doc))
+        body, place = spaced(w)
+        mine, row = ids[doc], rows[doc]
+        begin, end = place[low].tolist(), (place[high + width] - 1).tolist()
+        contexts: list[bytes | None] = []
+        for lo, hi, *key in zip(begin, end, mine.tolist(), row.tolist(), at.tolist(), strict=True):
+            context, key = body[lo:hi], tuple(key)
+            before = seen.get(context)
+            if before is not None and before < key:
+                contexts.append(None)
+            else:
+                seen[context] = key
+                contexts.append(context)
+        settled = np.fromiter((c is None for c in contexts), dtype=bool, count=len(contexts))
+        with np.errstate(over="ignore"):
+            prefix = np.where(settled, mix(row.view(np.uint64) + U(1)).view(np.int64), prefix)
+        return (prefix, mine, row, at - w.first[doc], at - low, at - high), contexts
+
+    source = texts.where("n > 0 and id is not null").select("id", "text", "part", "row")
+    return source.mapInArrow(tidy(run), SUFFIX)
 
-    def of_slice(w: Words, ids, hot_at, hot_of, hot_null) -> Iterator[pa.RecordBatch]:
-        h = _LANE.words(w.data, w.starts, w.ends)
-        full, anchors = ngrams(h, width), window_anchors(h, width)
-        prefix = [ngrams(h, p) for p in PREFIXES]
-        settled, doc_of, at_of = [], [], []
-        counts = w.counts()
-        for i in np.argsort(ids[w.rows], kind="stable").tolist():
-            lo, n = int(w.first[i]), int(counts[i]) - width + 1
-            if n < 1:
-                continue
-            keys = full[lo : lo + n]
-            order = np.argsort(keys, kind="stable")
-            ranked = keys[order]
-            again = np.concatenate([[False], ranked[1:] == ranked[:-1]])
-            row = w.rows[i]
-            if again.any():
-                settled.append((ids[row], np.sort(order[again])))
-            if not hot_null[row]:
-                own = np.sort(hot_of[hot_at[row] : hot_at[row + 1]])
-                a = anchors[lo : lo + n]
-                k = np.minimum(np.searchsorted(own, a), max(len(own) - 1, 0))
-                chosen = (own[k] == a) if len(own) else np.zeros(n, dtype=bool)
-                chosen[order[again]] = False
-                at = np.flatnonzero(chosen)
-                doc_of.append(np.full(len(at), ids[row]))
-                at_of.append(at + lo)
-        if at_of:
-            doc, at = np.concatenate(doc_of), np.concatenate(at_of)
-            # documents come in ascending order of ids, so the first of equal windows is the earliest here
-            keys = full[at]
-            order = np.argsort(keys, kind="stable")
-            again = np.concatenate([[False], keys[order][1:] == keys[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
-            firsts = np.sort(order[~again])
-            base = w.first[np.searchsorted(w.first, at, "right") - 1]
-            if again.any():
-                late = np.sort(order[again])
-                cut = np.flatnonzero(np.diff(doc[late]) != 0) + 1
-                for part in np.split(late, cut):
-                    settled.append((doc[part[0]], np.sort(at[part] - base[part])))
-            if len(firsts):
-                s, m = at[firsts], len(firsts)
-                start = (s - base[firsts]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[firsts]), pa.array(start), pa.array(start), *(pa.array((p[s] >> U(32)).astype(np.uint32).view(np.int32)) for p in prefix), pa.array(full[s].view(np.int64))], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
-        if settled:
-            docs_, lows, highs = [], [], []
-            for doc_id, starts in settled:
-                lo, hi = _spans(starts, width)
-                docs_.append(np.full(len(lo), doc_id))
-                lows.append(lo)
-                highs.append(hi)
-            docs_, lows, highs = np.concatenate(docs_), np.concatenate(lows).astype(np.int32), np.concatenate(highs).astype(np.int32)
-            none = pa.nulls(len(docs_), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(lows), pa.array(highs), none, none, pa.nulls(len(docs_), pa.int64())], names=["doc_id", "start", "stop", "p5", "p10", "p20"])
-
-    return docs.mapInArrow(run, SUFFIX)
-
-
-def _grouped(suffixes: DataFrame, group: int) -> DataFrame:
-    """Adds the variable-length prefix that a suffix is dealt by. The prefixes that need more words are
-    few: each holds more than ``group`` suffixes, so there are at most input / group of them."""
-    hot5 = suffixes.groupBy("p5").count().where(F.col("count") > group).select("p5", F.lit(True).alias("h5"))
-    with5 = suffixes.join(F.broadcast(hot5), "p5", "left")
-    hot10 = suffixes.join(F.broadcast(hot5), "p5", "left_semi").groupBy("p5", "p10").count().where(F.col("count") > group).select("p5", "p10", F.lit(True).alias("h10"))
-    with10 = with5.join(F.broadcast(hot10), ["p5", "p10"], "left")
-    prefix = F.when(F.col("h10"), F.xxhash64("p5", "p10", "p20")).when(F.col("h5"), F.xxhash64("p5", "p10")).otherwise(F.xxhash64("p5"))
-    return with10.select("doc_id", "start", "p5", "p10", "p20", prefix.alias("prefix"))
-
-
-def _tree_repeats(grouped: DataFrame) -> DataFrame:
-    """Leaves under inner nodes of full depth, other than each node's first leaf."""
+
+def spaced(w: Words, stay: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """The words (or those that stay) with one space behind each, and where each begins; one more
+    place for the end."""
+    starts, ends = (w.starts, w.ends) if stay is None else (w.starts[stay], w.ends[stay])
+    place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    flat = np.full(int(place[-1]), 0x20, dtype=np.uint8)
+    room = np.ones(len(flat), dtype=bool)
+    room[place[1:] - 1] = False
+    mark = np.zeros(len(w.data) + 1, dtype=np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    flat[room] = w.data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    return flat.tobytes(), place
+
+
+def descend(root: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """The node above each leaf at every depth, from the root down: leaves of a node go on together while their
+    next words agree. -1 where a leaf has no further word, or is alone under its node."""
+    nodes = [root]
+    step = int(words.max(initial=0)) + 1
+    for column in words.T:
+        node = np.full(len(root), -1, dtype=np.int64)
+        live = np.flatnonzero((nodes[-1] >= 0) & (column >= 0))
+        if len(live):
+            _, which, count = np.unique(nodes[-1][live] * step + column[live], return_inverse=True, return_counts=True)
+            inner = count[which] > 1
+            node[live[inner]] = which[inner]
+        nodes.append(node)
+    return nodes
+
+
+def tree_repeats(prefix: np.ndarray, far: np.ndarray, near: np.ndarray, contexts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes in document order: (leaves, offsets) whether the window at each offset before its anchor
+    is a leaf of a repeat but not its first, and whether a leaf is the first of any of its windows."""
+    gram, m = min(GRAM, width), len(prefix)
+    split = pc.split_pattern(contexts.cast(pa.string()), " ")
+    flat = split.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = split.offsets.to_numpy().astype(np.int64)
+    first = first - first[0]
+    anchor, end = (first[:-1] + far)[:, None], first[1:][:, None]
+
+    def words(at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, flat[np.where(there, at, 0)], -1)
+
+    ahead = anchor + np.arange(width)
+    behind = anchor - 1 - np.arange(width - gram)
+    after = descend(np.unique(prefix, return_inverse=True)[1].astype(np.int64), words(ahead, ahead < end))
+    before = descend(after[gram], words(behind, behind >= first[:-1][:, None]))
+    again, leads = np.zeros((m, width - gram + 1), dtype=bool), np.zeros(m, dtype=bool)
+    for offset in range(width - gram + 1):
+        own = (near <= offset) & (offset <= far)
+        right, left = after[width - offset], before[offset]
+        live = np.flatnonzero(own & (right >= 0) & (left >= 0))
+        leads |= own
+        if len(live):
+            _, at, which = np.unique(right[live] * (int(left.max()) + 1) + left[live], return_index=True, return_inverse=True)
+            late = np.ones(len(live), dtype=bool)
+            late[at] = False
+            again[live[late], offset] = True
+    # a leaf all of whose windows come earlier leads none of them
+    leads &= again.sum(axis=1) < far - near + 1
+    return again, leads
+
+
+REMOVED = "part int, row long, low int, high int"
+
+
+def _removed(suffixes: DataFrame, width: int, group: int) -> DataFrame:
+    """Runs of window starts [low, high] whose windows start earlier as well."""
+    names = [c.split()[0] for c in REMOVED.split(", ")]
+    hold = max(group, 1)
+
+    def runs(part, row, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in ((part, np.int32), (row, np.int64), (low, np.int32), (high, np.int32))], names=names)
+
+    def of_groups(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        part, row, at, far, near, prefix = (table[c].to_numpy() for c in ("part", "row", "at", "far", "near", "prefix"))
+        again, leads = tree_repeats(prefix, far, near, table["context"].combine_chunks(), width)
+        edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        leaf, nearest = np.nonzero(edge == 1)
+        _, beyond = np.nonzero(edge == -1)
+        return runs(part[leaf], row[leaf], at[leaf] - beyond + 1, at[leaf] - nearest), leads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
+            settled = pc.is_null(batch.column("context"))
+            if batch.num_rows and pc.any(settled).as_py():
+                part, row, at, far, near = (batch.column(c).filter(settled).to_numpy() for c in ("part", "row", "at", "far", "near"))
+                yield runs(part, row, at - far, at - near)
+                batch = batch.filter(pc.invert(settled))
             if not batch.num_rows:
                 continue
-            doc, start, *keys = (batch.column(c).to_numpy() for c in range(5))
-            deep = np.ones(len(doc), dtype=bool)
-            for k, key in enumerate(keys):
-                deep[1:] &= key[1:] == key[:-1]
-                deep[0] &= before is not None and before[k] == key[0]
-            before = [key[-1] for key in keys]
-            if deep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[deep]), pa.array(start[deep])], names=["doc_id", "start"])
-
-    dealt = grouped.repartition("prefix").sortWithinPartitions("p5", "p10", "p20", "doc_id", "start")
-    return dealt.select("doc_id", "start", "p5", "p10", "p20").mapInArrow(run, "doc_id long, start int")
+            held.append(batch)
+            size += batch.num_rows
+            if size < hold:
+                continue
+            table = pa.Table.from_batches(held)
+            prefix = table["prefix"].to_numpy()
+            # the last group may go on; where it is all there is, only leaves that lead a repeat need to wait
+            cut = int(np.searchsorted(prefix, prefix[-1]))
+            found, leads = of_groups(table.slice(0, cut) if cut else table)
+            yield found
+            rest = table.slice(cut) if cut else table.filter(pa.array(leads))
+            held, size = rest.combine_chunks().to_batches(), len(rest)
+        if held:
+            yield of_groups(pa.Table.from_batches(held))[0]
+
+    dealt = suffixes.repartition("prefix").sortWithinPartitions("prefix", "id", "row", "at")
+    return dealt.mapInArrow(tidy(run), REMOVED)
+
+
+def _cut(w: Words, rows: np.ndarray, removed: tuple[np.ndarray, np.ndarray, np.ndarray], gone: np.ndarray, width: int) -> tuple[np.ndarray, list[list[int]], list[str]]:
+    """Of each document of a slice: words removed, the maximal runs [from, to) of them, and the words kept."""
+    row, low, high = removed
+    counts, own = w.counts(), rows[w.rows]
+    lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
+    times = hi - lo
+    at = np.repeat(lo, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    base = np.repeat(w.first[:-1], times)
+    depth = np.zeros(len(w.starts) + 1, dtype=np.int64)
+    np.add.at(depth, base + low[at], 1)
+    np.add.at(depth, base + high[at] + width, -1)
+    whole = np.isin(own, gone)
+    np.add.at(depth, w.first[:-1][whole], 1)
+    np.add.at(depth, w.first[1:][whole], -1)
+    away = np.cumsum(depth)[:-1] > 0
+    body, place = spaced(w, ~away)
+    upto = np.concatenate([[0], np.cumsum(~away)])[w.first]
+    kept = [body[place[a] : place[b] - 1].decode() if b > a else "" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+    lost = counts - np.diff(upto)
+    spans: list[list[int]] = [[] for _ in range(len(own))]
+    for i in np.flatnonzero(lost).tolist():
+        mine = np.concatenate([[False], away[w.first[i] : w.first[i + 1]], [False]])
+        spans[i] = np.flatnonzero(mine[1:] != mine[:-1]).tolist()
+    return lost, spans, kept
+
+
+class Repeats:
+    """Where the repeats of a table lie: its texts by part, and beside them the rows that go whole and
+    the runs of windows that go."""
+
+    def __init__(self, spark: SparkSession, documents: DataFrame, width: int, group: int, rest: list[str]):
+        if width < 2:
+            raise ValueError("a window has two words at least")
+        space = Workspace(spark, "substrings")
+        self.width = width
+        self.texts = space.write(_texts(documents, width, rest), "texts")
+        self.gone = space.write_parts(_copies(self.texts, space), "gone", "part")
+        sets = space.write_parts(_repeated(self.texts, self.gone, width, group), "sets", "part")
+        self.removed = space.write_parts(_removed(_suffixes(self.texts, self.gone, sets, width), width, group), "removed", "part")
+        space.drop("sets", "firsts")
+
+    def cut(self, columns: list[str], out: StructType, give) -> DataFrame:
+        """``give(batch, words, counts, lost, spans, kept)`` of every slice of the texts, as batches of ``out``."""
+        width, gone, removed = self.width, self.gone, self.removed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part_of, left_out, runs = None, None, None
+            for part, batch in _by_part(batches):
+                if part != part_of:
+                    part_of, left_out = part, _rows_of(gone, part)
+                    table = side_rows(removed, part, ["row", "low", "high"]).sort_by("row")
+                    runs = tuple(table[c].to_numpy() for c in ("row", "low", "high"))
+                rows = batch.column("row").to_numpy()
+                for w in slices(batch.column("text"), 1 << 21):
+                    lost, spans, kept = _cut(w, rows, runs, left_out, width)
+                    yield give(batch.slice(w.rows[0], len(w.rows)), w.counts(), lost, spans, kept)
+    
+        return self.texts.select("part", "row", "text", *columns).mapInArrow(tidy(run), out)
 
 
-def repeat_spans(spark: SparkSession, documents: DataFrame, width: int = 20, group: int = GROUP, space: Workspace | None = None) -> DataFrame:
-    """(doc_id, spans): each document's maximal runs [from, to) of words to remove, ascending.
+def without_repeats(spark: SparkSession, documents: DataFrame, width: int = 20, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept) of each row with an id: the number of words, of words removed, the
+    maximal runs [from, to) of these, flat, and the words that stay, joined by one space.
 
-    Documents without any are left out. Null texts and texts of fewer than ``width`` words have
-    none; see ``texts_by_id`` for null and repeated ids.
+    A null text has no words. Rows that share an id come in the order in which they are stored. Rows with a
+    null id are left out. Texts of fewer than ``width`` words lose nothing. Other columns aren't read, and an empty
+    table gives an empty result.
     """
-    space = space or Workspace(spark, "substrings")
-    docs = texts_by_id(documents)
-    repeated = _repeated(_anchors(docs, width))
-    lists = space.write(repeated.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
-    copies = space.write(_copies(docs, width), "copies")
-    with_lists = docs.join(copies.select("doc_id"), "doc_id", "left_anti").join(lists, "doc_id", "left")
-    found = space.write(_suffixes(with_lists, width), "suffixes")
-    space.drop("anchors")
-    across = _tree_repeats(_grouped(found.where("p20 is not null"), group)).select("doc_id", "start", F.col("start").alias("stop"))
-    inside = found.where("p20 is null").select("doc_id", "start", "stop")
-    runs = across.union(inside).union(copies.select("doc_id", F.lit(0).alias("start"), (F.col("n") - width).cast("int").alias("stop"))).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column(1)
-            at = runs.offsets.to_numpy()
-            lows, highs = (runs.values.field(k).to_numpy() for k in range(2))
-            out = []
-            for i in range(batch.num_rows):
-                lo, hi = lows[at[i] : at[i + 1]], highs[at[i] : at[i + 1]] + width
-                order = np.argsort(lo, kind="stable")
-                lo, reach = lo[order], np.maximum.accumulate(hi[order])
-                new = np.concatenate([[True], lo[1:] > reach[:-1]])
-                first = np.flatnonzero(new)
-                end = reach[np.concatenate([first[1:] - 1, [len(lo) - 1]])]
-                out.append(np.stack([lo[first], end], axis=1).ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "spans"])
-
-    spans = space.write(runs.mapInArrow(merge, "doc_id long, spans array<int>"), "spans")
-    space.drop("suffixes")
-    return spans
-
+    out = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("spans", ArrayType(IntegerType())).add("kept", "string")
 
-def without_repeats(spark: SparkSession, documents: DataFrame, width: int = 20, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space."""
-    docs = texts_by_id(documents)
-    spans = repeat_spans(spark, documents, width, group)
+    def give(batch, counts, lost, spans, kept):
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=out.names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans")
-            at, values, null = spans.offsets.to_numpy(), spans.values.to_numpy(), np.asarray(spans.is_null())
-            for w in slices(batch.column("text")):
-                yield _cut(w, batch, at, values, null)
-
-    return docs.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def _cut(w: Words, batch: pa.RecordBatch, at: np.ndarray, values: np.ndarray, null: np.ndarray) -> pa.RecordBatch:
-    counts, removed, kept = w.counts(), [], []
-    gone = np.zeros(len(w.starts) + 1, dtype=np.int32)
-    for i, row in enumerate(w.rows.tolist()):
-        if not null[row]:
-            span = values[at[row] : at[row + 1]] + int(w.first[i])
-            gone[span[0::2]] += 1
-            gone[span[1::2]] -= 1
-    stay = np.cumsum(gone)[:-1] == 0
-    # each word is copied with one space behind it
-    size = (w.ends - w.starts)[stay]
-    ends = np.cumsum(size + 1)
-    flat = np.full(int(ends[-1]) if len(ends) else 0, 0x20, dtype=np.uint8)
-    room = np.ones(len(flat), dtype=bool)
-    room[ends - 1] = False
-    mark = np.zeros(len(w.data) + 1, dtype=np.int8)
-    mark[w.starts[stay]] += 1
-    mark[w.ends[stay]] -= 1
-    flat[room] = w.data[np.cumsum(mark[:-1]).astype(bool)]
-    body = flat.tobytes()
-    upto = np.concatenate([[0], np.cumsum(stay)])[w.first]
-    place = np.concatenate([[0], ends])
-    for i in range(len(w.rows)):
-        lo, hi = int(upto[i]), int(upto[i + 1])
-        removed.append(int(counts[i]) - (hi - lo))
-        kept.append(body[place[lo] : place[hi] - 1].decode() if hi > lo else "")
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(kept)), pa.array(counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    return Repeats(spark, documents.where("doc_id is not null"), width, group, []).cut(["id"], out, give)
 
 
 def cut_texts(spark: SparkSession, documents: DataFrame, width: int = 20, group: int = GROUP) -> DataFrame:
     """The rows of documents with their repeats cut out of ``text``, and ``n_chars`` to match where
     there is such a column. Texts without repeats stay byte for byte; rows that lose every word
-    go; rows with a null id stay as they are."""
-    spans = repeat_spans(spark, documents, width, group).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = documents.join(spans, documents["doc_id"].cast("long") == spans["__id"], "left").drop("__id")
-    joined = joined.withColumn("text", F.col("text").cast("string"))
-    kept = joined.drop("__spans").schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("__spans")
-            null = np.asarray(spans.is_null())
-            rest = batch.drop_columns(["__spans"])
-            if null.all():
-                yield rest
-                continue
-            at, values = spans.offsets.to_numpy(), spans.values.to_numpy()
-            some = batch.filter(pa.array(~null))
-            texts = []
-            chosen = np.flatnonzero(~null)
-            own = pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text")], names=["doc_id", "text"])
-            sizes = (at[1:] - at[:-1])[chosen]
-            own_at = np.concatenate([[0], np.cumsum(sizes)])
-            own_values = np.concatenate([values[at[i] : at[i + 1]] for i in chosen])
-            none = np.zeros(len(chosen), dtype=bool)
-            for w in slices(own.column("text")):
-                texts += _cut(w, own, own_at, own_values, none).column("kept").to_pylist()
-            whole = batch.column("text").to_pylist()
-            for i, text in zip(chosen.tolist(), texts, strict=True):
-                whole[i] = text
-            column = rest.schema.get_field_index("text")
-            changed = rest.set_column(column, "text", pa.array(whole, pa.string()))
-            stays = np.ones(batch.num_rows, dtype=bool)
-            stays[[i for i, text in zip(chosen.tolist(), texts, strict=True) if not text]] = False
-            yield changed.filter(pa.array(stays))
-
-    out = joined.mapInArrow(cut, kept)
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(kept["n_chars"].dataType))
-    return out.select(documents.columns)
+    go; rows with a null id stay as they are, and rows that share an id each lose their own repeats."""
+    rest = [c for c in documents.columns if c != "text"]
+    found = Repeats(spark, documents, width, group, rest)
+    kind = found.texts.schema["rest"]
+    out = StructType().add("text", "string").add(kind)
+
+    def give(batch, counts, lost, spans, kept):
+        text = batch.column("text")
+        if lost.any():
+            text = pc.if_else(pa.array(lost > 0), pa.array(kept, text.type), text)
+        stays = pa.array((lost == 0) | (lost < counts))
+        return pa.RecordBatch.from_arrays([text, batch.column("rest")], names=out.names).filter(stays)
+
+    cut = found.cut(["rest"], out, give)
+    columns = []
+    for c in documents.columns:
+        if c == "text":
+            columns.append(F.col("text"))
+        elif c == "n_chars":
+            columns.append(F.length("text").cast(documents.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"rest.c{rest.index(c)}").alias(c))
+    return cut.select(*columns)
