@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -134,67 +137,86 @@ def grid_rows(sessions: DataFrame, days: DataFrame) -> DataFrame:
     return islands(minutes.withColumn("__gap", gap), ["trading_date"], "rel_min", F.col("__gap"), "seg_session").drop("__gap")
 
 
-def dominance(stats: DataFrame, confirm: int = 2) -> DataFrame:
-    """(product, trading_date, contract, factor): the contract that leads, day by day. A challenger of
-    later delivery replaces the holder on the day after it has had more volume on ``confirm`` days
-    running. ``factor`` is new over old close at a change (of the last three days that have both),
-    else 1. One product's daily rows, a few thousand, are read by one task."""
+def dominance(stats: DataFrame, confirm: int = 2, holes: tuple[datetime.date, ...] = ()) -> DataFrame:
+    """(product, trading_date, segment, contract, factor): the contract that leads, day by day.
+
+    A segment ends with each day of ``holes``; nothing is carried over to the next, which starts with its first
+    day's contract of most volume (ties: more open interest, then the nearer delivery). Within a segment a
+    challenger that delivers no earlier than the holder and has had more volume on ``confirm`` days running leads
+    from the day after. ``factor`` is there, on its first day, its close over the holder's at
+    confirmation, each the last of three days; 1 without both, and on all other days. One product's daily rows, a few
+    thousand, are read in order by one task."""
+    ends = sorted(holes)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["trading_date"], r["delivery_ym"]))
-        by_day: dict = {}
-        for r in rows:
+        by_day: dict[datetime.date, dict[str, dict]] = {}
+        for r in sorted(table.to_pylist(), key=lambda r: (r["trading_date"], r["contract"])):
             by_day.setdefault(r["trading_date"], {})[r["contract"]] = r
-        days = sorted(by_day)
-        rank = lambda r: (r["day_volume"], r["last_position"] or 0, -r["delivery_ym"])
-        held, streak, rival, pending = None, 0, None, None
-        out = []
+        days, out = list(by_day), []
+
+        def best(there: dict[str, dict], least: int, besides: str | None) -> str | None:
+            names = [c for c, r in there.items() if c != besides and r["delivery_ym"] >= least]
+            return max(names, key=lambda c: (there[c]["day_volume"] or 0, there[c]["last_position"] or 0, -there[c]["delivery_ym"]), default=None)
+
+        def close(contract: str, i: int) -> float | None:
+            known = (by_day[d].get(contract, {}).get("day_close") for d in days[max(0, i - 2) : i + 1][::-1])
+            return next((float(c) for c in known if c is not None), None)
+
+        segment, held, delivery, rival, streak, following = None, None, -1, None, 0, None
         for i, day in enumerate(days):
             there, factor = by_day[day], 1.0
-            if pending is not None:
-                for back in days[max(0, i - 3) : i][::-1]:
-                    a, b = by_day[back].get(held), by_day[back].get(pending)
-                    if a and b and a["day_close"] and b["day_close"]:
-                        factor = float(b["day_close"]) / float(a["day_close"])
-                        break
-                held, pending, rival, streak = pending, None, None, 0
-            best = max(there.values(), key=rank)
-            if held is None:
-                held = best["contract"]
-            out.append((day, held, factor))
-            own = there.get(held)
-            delivery = own["delivery_ym"] if own else next((by_day[d][held]["delivery_ym"] for d in days[i::-1] if held in by_day[d]), 0)
-            if best["contract"] != held and best["delivery_ym"] > delivery and (own is None or best["day_volume"] > own["day_volume"]):
-                streak = streak + 1 if rival == best["contract"] else 1
-                rival = best["contract"]
-                if streak >= confirm:
-                    pending = rival
+            own = bisect_left(ends, day)
+            if own != segment:
+                segment, held, rival, streak, following = own, best(there, -1, None), None, 0, None
+                delivery = there[held]["delivery_ym"]
+                out.append((day, segment, held, factor))
+                continue
+            if following is not None:
+                held, delivery, factor = following
+                following = None
+            out.append((day, segment, held, factor))
+            against = there[held]["day_volume"] or 0 if held in there else 0
+            candidate = best(there, delivery, held)
+            if candidate is not None and (there[candidate]["day_volume"] or 0) > against:
+                streak = streak + 1 if candidate == rival else 1
+                rival = candidate
             else:
                 rival, streak = None, 0
-        return pa.table({"product": pa.array([key[0].as_py()] * len(out)).cast(table["product"].type), "trading_date": pa.array([o[0] for o in out], pa.date32()), "contract": pa.array([o[1] for o in out], pa.string()), "factor": pa.array([o[2] for o in out], pa.float64())})
+            if rival is not None and streak >= confirm:
+                old, new = close(held, i), close(rival, i)
+                following = (rival, there[rival]["delivery_ym"], new / old if old is not None and new is not None and old > 0 else 1.0)
+                rival, streak = None, 0
+        return pa.table({"product": pa.array([key[0].as_py()] * len(out)).cast(table["product"].type), "trading_date": pa.array([o[0] for o in out], pa.date32()), "segment": pa.array([o[1] for o in out], pa.int32()), "contract": pa.array([o[2] for o in out], pa.string()), "factor": pa.array([o[3] for o in out], pa.float64())})
 
     kind = stats.schema["product"].dataType.simpleString()
     need = stats.select("product", F.col("contract").cast("string").alias("contract"), "trading_date", F.col("delivery_ym").cast("bigint").alias("delivery_ym"), F.col("day_volume").cast("double").alias("day_volume"), F.col("last_position").cast("double").alias("last_position"), F.col("day_close").cast("double").alias("day_close"))
-    return need.groupBy("product").applyInArrow(run, f"product {kind}, trading_date date, contract string, factor double")
+    return need.groupBy("product").applyInArrow(run, f"product {kind}, trading_date date, segment int, contract string, factor double")
 
 
 def dominance_spans(held: DataFrame) -> DataFrame:
-    """(product, contract, date_start, date_end, adj_factor): stretches of one contract; prices times
-    adj_factor are continuous, the last stretch unchanged."""
-    w = Window.partitionBy("product").orderBy("trading_date")
+    """(product, segment, contract, date_start, date_end, adj_factor, rolled): stretches of one contract. Prices times
+    adj_factor are continuous within a segment: 1 at its start, divided by the factor of each roll so far, so
+    no later roll changes an earlier price. ``rolled`` tells stretches that a roll began."""
+    w = Window.partitionBy("product", "segment").orderBy("trading_date")
     change = F.coalesce(F.lag("contract").over(w) != F.col("contract"), F.lit(True))
-    runs = islands(held.withColumn("__c", change), ["product"], "trading_date", F.col("__c"), "span")
-    spans = runs.groupBy("product", "span", "contract").agg(F.min("trading_date").alias("date_start"), F.max("trading_date").alias("date_end"), F.min_by("factor", "trading_date").alias("factor"))
-    later = Window.partitionBy("product").orderBy("span").rowsBetween(1, Window.unboundedFollowing)
-    return spans.withColumn("adj_factor", F.exp(F.coalesce(F.sum(F.ln("factor")).over(later), F.lit(0.0)))).drop("span", "factor")
+    runs = islands(held.withColumn("__c", change), ["product", "segment"], "trading_date", F.col("__c"), "span")
+    spans = runs.groupBy("product", "segment", "span", "contract").agg(F.min("trading_date").alias("date_start"), F.max("trading_date").alias("last_seen"), F.min_by("factor", "trading_date").alias("factor"))
+    of = Window.partitionBy("product", "segment").orderBy("span")
+    # a stretch lasts to the eve of the next, days without a bar included
+    until = F.coalesce(F.date_sub(F.lead("date_start").over(of), 1), F.col("last_seen"))
+    so_far = of.rowsBetween(Window.unboundedPreceding, 0)
+    adjust = F.exp(-F.sum(F.when(F.col("span") > 1, F.ln("factor")).otherwise(0.0)).over(so_far))
+    return spans.select("product", "segment", "contract", "date_start", until.alias("date_end"), adjust.alias("adj_factor"), (F.col("span") > 1).alias("rolled"))
 
 
 def continuous(bars: DataFrame, spans: DataFrame) -> DataFrame:
-    """Bars of the leading contract with adj_factor and roll_flag on each stretch's first bar."""
-    s = spans.withColumn("trading_date", F.explode(F.sequence("date_start", "date_end"))).select("product", "contract", "trading_date", "adj_factor", "date_start")
+    """Bars of the leading contract with segment, adj_factor and roll_flag, which is on the first bar of a day from
+    which a roll holds."""
+    s = spans.withColumn("trading_date", F.explode(F.sequence("date_start", "date_end"))).select("product", "segment", "contract", "trading_date", "adj_factor", "date_start", "rolled")
     met = bars.join(s, ["product", "contract", "trading_date"])
-    first = F.min("bob").over(Window.partitionBy("product", "contract", "date_start"))
-    return met.withColumn("roll_flag", F.col("bob") == first).withColumn("close_adj", (F.col("close").cast("double") * F.col("adj_factor")).cast("float"))
+    first = F.min("bob").over(Window.partitionBy("product", "trading_date"))
+    flag = F.col("rolled") & (F.col("trading_date") == F.col("date_start")) & (F.col("bob") == first)
+    return met.withColumn("roll_flag", flag).withColumn("close_adj", (F.col("close").cast("double") * F.col("adj_factor")).cast("float")).drop("rolled")
 
 
 def limit_mask(df: DataFrame, product: str = "product", day: str = "trading_date", order: str = "bob", close: str = "close", least: int = 30, causal: bool = False) -> DataFrame:

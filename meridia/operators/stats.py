@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lagged_gram(panel: DataFrame, lags: list[int], series: str = "product", segment: str = "segment", pos: str = "pos", value: str = "x") -> DataFrame:
-    """(leader, follower, lag, s_xy, s_x2m, s_mx2, n) over pairs of rows of one segment, the leader's
+def lagged_gram(panel: DataFrame, lags: list[int], series: str = "product", segment: str = "segment", pos: str = "pos", value: str = "x", by: list[str] | None = None) -> DataFrame:
+    """(by, leader, follower, lag, s_xy, s_x2m, s_mx2, n) over pairs of rows of one segment, the leader's
     ``lag`` places before the follower's. Null values count for nothing. The lag is exploded on the
     leader's side and the pair meets by equality; sums are partial before they are shuffled."""
-    known = panel.where(F.col(value).isNotNull()).select(series, segment, pos, value)
-    lead = known.select(F.col(series).alias("leader"), segment, F.col(value).alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(pos).alias("__p")).withColumn("__at", F.col("__p") + F.col("lag"))
-    follow = known.select(F.col(series).alias("follower"), F.col(segment), F.col(value).alias("y"), F.col(pos).alias("__at"))
-    met = lead.join(follow, [segment, "__at"])
-    return met.groupBy("leader", "follower", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s_xy"), F.sum(F.col("x") * F.col("x")).alias("s_x2m"), F.sum(F.col("y") * F.col("y")).alias("s_mx2"), F.count("*").alias("n"))
+    by = by or []
+    known = panel.where(F.col(value).isNotNull()).select(*by, series, segment, pos, value)
+    lead = known.select(*by, F.col(series).alias("leader"), segment, F.col(value).alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(pos).alias("__p")).withColumn("__at", F.col("__p") + F.col("lag"))
+    follow = known.select(*by, F.col(series).alias("follower"), F.col(segment), F.col(value).alias("y"), F.col(pos).alias("__at"))
+    met = lead.join(follow, [*by, segment, "__at"])
+    return met.groupBy(*by, "leader", "follower", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s_xy"), F.sum(F.col("x") * F.col("x")).alias("s_x2m"), F.sum(F.col("y") * F.col("y")).alias("s_mx2"), F.count("*").alias("n"))
 
 
 def correlations(gram: DataFrame, least: int = 1) -> DataFrame:
@@ -24,22 +25,95 @@ def correlations(gram: DataFrame, least: int = 1) -> DataFrame:
     return gram.withColumn("rho", F.when((F.col("n") >= least) & (bottom > 0), F.col("s_xy") / F.when(bottom > 0, bottom)))
 
 
-def pair_statistics(rho: DataFrame) -> DataFrame:
-    """Of ordered pairs of different products: a_stat = sum over lags of |rho ij| - |rho ji|, the
+def pair_statistics(rho: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of ordered pairs of different products, for each value of ``by``: a_stat = sum over lags of |rho ij| - |rho ji|, the
     greatest |rho| with its lag (ties: the smallest) and sign, and the fewest rows of any lag."""
     size = F.coalesce(F.abs("rho"), F.lit(0.0))
-    one = rho.where("leader <> follower").groupBy("leader", "follower").agg(
+    by = by or []
+    one = rho.where("leader <> follower").groupBy(*by, "leader", "follower").agg(
         F.sum(size).alias("total"), F.max(size).alias("det"), F.max_by(F.struct("lag", "rho"), F.struct(size, -F.col("lag"))).alias("best"), F.min("n").alias("n_eff")
     )
-    other = one.select(F.col("leader").alias("follower"), F.col("follower").alias("leader"), F.col("total").alias("reverse"))
-    met = one.join(other, ["leader", "follower"], "left")
-    return met.select("leader", "follower", (F.col("total") - F.coalesce("reverse", F.lit(0.0))).alias("a_stat"), "det", F.col("best.lag").alias("lag_bars"), F.col("best.rho").alias("strength"), F.signum("best.rho").alias("sign"), "n_eff")
-
-
-def permutation_p(observed: DataFrame, draws: DataFrame, keys: list[str], stat: str = "a_stat") -> DataFrame:
-    """p = (1 + draws as large as the observed) / (draws + 1)."""
-    met = draws.select(*keys, F.col(stat).alias("__null")).join(observed, keys)
-    return met.groupBy(*keys, stat).agg(((F.count_if(F.col("__null") >= F.col(stat)) + 1) / (F.count("*") + 1)).alias("p_value"))
+    other = one.select(*by, F.col("leader").alias("follower"), F.col("follower").alias("leader"), F.col("total").alias("reverse"))
+    met = one.join(other, [*by, "leader", "follower"], "left")
+    return met.select(*by, "leader", "follower", (F.col("total") - F.coalesce("reverse", F.lit(0.0))).alias("a_stat"), "det", F.col("best.lag").alias("lag_bars"), F.col("best.rho").alias("strength"), F.signum("best.rho").alias("sign"), "n_eff")
+
+
+def permutation_p(observed: DataFrame, draws: DataFrame, keys: list[str], stat: str = "a_stat", drawn: int | None = None) -> DataFrame:
+    """p = (1 + draws as large in size as the observed) / (draws + 1). Keys that a draw lacks count as 0; ``drawn``
+    is the number of draws, where it isn't the number of rows of a key."""
+    null = draws.select(*keys, F.abs(F.col(stat)).alias("__null"))
+    met = observed.join(null, keys, "left")
+    n = F.lit(drawn) if drawn is not None else F.count("__null")
+    # sums in another order may differ in the last places
+    reached = F.count_if(F.col("__null") >= F.abs(F.col(stat)) - 1e-12)
+    if drawn is not None:
+        reached = reached + F.when(F.first(F.abs(F.col(stat))) <= 0, F.lit(drawn) - F.count("__null")).otherwise(0)
+    return met.groupBy(*keys, stat).agg(((reached + 1) / (n + 1)).alias("p_value"))
+
+
+def shift_draws(strata: DataFrame, draws: int = 200, min_shift: int = 5, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """(by, draw, stratum, days, offset) of rows (by, stratum, days): for each draw and stratum a number of days to shift by,
+    any of min_shift to days - min_shift with equal chance, from a hash of seed, draw, stratum and ``by``; 0 where a stratum
+    has fewer than 2 min_shift days."""
+    by = by or []
+    each = strata.select(*by, "stratum", "days", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "stratum", *[F.col(c).cast("string") for c in by])), 1, 12), 16, 10).cast("bigint")
+    offset = F.when(F.col("days") >= 2 * min_shift, min_shift + F.pmod(chance, F.col("days") - 2 * min_shift + 1)).otherwise(0)
+    return each.select(*by, "draw", "stratum", "days", offset.cast("int").alias("offset"))
+
+
+def permutation_null(panel: DataFrame, lags: list[int], draws: int = 200, min_shift: int = 5, seed: int = 42, series: str = "product", segment: str = "segment", pos: str = "pos", value: str = "x", by: list[str] | None = None) -> DataFrame:
+    """(by, draw, leader, follower, a_stat): pair statistics of panels whose leaders' days, values and gaps together, are
+    shifted in circles within strata of days of equal length (see ``day_strata`` and ``shift_draws``), for each value of ``by``.
+
+    What a shift does depends on the stratum and its offset alone, and sums of products of two days serve every
+    offset that puts one on the other. So these are made once, and draws add up sums: rows aren't copied by draw."""
+    by = by or []
+    known = panel.where(F.col(value).isNotNull()).select(*by, F.col(series).alias("s"), F.col(segment).alias("d"), F.col(pos).alias("at"), F.col(value).alias("v"))
+    days = day_strata(panel.select(*by, F.col(segment).alias("d"), F.col(pos).alias("at")).distinct(), "d", by)
+    days = days.withColumn("k", F.row_number().over(Window.partitionBy(*by, "stratum").orderBy("d")) - 1)
+    sizes = days.groupBy(*by, "stratum").agg(F.count("*").alias("days"))
+    chosen = shift_draws(sizes, draws, min_shift, seed, by)
+    moved = days.join(chosen.select(*by, "stratum", "days", "offset").distinct(), [*by, "stratum"]).withColumn("k", F.pmod(F.col("k") + F.col("offset"), F.col("days")))
+    pairs = moved.select(*by, "stratum", "offset", "k", F.col("d").alias("from_day")).join(days.select(*by, "stratum", "k", F.col("d").alias("to_day")), [*by, "stratum", "k"])
+    lead = known.select(*by, F.col("s").alias("leader"), F.col("d").alias("from_day"), F.col("v").alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"), "at").withColumn("at", F.col("at") + F.col("lag"))
+    follow = known.select(*by, F.col("s").alias("follower"), F.col("d").alias("to_day"), F.col("v").alias("y"), "at")
+    wanted = pairs.select(*by, "from_day", "to_day").distinct()
+    met = lead.join(wanted, [*by, "from_day"]).join(follow, [*by, "to_day", "at"]).where("leader <> follower")
+    x, y = F.col("x"), F.col("y")
+    by_days = met.groupBy(*by, "from_day", "to_day", "leader", "follower", "lag").agg(F.sum(x * y).alias("s_xy"), F.sum(x * x).alias("s_x2m"), F.sum(y * y).alias("s_mx2"), F.count("*").alias("n"))
+    sums = [F.sum(c).alias(c) for c in ("s_xy", "s_x2m", "s_mx2", "n")]
+    shifted = by_days.join(pairs, [*by, "from_day", "to_day"]).groupBy(*by, "stratum", "offset", "leader", "follower", "lag").agg(*sums)
+    drawn = shifted.join(chosen.select(*by, "draw", "stratum", "offset"), [*by, "stratum", "offset"]).groupBy(*by, "draw", "leader", "follower", "lag").agg(*sums)
+    return pair_statistics(correlations(drawn), [*by, "draw"]).select(*by, "draw", "leader", "follower", "a_stat")
+
+
+def validated_edges(panel: DataFrame, windows: DataFrame, lags: list[int], priors: DataFrame, draws: int = 50, min_shift: int = 5, seed: int = 42, q_a: float = 0.05, q_b: float = 0.1, lookback: int = 12) -> DataFrame:
+    """Edges of each window (window_start, window_end) of days ``segment``: pair statistics, a null of its own, q-values by family, and
+    stability from the windows that end earlier alone: the share of the last ``lookback`` of them that agree in sign and pass q_b.
+
+    Pairs of ``priors`` (leader, follower), in both directions, are family A with the cut q_a, all others B with
+    q_b. The window is a dimension of one plan: a day goes to each window that holds it."""
+    by = ["window_start", "window_end"]
+    listed = priors.select("leader", "follower").union(priors.select("follower", "leader")).distinct().withColumn("__listed", F.lit(True))
+    # windows and days are calendars: their pairs are made by month, as an equality
+    months = F.sequence(F.trunc("window_start", "month"), F.trunc("window_end", "month"), F.expr("interval 1 month"))
+    spans = windows.select(*by).distinct().withColumn("__m", F.explode(months))
+    days = panel.select("segment").distinct().withColumn("__m", F.trunc("segment", "month"))
+    inside = days.join(spans, "__m").where("segment between window_start and window_end").select("segment", *by)
+    own = panel.join(inside, "segment")
+    observed = pair_statistics(correlations(lagged_gram(own, lags, by=by)), by)
+    p = permutation_p(observed, permutation_null(own, lags, draws, min_shift, seed, by=by), [*by, "leader", "follower"], drawn=draws)
+    found = observed.join(p.drop("a_stat"), [*by, "leader", "follower"]).join(listed, ["leader", "follower"], "left")
+    edges = false_discovery(found.withColumn("family", F.when(F.col("__listed"), "A").otherwise("B")).drop("__listed"), "p_value", [*by, "family"])
+    edges = edges.withColumn("validated", ((F.col("family") == "A") & (F.col("q_value") <= q_a)) | ((F.col("family") == "B") & (F.col("q_value") <= q_b)))
+    # windows that end on one day don't see each other
+    before = Window.partitionBy("leader", "follower").orderBy("window_end", "window_start").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.filter(F.collect_list(F.struct("window_end", "a_stat", "q_value")).over(before), lambda e: e["window_end"] < F.col("window_end"))
+    recent = F.slice(F.col("__past"), F.greatest(F.lit(1), F.size("__past") - lookback + 1), F.lit(lookback))
+    agree = F.filter(recent, lambda e: (F.signum(e["a_stat"]) == F.signum(F.col("a_stat"))) & (e["q_value"] <= q_b))
+    n = F.least(F.size("__past"), F.lit(lookback))
+    return edges.withColumn("__past", past).withColumn("stability", F.when(n > 0, F.size(agree) / F.when(n > 0, n)).otherwise(0.0)).drop("__past")
 
 
 def false_discovery(df: DataFrame, p: str = "p_value", family: list[str] | None = None, dependent: bool = False, name: str = "q_value") -> DataFrame:
@@ -116,17 +190,22 @@ def log_loss(df: DataFrame, y: str, p: str, tiny: float = 1e-15) -> DataFrame:
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
+    """One row: -sum p ln p of the shares of the column's values, as ln N - (sum n ln n) / N: partial sums alone."""
     n = df.groupBy(column).count()
-    share = F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0)))
-    return n.select(share.alias("p")).agg(F.sum(-F.col("p") * F.ln("p")).alias("entropy"))
+    total = n.agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.ln("count")).alias("s"))
+    return total.select((F.ln("t") - F.col("s") / F.col("t")).alias("entropy"))
 
 
-def pareto_front(df: DataFrame, low: str, high: str) -> DataFrame:
-    """Rows that no other beats: less of ``low`` with as much of ``high``, or as little with more.
-    One sorted pass over distinct values of ``low`` instead of comparing all pairs."""
+def pareto_front(df: DataFrame, low: str, high: str, parts: int = 256) -> DataFrame:
+    """Rows that no other beats: less of ``low`` with as much of ``high``, or as little with more. Each of ``parts``
+    parts keeps its own front in a sorted pass, and the fronts, as short as runs of maxima are, meet in a last one."""
     best = df.groupBy(low).agg(F.max(high).alias(high))
-    w = Window.partitionBy(F.lit(0)).orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("__before", F.max(high).over(w)).where(F.col("__before").isNull() | (F.col(high) > F.col("__before"))).drop("__before")
+
+    def front(rows: DataFrame, by: Column) -> DataFrame:
+        w = Window.partitionBy(by).orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("__before", F.max(high).over(w)).where(F.col("__before").isNull() | (F.col(high) > F.col("__before"))).drop("__before")
+
+    return front(front(best, F.pmod(F.xxhash64(low), F.lit(parts))), F.lit(0))
 
 
 def daily_metrics(df: DataFrame, key: str, day: str, pnl: str, periods: float = 252.0) -> DataFrame:
@@ -159,9 +238,11 @@ def probabilistic_sharpe(sr: Column, n: Column, skew: Column, excess: Column, be
     return F.when(n > 1, normal_cdf((sr - benchmark) / F.sqrt(F.when(n > 1, spread))))
 
 
-def day_strata(panel: DataFrame, day: str = "segment") -> DataFrame:
-    """(day, bars, stratum): runs of days of equal length, within which a permutation may shift days."""
-    days = panel.groupBy(day).agg(F.count("*").alias("bars"))
-    w = Window.partitionBy(F.lit(0)).orderBy(day)
+def day_strata(panel: DataFrame, day: str = "segment", by: list[str] | None = None) -> DataFrame:
+    """(by, day, bars, stratum): runs of days of equal length, within which a permutation may shift days. The window
+    runs over a calendar of days, not over rows."""
+    by = by or []
+    days = panel.groupBy(*by, day).agg(F.count("*").alias("bars"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(day)
     new = F.coalesce((F.lag("bars").over(w) != F.col("bars")).cast("int"), F.lit(0))
     return days.withColumn("__new", new).withColumn("stratum", F.sum("__new").over(w)).drop("__new")

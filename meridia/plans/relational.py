@@ -103,14 +103,8 @@ def filter_segment_price(spark, sf_dir):
     return b.select("event_id", (F.col("day") > F.lit("2024-01-15").cast("date")).cast("int").alias("segment"), r5(F.col("close") * 1.25).alias("adj"))
 
 
-@query("filter_validity_mask", f"WITH {BARS_SQL} SELECT event_id, event_type <> 'error' AND isfinite(close) AS valid, {sql5('''CASE WHEN event_type <> 'error' AND isfinite(close) THEN close ELSE 0 END''', 'x')} FROM bars WHERE event_id % 15 = 0")
+@query("filter_validity_mask", f"WITH {BARS_SQL} SELECT event_id, event_type <> 'error' AND isfinite(close) AS valid, {sql5("""CASE WHEN event_type <> 'error' AND isfinite(close) THEN close ELSE 0 END""", 'x')} FROM bars")
 def filter_validity_mask(spark, sf_dir):
-    return _validity_mask(bars(spark, sf_dir).where("event_id % 15 = 0"))
-
-
-@query("filter_validity_mask_all", f"WITH {BARS_SQL} SELECT event_id, event_type <> 'error' AND isfinite(close) AS valid, {sql5("""CASE WHEN event_type <> 'error' AND isfinite(close) THEN close ELSE 0 END""", 'x')} FROM bars")
-def filter_validity_mask_all(spark, sf_dir):
-    """Of every bar."""
     return _validity_mask(bars(spark, sf_dir))
 
 
@@ -168,15 +162,9 @@ def asof_backward(spark, sf_dir):
     return asof.backward(asks, prices, ["k"], "d", "d", ["p"]).select("c_custkey", r5(F.col("p")).alias("price"))
 
 
-@query("asof_next_day", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 = 0), q AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+@query("asof_next_day", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), q AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT date, (SELECT min(day) FROM days WHERE day >= date) AS ge, (SELECT min(day) FROM days WHERE day > date) AS gt FROM q""")
 def asof_next_day(spark, sf_dir):
-    return _next_days(table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"), table(spark, sf_dir, "lineitem"))
-
-
-@query("asof_next_day_all", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), q AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
-SELECT date, (SELECT min(day) FROM days WHERE day >= date) AS ge, (SELECT min(day) FROM days WHERE day > date) AS gt FROM q""")
-def asof_next_day_all(spark, sf_dir):
     """In the calendar of every order."""
     return _next_days(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
@@ -232,18 +220,10 @@ def join_members(spark, sf_dir):
     return asof.members_on(log, F.lit("1996-06-01").cast("date"))
 
 
-@query("join_full_outer_fill", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS x FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), b AS (SELECT CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS y FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL),
+@query("join_full_outer_fill", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS x FROM orders GROUP BY ALL), b AS (SELECT CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS y FROM lineitem GROUP BY ALL),
 j AS (SELECT coalesce(a.d, b.d) AS d, x, y FROM a FULL OUTER JOIN b ON a.d = b.d)
 SELECT d, coalesce(last_value(x IGNORE NULLS) OVER w, 1) AS x, coalesce(last_value(y IGNORE NULLS) OVER w, 1) AS y FROM j WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def join_full_outer_fill(spark, sf_dir):
-    return _outer_fill(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-@query("join_full_outer_fill_all", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS x FROM orders GROUP BY ALL), b AS (SELECT CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS y FROM lineitem GROUP BY ALL),
-j AS (SELECT coalesce(a.d, b.d) AS d, x, y FROM a FULL OUTER JOIN b ON a.d = b.d)
-SELECT d, coalesce(last_value(x IGNORE NULLS) OVER w, 1) AS x, coalesce(last_value(y IGNORE NULLS) OVER w, 1) AS y FROM j WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-def join_full_outer_fill_all(spark, sf_dir):
-    """Of every order and line."""
     return _outer_fill(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
@@ -254,15 +234,9 @@ def _outer_fill(orders, lines):
     return asof.fill_forward(j, ["__k"], ["d"], ["x", "y"], 1.0).drop("__k")
 
 
-@query("join_reindex", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT l_suppkey % 20 AS k, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL),
+@query("join_reindex", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
 e AS (SELECT k, min(day) AS lo, max(day) AS hi FROM x GROUP BY k) SELECT e.k, CAST(count(*) AS BIGINT) AS days, CAST(count(x.q) AS BIGINT) AS known FROM e JOIN d ON d.day BETWEEN lo AND hi LEFT JOIN x ON x.k = e.k AND x.day = d.day GROUP BY e.k""")
 def join_reindex(spark, sf_dir):
-    return _reindexed(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0"), F.col("l_suppkey") % 20)
-
-
-@query("join_reindex_all", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
-e AS (SELECT k, min(day) AS lo, max(day) AS hi FROM x GROUP BY k) SELECT e.k, CAST(count(*) AS BIGINT) AS days, CAST(count(x.q) AS BIGINT) AS known FROM e JOIN d ON d.day BETWEEN lo AND hi LEFT JOIN x ON x.k = e.k AND x.day = d.day GROUP BY e.k""")
-def join_reindex_all(spark, sf_dir):
     """Of every line; a supplier of its own has days without any."""
     return _reindexed(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
 

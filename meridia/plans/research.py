@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 import tempfile
 
@@ -44,33 +45,53 @@ def leadlag_pair_statistics(spark, sf_dir):
     return s.select("leader", "follower", r5(F.col("a_stat")).alias("a_stat"), r5(F.col("det")).alias("det"), F.col("lag_bars").cast("bigint").alias("lag_bars"), r5(F.col("strength")).alias("strength"), "n_eff")
 
 
-# draws shift the leader's days by a fixed number within the calendar
-_NULL_SQL = f"""{_PANEL_SQL}, days AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT segment FROM pn)),
-dr AS (SELECT d.draw, p.product, d2.segment, p.pos, p.x FROM pn p JOIN days d1 USING (segment) CROSS JOIN (VALUES (0), (1), (3), (5), (7), (11)) d(draw) JOIN days d2 ON d2.k = (d1.k + d.draw) % d1.m),
-g AS (SELECT draw, a.product AS leader, b.product AS follower, abs(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x))) AS s FROM dr a JOIN pn b ON a.segment = b.segment AND b.pos = a.pos + 1 WHERE a.product <> b.product GROUP BY ALL)"""
-_P_SQL = f"{_NULL_SQL}, pv AS (SELECT o.leader, o.follower, o.s, (1 + count(*) FILTER (WHERE n.s >= o.s)) / (1.0 + count(*)) AS p FROM g o JOIN g n ON n.draw > 0 AND o.draw = 0 AND n.leader = o.leader AND n.follower = o.follower GROUP BY o.leader, o.follower, o.s)"
+# hourly means on a grid of days; draws shift the leaders' days in circles within strata of days of equal length
+_GRID_SQL = f"{BARS_SQL}, pn AS (SELECT product % 8 AS product, day AS segment, CAST(hour(bob) AS INTEGER) AS pos, avg(close) / 100 - 0.5 AS x FROM bars GROUP BY ALL)"
+_A_SQL = "sum(coalesce(abs(s_xy / nullif(sqrt(s_x2m * s_mx2), 0)), 0)) AS total"
+_NULL_SQL = f"""{_GRID_SQL}, dl AS (SELECT segment, count(DISTINCT pos) AS n FROM pn GROUP BY segment), ch AS (SELECT segment, CASE WHEN lag(n) OVER (ORDER BY segment) <> n THEN 1 ELSE 0 END AS c FROM dl),
+st AS (SELECT segment, sum(c) OVER (ORDER BY segment) AS stratum FROM ch), dy AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY segment) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS days FROM st),
+dr AS (SELECT draw, stratum, days, CASE WHEN days >= 10 THEN 5 + CAST('0x' || substr(md5(concat_ws(':', 42, draw, CAST(stratum AS BIGINT))), 1, 12) AS BIGINT) % (days - 9) ELSE 0 END AS o FROM (SELECT DISTINCT stratum, days FROM dy), (SELECT unnest(range(1, 201)) AS draw)),
+pr AS (SELECT DISTINCT a.stratum, o, a.segment AS d1, b.segment AS d2 FROM dy a JOIN dr USING (stratum) JOIN dy b ON b.stratum = a.stratum AND b.k = (a.k + o) % a.days),
+g2 AS (SELECT stratum, o, a.product AS leader, b.product AS follower, lag, sum(a.x * b.x) AS s_xy, sum(a.x * a.x) AS s_x2m, sum(b.x * b.x) AS s_mx2 FROM pr JOIN pn a ON a.segment = d1 CROSS JOIN (VALUES (1), (2), (3)) t(lag) JOIN pn b ON b.segment = d2 AND b.pos = a.pos + lag WHERE a.product <> b.product GROUP BY ALL),
+gd AS (SELECT draw, leader, follower, lag, sum(s_xy) AS s_xy, sum(s_x2m) AS s_x2m, sum(s_mx2) AS s_mx2 FROM dr JOIN g2 USING (stratum, o) GROUP BY ALL),
+one AS (SELECT draw, leader, follower, {_A_SQL} FROM gd GROUP BY ALL), nul AS (SELECT a.draw, a.leader, a.follower, a.total - coalesce(b.total, 0) AS a_stat FROM one a LEFT JOIN one b ON a.draw = b.draw AND a.leader = b.follower AND a.follower = b.leader)"""
+_P_SQL = f"""{_NULL_SQL}, go AS (SELECT a.product AS leader, b.product AS follower, lag, sum(a.x * b.x) AS s_xy, sum(a.x * a.x) AS s_x2m, sum(b.x * b.x) AS s_mx2 FROM pn a CROSS JOIN (VALUES (1), (2), (3)) t(lag) JOIN pn b ON b.segment = a.segment AND b.pos = a.pos + lag WHERE a.product <> b.product GROUP BY ALL),
+oo AS (SELECT leader, follower, {_A_SQL} FROM go GROUP BY ALL), ob AS (SELECT a.leader, a.follower, a.total - coalesce(b.total, 0) AS a_stat FROM oo a LEFT JOIN oo b ON a.leader = b.follower AND a.follower = b.leader)"""
 
 
-def _permuted(spark, sf_dir):
-    p = _lag_panel(spark, sf_dir)
-    days = p.select("segment").distinct().withColumn("k", F.row_number().over(Window.orderBy("segment")) - 1)
-    m = days.agg(F.count("*").alias("m"))
-    draws = p.join(days, "segment").crossJoin(F.broadcast(m)).withColumn("draw", F.explode(F.array(*map(F.lit, (0, 1, 3, 5, 7, 11)))))
-    moved = draws.withColumn("k", (F.col("k") + F.col("draw")) % F.col("m")).drop("segment").join(days, "k")
-    lead = moved.select("draw", F.col("product").alias("leader"), "segment", F.col("x"), (F.col("pos") + 1).alias("at"))
-    follow = p.select(F.col("product").alias("follower"), "segment", F.col("x").alias("y"), F.col("pos").alias("at"))
-    g = lead.join(follow, ["segment", "at"]).where("leader <> follower").groupBy("draw", "leader", "follower")
-    s = g.agg(F.abs(F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("s"))
-    return stats.permutation_p(s.where("draw = 0").drop("draw"), s.where("draw > 0"), ["leader", "follower"], "s")
+def _lag_grid(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return b.groupBy((F.col("product") % 8).alias("product"), F.col("day").alias("segment"), F.hour("bob").alias("pos")).agg((F.avg("close") / 100 - 0.5).alias("x"))
+
+
+@query("leadlag_null", f"WITH {_NULL_SQL} SELECT CAST(draw AS BIGINT) AS draw, leader, follower, {sql5('a_stat', 'a_stat')} FROM nul")
+def leadlag_null(spark, sf_dir):
+    """The rows of 200 draws."""
+    null = stats.permutation_null(_lag_grid(spark, sf_dir), [1, 2, 3])
+    return null.select(F.col("draw").cast("bigint").alias("draw"), "leader", "follower", r5(F.col("a_stat")).alias("a_stat"))
 
 
-@query("leadlag_permutation", f"WITH {_P_SQL} SELECT leader, follower, {sql5('s', 's')}, {sql5('p', 'p_value')} FROM pv")
+@query("leadlag_permutation", f"WITH {_P_SQL} SELECT o.leader, o.follower, {sql5('o.a_stat', 'a_stat')}, {sql5('(1 + count(*) FILTER (WHERE abs(n.a_stat) >= abs(o.a_stat) - 1e-12)) / 201.0', 'p_value')} FROM ob o JOIN nul n ON n.leader = o.leader AND n.follower = o.follower GROUP BY o.leader, o.follower, o.a_stat")
 def leadlag_permutation(spark, sf_dir):
-    return _permuted(spark, sf_dir).select("leader", "follower", r5(F.col("s")).alias("s"), r5(F.col("p_value")).alias("p_value"))
+    """p-values of the asymmetry of every pair."""
+    grid = _lag_grid(spark, sf_dir)
+    observed = stats.pair_statistics(stats.correlations(stats.lagged_gram(grid, [1, 2, 3])))
+    p = stats.permutation_p(observed, stats.permutation_null(grid, [1, 2, 3]), ["leader", "follower"], drawn=200)
+    return p.select("leader", "follower", r5(F.col("a_stat")).alias("a_stat"), r5(F.col("p_value")).alias("p_value"))
 
 
-_Q_SRC = "t AS (SELECT o_orderkey AS k, ((o_orderkey * 7919) % 10007) / 10007.0 AS p, CASE WHEN o_custkey % 3 = 0 THEN 'A' ELSE 'B' END AS family FROM orders WHERE o_orderkey % 20 = 0)"
-_Q_ALL = _Q_SRC.replace(" WHERE o_orderkey % 20 = 0", "")
+@query("leadlag_validate", None)
+def leadlag_validate(spark, sf_dir):
+    """Edges of three overlapping windows and of the whole month, each with its own null."""
+    grid = _lag_grid(spark, sf_dir)
+    spans = [("2024-01-01", "2024-01-16"), ("2024-01-05", "2024-01-21"), ("2024-01-10", "2024-01-26"), ("2024-01-01", "2024-01-30")]
+    windows = spark.createDataFrame(spans, "a string, b string").select(F.to_date("a").alias("window_start"), F.to_date("b").alias("window_end"))
+    priors = spark.createDataFrame([(0, 1), (2, 3)], "leader bigint, follower bigint")
+    e = stats.validated_edges(grid, windows, [1, 2, 3], priors, 50, 2)
+    return e.select("window_start", "window_end", "leader", "follower", "family", *[r5(F.col(c)).alias(c) for c in ("a_stat", "p_value", "q_value", "stability")], "validated")
+
+
+_Q_SRC = "t AS (SELECT o_orderkey AS k, ((o_orderkey * 7919) % 10007) / 10007.0 AS p, CASE WHEN o_custkey % 3 = 0 THEN 'A' ELSE 'B' END AS family FROM orders)"
 _FDR_SQL = f"""r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM t),
 b AS (SELECT k, family, least(1, min(p * m / i) OVER (PARTITION BY family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, m, i, p FROM r),
 h AS (SELECT family, sum(1.0 / i) AS hs FROM r GROUP BY family) SELECT k, family, {sql5('q', 'bh')}, {sql5('least(1, min(p * m * hs / i) OVER (PARTITION BY family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by_q')},
@@ -79,12 +100,6 @@ h AS (SELECT family, sum(1.0 / i) AS hs FROM r GROUP BY family) SELECT k, family
 
 @query("leadlag_false_discovery", f"WITH {_Q_SRC}, {_FDR_SQL}")
 def leadlag_false_discovery(spark, sf_dir):
-    return _discoveries(table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
-
-
-@query("leadlag_false_discovery_all", f"WITH {_Q_ALL}, {_FDR_SQL}")
-def leadlag_false_discovery_all(spark, sf_dir):
-    """Of every order."""
     return _discoveries(table(spark, sf_dir, "orders"))
 
 
@@ -226,11 +241,30 @@ def _contract_days(spark, sf_dir):
     return li.select((F.col("l_suppkey") % 10).alias("product"), F.format_string("C%02d", F.col("l_partkey") % 12).alias("contract"), F.to_date("l_shipdate").alias("trading_date"), (200001 + F.col("l_partkey") % 12).alias("delivery_ym"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("close"), F.col("l_quantity").alias("position"), F.col("l_shipdate").alias("bob"))
 
 
-@query("state_dominant_contract", None)
+_DOMINANT_SQL = """cd AS (SELECT l_suppkey % 10 AS product, 'C' || lpad(CAST(l_partkey % 12 AS VARCHAR), 2, '0') AS contract, CAST(l_shipdate AS DATE) AS d, min(200001 + l_partkey % 12) AS dym, sum(l_quantity) AS vol, max(l_quantity) AS oi, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+days AS (SELECT product, d, CASE WHEN d <= DATE '1998-06-30' THEN 0 ELSE 1 END AS seg, list({'c': contract, 'v': vol, 'dy': dym, 'p': price} ORDER BY vol DESC, oi DESC, dym, contract) AS l FROM cd GROUP BY product, d),
+dd AS (SELECT *, row_number() OVER w AS k, lag(l, 1) OVER w AS l1, lag(l, 2) OVER w AS l2 FROM days WINDOW w AS (PARTITION BY product ORDER BY d)),
+r AS (SELECT product, k, d, seg, l[1].c AS held, l[1].dy AS dy, 1.0::DOUBLE AS factor, NULL::VARCHAR AS rival, 0 AS streak, NULL::VARCHAR AS fc, NULL::BIGINT AS fd, NULL::DOUBLE AS ff FROM dd WHERE k = 1
+ UNION ALL SELECT product, k, d, seg, held, dy, factor, CASE WHEN streak < 2 THEN rival END, CASE WHEN streak < 2 THEN streak ELSE 0 END, CASE WHEN streak >= 2 THEN rival END, CASE WHEN streak >= 2 THEN rdy END,
+  CASE WHEN streak >= 2 THEN coalesce(CASE WHEN old > 0 THEN new / old END, 1.0) END FROM (
+  SELECT *, coalesce(list_filter(l, lambda x: x.c = held)[1].p, list_filter(l1, lambda x: x.c = held)[1].p, list_filter(l2, lambda x: x.c = held)[1].p) AS old,
+   coalesce(list_filter(l, lambda x: x.c = rival)[1].p, list_filter(l1, lambda x: x.c = rival)[1].p, list_filter(l2, lambda x: x.c = rival)[1].p) AS new FROM (
+   SELECT *, CASE WHEN ok THEN cand.c END AS rival, cand.dy AS rdy, CASE WHEN NOT ok THEN 0 WHEN cand.c = before THEN age + 1 ELSE 1 END AS streak FROM (
+    SELECT *, NOT fresh AND coalesce(cand.v > coalesce(list_filter(l, lambda x: x.c = held)[1].v, 0), false) AS ok FROM (
+     SELECT *, list_filter(l, lambda x: x.c <> held AND x.dy >= dy)[1] AS cand FROM (
+      SELECT b.product, b.k, b.d, b.seg, b.l, b.l1, b.l2, b.seg <> a.seg AS fresh, CASE WHEN b.seg <> a.seg THEN b.l[1].c ELSE coalesce(a.fc, a.held) END AS held, CASE WHEN b.seg <> a.seg THEN b.l[1].dy ELSE coalesce(a.fd, a.dy) END AS dy,
+       CASE WHEN b.seg <> a.seg THEN 1.0 ELSE coalesce(a.ff, 1.0) END AS factor, a.rival AS before, a.streak AS age FROM r a JOIN dd b ON b.product = a.product AND b.k = a.k + 1)))))),
+ru AS (SELECT *, sum(CASE WHEN before = held THEN 0 ELSE 1 END) OVER (PARTITION BY product, seg ORDER BY d) AS span FROM (SELECT *, lag(held) OVER (PARTITION BY product, seg ORDER BY d) AS before FROM r)),
+sp AS (SELECT product, seg, span, held AS contract, min(d) AS date_start, max(d) AS seen, arg_min(factor, d) AS f FROM ru GROUP BY ALL)"""
+
+
+@query("state_dominant_contract", f"""WITH RECURSIVE {_DOMINANT_SQL} SELECT product, CAST(seg AS BIGINT) AS segment, contract, date_start, coalesce(CAST(lead(date_start) OVER w - 1 AS DATE), seen) AS date_end, {sql5('exp(-sum(CASE WHEN span > 1 THEN ln(f) ELSE 0 END) OVER w)', 'adj_factor')}, span > 1 AS rolled
+FROM sp WINDOW w AS (PARTITION BY product, seg ORDER BY span)""")
 def state_dominant_contract(spark, sf_dir):
+    """Leading contracts of two segments, with factors that start at 1 in each."""
     d = _contract_days(spark, sf_dir).groupBy("product", "contract", "trading_date").agg(F.min("delivery_ym").alias("delivery_ym"), F.sum("volume").alias("day_volume"), F.max("position").alias("last_position"), F.max("close").alias("day_close"))
-    spans = B.dominance_spans(B.dominance(d))
-    return spans.select("product", "contract", "date_start", "date_end", r5(F.col("adj_factor")).alias("adj_factor"))
+    spans = B.dominance_spans(B.dominance(d, holes=(datetime.date(1998, 6, 30),)))
+    return spans.select("product", F.col("segment").cast("bigint").alias("segment"), "contract", "date_start", "date_end", r5(F.col("adj_factor")).alias("adj_factor"), "rolled")
 
 
 @query("state_sessions", None)
@@ -240,16 +274,9 @@ def state_sessions(spark, sf_dir):
     return B.session_runs(days, 2)
 
 
-@query("state_day_grid", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars WHERE product < 20), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
+@query("state_day_grid", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
 SELECT day, CAST(rel AS BIGINT) AS rel, CAST(sum(brk) OVER (PARTITION BY day ORDER BY rel) AS BIGINT) AS seg FROM g""")
 def state_day_grid(spark, sf_dir):
-    return _day_grid(bars(spark, sf_dir).where("product < 20"))
-
-
-@query("state_day_grid_all", f"""WITH {BARS_SQL}, t AS (SELECT DISTINCT day, (hour(bob) * 60 + minute(bob) - 1230 + 1440) % 1440 AS rel FROM bars), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY day ORDER BY rel) = 1 THEN 0 ELSE 1 END AS brk FROM t)
-SELECT day, CAST(rel AS BIGINT) AS rel, CAST(sum(brk) OVER (PARTITION BY day ORDER BY rel) AS BIGINT) AS seg FROM g""")
-def state_day_grid_all(spark, sf_dir):
-    """Of every product."""
     return _day_grid(bars(spark, sf_dir))
 
 
@@ -304,14 +331,8 @@ def search_generation(spark, sf_dir):
     return both.groupBy("formula").agg(r5(K.correlation(F.col("x"), F.col("y"))).alias("ic"), F.count("y").alias("n"))
 
 
-@query("search_pool_correlation", f"WITH {BARS_SQL}, s AS (SELECT close AS a, volume AS b, close * volume AS c FROM bars WHERE event_id % 15 = 0) SELECT {sql5('corr(a, b)', 'ab')}, {sql5('corr(a, c)', 'ac')}, {sql5('corr(b, c)', 'bc')} FROM s")
+@query("search_pool_correlation", f"WITH {BARS_SQL}, s AS (SELECT close AS a, volume AS b, close * volume AS c FROM bars) SELECT {sql5('corr(a, b)', 'ab')}, {sql5('corr(a, c)', 'ac')}, {sql5('corr(b, c)', 'bc')} FROM s")
 def search_pool_correlation(spark, sf_dir):
-    return _pool_correlation(bars(spark, sf_dir).where("event_id % 15 = 0"))
-
-
-@query("search_pool_correlation_all", f"WITH {BARS_SQL}, s AS (SELECT close AS a, volume AS b, close * volume AS c FROM bars) SELECT {sql5('corr(a, b)', 'ab')}, {sql5('corr(a, c)', 'ac')}, {sql5('corr(b, c)', 'bc')} FROM s")
-def search_pool_correlation_all(spark, sf_dir):
-    """Of every bar."""
     return _pool_correlation(bars(spark, sf_dir))
 
 
