@@ -251,8 +251,11 @@ def parse_infix(text: str) -> Node:
 
 
 def lift_parameters(n: Node, windows: dict[str, int]) -> Node:
-    """Trailing constant arguments beyond an operator's number of series become parameters."""
+    """Trailing constant arguments beyond an operator's number of series become parameters. A window that isn't a
+    constant makes it the operator of the same name with ``_BY``, where there is one."""
     kids = tuple(lift_parameters(c, windows) for c in n.children)
+    if windows.get(f"{n.op}_BY") == len(kids) and kids[-1].op != "const":
+        return Node(f"{n.op}_BY", kids, n.params)
     k = windows.get(n.op)
     if k is None or len(kids) <= k:
         return Node(n.op, kids, n.params)

@@ -15,6 +15,8 @@ from meridia.functions.compile import Dialect, Operator, Panel
 from meridia.functions.expr import Node, call, const
 
 LIMIT = 1e6
+#: The widest window that a column may ask for.
+WIDEST = 512
 
 
 def d(value: float) -> Column:
@@ -333,6 +335,25 @@ def _band(sign: int):
     return Operator(make, 1, True, 1)
 
 
+def _band_by(sign: int):
+    """Bands over the last n rows, n a column of its own on each row (cut to a whole number): the frame reaches over
+    ``WIDEST`` rows, and of its known values the last that n asks for count. Null where n isn't 1 to WIDEST."""
+
+    def make(p: Panel, k: list[Column], a: tuple) -> Column:
+        rows = F.collect_list(F.struct(k[0].alias("x"))).over(p.last(WIDEST))
+        n = F.when((k[1] >= 1) & (k[1] <= WIDEST), F.floor(k[1]).cast("int"))
+        start = F.greatest(F.size(rows) - n, F.lit(0))
+        own = F.filter(F.transform(F.slice(rows, start + 1, n), lambda r: r["x"]), lambda x: x.isNotNull())
+        count = F.size(own)
+        mean = total(own) / F.when(count > 0, count)
+        if not sign:
+            return F.when(n.isNotNull(), mean)
+        spread = F.sqrt(total(F.transform(own, lambda x: (x - mean) * (x - mean))) / F.when(count > 1, count - 1))
+        return F.when(n.isNotNull(), mean + sign * spread)
+
+    return Operator(make, 2, True)
+
+
 def _section(f):
     return Operator(lambda p, k, a: f(k[0], p.cross()), 1, True)
 
@@ -411,6 +432,7 @@ INFIX = Dialect(
         "BB_MIDDLE": _band(0),
         "BB_UPPER": _band(1),
         "BB_LOWER": _band(-1),
+        **{f"{name}_BY": _band_by(sign) for name, sign in (("BB_MIDDLE", 0), ("BB_UPPER", 1), ("BB_LOWER", -1))},
         "SMA": Operator(lambda p, k, a: ("adjusted", float(a[1]) / float(a[0])), 1, True, 2),
         "EMA": Operator(lambda p, k, a: ("adjusted", 2.0 / (int(a[0]) + 1)), 1, True, 1),
     },

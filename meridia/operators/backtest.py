@@ -31,8 +31,9 @@ def with_positions(df: DataFrame, panel: Panel, signal: str, low: str, high: str
 
 
 def with_costs(df: DataFrame, costs: DataFrame, product: str = "product") -> DataFrame:
-    """Adds fee (in 1e-4) and slippage (in price); a product without costs raises when read."""
-    met = df.join(F.broadcast(costs), product, "left")
+    """Adds fee (in 1e-4) and slippage (in price); a product without costs raises when read. Spark broadcasts
+    the costs where their size allows it."""
+    met = df.join(costs, product, "left")
     return met.withColumn("fee", F.when(F.col("fee").isNotNull(), F.col("fee")).otherwise(F.raise_error(F.concat(F.lit("no costs declared for "), F.col(product).cast("string"))).cast("double")))
 
 
@@ -47,11 +48,11 @@ def profit(df: DataFrame, panel: Panel, open_: str, segment: str) -> DataFrame:
     return df.withColumn("gross", F.col("position") * move).withColumn("turn", turn).withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost"))
 
 
-def fitness(metrics: DataFrame, per_key: DataFrame, key: str, least_trades: float = 20.0, least_time: float = 0.02) -> DataFrame:
-    """One row: mean sharpe - 0.5 mean drawdown - 0.05 mean turnover, or INVALID where trades per key
+def fitness(metrics: DataFrame, per_key: DataFrame, key: str, least_trades: float = 20.0, least_time: float = 0.02, by: list[str] | None = None) -> DataFrame:
+    """One row (for each value of ``by``): mean sharpe - 0.5 mean drawdown - 0.05 mean turnover, or INVALID where trades per key
     or time in the market are too few. per_key holds trades, turnover and time_in."""
     met = metrics.join(per_key, key)
-    s = met.agg(F.avg("sharpe").alias("sharpe"), F.avg("max_drawdown").alias("drawdown"), F.avg("turnover").alias("turnover"), F.avg("trades").alias("trades"), F.avg("time_in").alias("time_in"))
+    s = met.groupBy(*(by or [])).agg(F.avg("sharpe").alias("sharpe"), F.avg("max_drawdown").alias("drawdown"), F.avg("turnover").alias("turnover"), F.avg("trades").alias("trades"), F.avg("time_in").alias("time_in"))
     value = F.col("sharpe") - 0.5 * F.col("drawdown") - 0.05 * F.col("turnover")
     valid = (F.col("trades") >= least_trades) & (F.col("time_in") >= least_time)
     return s.withColumn("fitness", F.when(valid, value).otherwise(INVALID)).withColumn("valid", valid)

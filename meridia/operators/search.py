@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from meridia.functions.expr import Node, Space, point_mutate, same_place_crossover, tree_hash
+from meridia.functions.compile import Dialect, Panel, compile_formulas
+from meridia.functions.expr import Node, Space, parse_sexpr, point_mutate, same_place_crossover, tree_hash
 
 
 def evolve(seed: Node, space: Space, score: Callable[[list[Node]], list[float]], generations: int = 5, population: int = 16, tournament: int = 4, patience: int = 3, rng: random.Random | None = None) -> tuple[Node, float, list[float]]:
@@ -96,11 +100,28 @@ class AlphaPool:
         self.mutual = self.mutual[np.ix_(kept, kept)]
         self.weights = optimise_weights(self.mutual, self.ic)
 
+    def to_json(self) -> str:
+        """Formulas and weights."""
+        return json.dumps({"exprs": self.names, "weights": [float(w) for w in self.weights]})
+
     def value(self) -> float:
         bottom = float(self.weights @ self.mutual @ self.weights)
         return float(self.weights @ self.ic) / np.sqrt(bottom) if bottom > 0 else 0.0
 
 
+def load_pool(text: str) -> list[tuple[Node, float]]:
+    """Formulas, as trees, and weights of a pool's JSON."""
+    state = json.loads(text)
+    return [(parse_sexpr(e), float(w)) for e, w in zip(state["exprs"], state["weights"], strict=True)]
+
+
+def combine(df: DataFrame, pool: list[tuple[Node, float]], dialect: Dialect, panel: Panel, name: str = "alpha") -> DataFrame:
+    """df with the pool's weighted sum; a row where any member is null has none."""
+    staged = compile_formulas(df, {f"__p{i}": t for i, (t, _) in enumerate(pool)}, dialect, panel)
+    total = sum((F.col(f"__p{i}") * w for i, (_, w) in enumerate(pool)), F.lit(0.0))
+    return staged.select(*df.columns, total.alias(name))
+
+
 class BestUnique:
     """A bounded collection of distinct items with the best scores."""
 

@@ -158,6 +158,20 @@ def daily_correlation(df: DataFrame, x: str, y: str, day: str = "date", ranked:
     return g.select(day, F.when(vary, F.col("c") / F.when(vary, F.col("sx") * F.col("sy"))).alias("ic"))
 
 
+def distinct_factors(df: DataFrame, old: list[str], new: list[str], day: str = "date", most: float = 0.99) -> list[str]:
+    """Those of the new factor columns whose mean daily correlation with every old one is below ``most``. All pairs are
+    aggregates of one grouping by day; days on which a pair has no correlation count for nothing."""
+    from meridia.functions.kernels import correlation
+
+    if not old or not new:
+        return list(new)
+    pairs = [(o, n) for o in old for n in new]
+    daily = df.groupBy(day).agg(*[correlation(F.col(o).cast("double"), F.col(n).cast("double")).alias(f"__c{i}") for i, (o, n) in enumerate(pairs)])
+    row = daily.agg(*[F.avg(f"__c{i}").alias(f"m{i}") for i in range(len(pairs))]).first()
+    top = {n: max((row[f"m{i}"] for i, (_, b) in enumerate(pairs) if b == n and row[f"m{i}"] is not None), default=None) for n in new}
+    return [n for n in new if top[n] is not None and top[n] < most]
+
+
 def ic_summary(ic: DataFrame) -> DataFrame:
     m, s = F.avg("ic"), F.stddev_samp("ic")
     return ic.agg(m.alias("ic"), F.when(s > 0, m / F.when(s > 0, s)).alias("icir"), F.count("ic").alias("days"))

@@ -500,18 +500,21 @@ def set_union_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))).dropDuplicates()
 
 
-_KS = "a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0)"
+_KS = "a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')"
+
+
+def _urgent_and_finished(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return (o.where(c).select(F.col("o_custkey").alias("k")).distinct() for c in ("o_orderpriority = '1-URGENT'", "o_orderstatus = 'F'"))
 
 
 @query("set_symmetric_difference", f"WITH {_KS} (SELECT k FROM a EXCEPT SELECT k FROM b) UNION (SELECT k FROM b EXCEPT SELECT k FROM a)")
 def set_symmetric_difference(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    a, b = (o.where(f"o_orderkey % {k} = 0").select(F.col("o_custkey").alias("k")).distinct() for k in (2, 3))
+    a, b = _urgent_and_finished(spark, sf_dir)
     return asof.symmetric_difference(a, b)
 
 
 @query("set_intersect", f"WITH {_KS} SELECT k FROM a INTERSECT SELECT k FROM b")
 def set_intersect(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    a, b = (o.where(f"o_orderkey % {k} = 0").select(F.col("o_custkey").alias("k")) for k in (2, 3))
+    a, b = _urgent_and_finished(spark, sf_dir)
     return a.intersect(b)
