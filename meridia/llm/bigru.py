@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from meridia.llm.quality import held_out
 from meridia.llm.tokens import pieces_of_batch
-from meridia.llm.workspace import ship
+from meridia.llm.workspace import ship, tidy
 
 SEGMENT = 128
 HIDDEN = 12
@@ -186,7 +186,7 @@ def train(texts: list[bytes], labels: list[str], steps: int = 480, batch: int =
     return net
 
 
-def document_probabilities(net: Network, texts: list[bytes], batch: int = 1024) -> np.ndarray:
+def document_probabilities(net: Network, texts: list[bytes], batch: int = 512) -> np.ndarray:
     """(documents, languages): class probabilities pooled over every byte; 1/K each for an empty text."""
     k = len(net.languages)
     sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
@@ -253,11 +253,11 @@ def predict(spark: SparkSession, documents: DataFrame, net: Network) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of_batch(whole, "text", 4 << 20):
+            for batch in pieces_of_batch(whole, "text", 1 << 20):
                 lang, score = _probable(batch, held.value, "text")
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    found = kept.mapInArrow(run, schema)
+    found = kept.mapInArrow(tidy(run), schema)
     sure = has_letter(F.col("text"))
     return found.withColumn("lang_pred", F.when(sure, F.col("lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(sure, F.col("score")).otherwise(0.0))
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from meridia.llm.components import components
 from meridia.llm.textscan import Lane, U, Words, mix, ngrams, slices
-from meridia.llm.workspace import Workspace, texts_by_id
+from meridia.llm.workspace import Workspace, texts_by_id, tidy
 
 #: Hash cells of the document-frequency count, as a power of two: 8 MB whatever the input.
 CELL_BITS = 20
@@ -104,28 +104,36 @@ def _scan(docs: DataFrame, t: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.int32)
+        held: list[np.ndarray] = []
+        size = 0
         names = ["doc_id", "n", "f1", "f2", "bins", "block", "counts"]
         for batch in batches:
             for w in slices(batch.column("text")):
                 flat, bounds = shingle_sets(w, t.words)
-                cells += np.bincount((flat >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
+                held.append((flat >> U(64 - CELL_BITS)).astype(np.int32))
+                size += len(flat)
+                if size > 1 << CELL_BITS:
+                    cells += np.bincount(np.concatenate(held), minlength=len(cells)).astype(np.int32)
+                    held, size = [], 0
                 f1, f2 = _prints(flat, bounds)
                 m = len(w.rows)
                 bins = _bins(flat, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(w.rows[0], m), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2), pa.array([b.tobytes() for b in bins], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
                 )
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=len(cells)).astype(np.int32)
         if cells.any():
             blocks = cells.reshape(-1, BLOCK)
             m = len(blocks)
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bins binary, block int, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, bins binary, block int, counts binary")
 
 
 def _cells(scanned: DataFrame) -> np.ndarray:
-    """Document frequency by hash cell, summed over all tasks: a fixed 64 rows of 128 KB reach the driver, one at a time."""
+    """Document frequency by hash cell, summed over all tasks: a fixed 64 rows of 64 KB reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -136,9 +144,9 @@ def _cells(scanned: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
     parts = scanned.where("block is not null").select("block", "counts")
-    summed = parts.mapInArrow(add, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    summed = parts.mapInArrow(tidy(add), "block int, counts binary").repartition("block").mapInArrow(tidy(add), "block int, counts binary")
     cells = np.zeros((1 << CELL_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         cells[row.block] += np.frombuffer(row.counts, dtype=np.int32)
     return cells.reshape(-1)
 
@@ -178,7 +186,7 @@ def _prefixes(docs: DataFrame, t: Threshold, cells) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "print", "doc_id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, print long, doc_id long, n int, pos int")
+    return docs.mapInArrow(tidy(run), "token long, print long, doc_id long, n int, pos int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -216,7 +224,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     # copies that different tasks sent become one row where they meet, without a further shuffle
     once = prefixes.repartition("token").groupBy("token", "print").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("pos").alias("pos"))
     grouped = once.select("token", "doc_id", "n", "pos").sortWithinPartitions("token", "doc_id")
-    return grouped.mapInArrow(run, "token long, doc_id long, n int, pos int, hub long, hub_n int, hub_pos int")
+    return grouped.mapInArrow(tidy(run), "token long, doc_id long, n int, pos int, hub long, hub_n int, hub_pos int")
 
 
 def _may_link(t: Threshold, n1, p1, n2, p2):
@@ -253,7 +261,7 @@ def _bounded(pairs: DataFrame, bins: DataFrame, t: Threshold) -> DataFrame:
 
     a = bins.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("bins").alias("a"))
     b = bins.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("bins").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 def _verified(docs: DataFrame, bins: DataFrame, pairs: DataFrame, t: Threshold, space: Workspace, step: str) -> DataFrame:
@@ -267,23 +275,31 @@ def _verified(docs: DataFrame, bins: DataFrame, pairs: DataFrame, t: Threshold,
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(own)), pa.array(own, pa.binary())], names=["doc_id", "own"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = np.empty(0, dtype=np.uint64)
         for batch in batches:
-            us, vs = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+            us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                a, b = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
+            for i, own in enumerate(batch.column("own")):
+                b = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+                if vs[i] is None:
+                    a = b.copy()
+                    continue
                 least = int(t.overlap(len(a), len(b)))
                 if overlap_bound(a, b) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(us[keep]), pa.array(vs[keep])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], names=["u", "v"])
 
     pairs = space.write(_bounded(pairs, bins, t), f"{step}-bounded")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    wanted = space.write(docs.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary"), f"{step}-sets")
-    a = wanted.select(F.col("doc_id").alias("u"), F.col("own").alias("a"))
-    b = wanted.select(F.col("doc_id").alias("v"), F.col("own").alias("b"))
-    links = space.write(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), f"{step}-links")
-    space.drop(f"{step}-sets", f"{step}-bounded")
+    wanted = space.write(docs.join(ends, "doc_id", "left_semi").mapInArrow(tidy(sets), "doc_id long, own binary"), f"{step}-sets")
+    # a hub's partners are dealt to parts of about SIDE; its set goes once to each part, ahead of theirs
+    parts = space.write(pairs.groupBy("u").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts")), f"{step}-parts")
+    hubs = wanted.join(parts, F.col("doc_id") == F.col("u")).select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "own")
+    others = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v")
+    others = others.join(wanted.select(F.col("doc_id").alias("v"), "own"), "v").select("u", "part", "v", "own")
+    met = hubs.union(others).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    links = space.write(met.select("u", "v", "own").mapInArrow(tidy(verify), "u long, v long"), f"{step}-links")
+    space.drop(f"{step}-sets", f"{step}-bounded", f"{step}-parts")
     return links
 
 
@@ -356,7 +372,7 @@ def link_counts(docs: DataFrame, roots: DataFrame, t: Threshold) -> DataFrame:
     # two classes that make a component link with each other
     two = placed.where("size = 2").select(F.col("node").alias("class_id"), F.lit(1).cast("long").alias("part"))
     many = placed.where("size > 2").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("size") / SIDE).cast("int").alias("parts"))
-    held = docs.select("doc_id", "text").join(many, "doc_id").select("doc_id", "text", "root", "parts").mapInArrow(sets, "doc_id long, root long, parts int, own binary")
+    held = docs.select("doc_id", "text").join(many, "doc_id").select("doc_id", "text", "root", "parts").mapInArrow(tidy(sets), "doc_id long, root long, parts int, own binary")
     held = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = held.select("doc_id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "own")
     counted = met.groupBy("root", "lo", "hi").applyInArrow(count, "class_id long, part long")
@@ -376,7 +392,9 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold |
     docs = texts_by_id(documents)
     scanned = space.write(_scan(docs, t), "scan")
     own = scanned.where("block is null").select("doc_id", "n", "f1", "f2")
-    first = own.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that the join can split a class however large
+    first = own.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = space.write(first, "firsts")
     classes = own.join(first, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     classes = space.write(classes, "classes")
 
@@ -398,8 +416,8 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, t: Threshold |
     placed = tokens.select("token", "u", "n", "pos").distinct().join(roots.select(F.col("node").alias("u"), "root"), "u", "left")
     placed = space.write(placed.select("token", "u", "n", "pos", F.coalesce("root", "u").alias("root")), "placed")
     main = placed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"))
-    main = main.where("k > 1").select("token", F.col("m.root").alias("main"))
-    split = placed.join(main, "token")
+    main = space.write(main.where("k > 1").select("token", F.col("m.root").alias("main")), "main")
+    split = space.write(placed.join(main, "token"), "split")
     left = split.where("root <> main").select("token", "u", "n", "pos", "root")
     right = split.select("token", F.col("u").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vpos"), F.col("root").alias("vroot"))
     met = left.join(right, (left["token"] == right["token"]) & (F.col("root") != F.col("vroot")) & _may_link(t, F.col("n"), F.col("pos"), F.col("vn"), F.col("vpos")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.textscan import Lane, Words, slices
-from meridia.llm.workspace import ship
+from meridia.llm.workspace import ship, tidy
 
 #: Labelled documents of each label that the weights are learned from, and pairs drawn from them.
 PER_LABEL = 4000
@@ -125,7 +125,7 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
                 x = features(w)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(x)), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.mapInArrow(run, "doc_id long, x array<double>")
+    return docs.mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def learn(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ranking:
@@ -156,7 +156,7 @@ def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(score)), pa.array(score)], names=["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -172,4 +172,4 @@ def good_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame)
                 keep[w.rows] = model.value.score(features(w)) >= CUT
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -103,7 +103,7 @@ class Words:
         return np.diff(self.first)
 
 
-def slices(texts: pa.Array, step: int = 1 << 22) -> Iterator[Words]:
+def slices(texts: pa.Array, step: int = 1 << 19) -> Iterator[Words]:
     """Words of the batch's texts in slices of about ``step`` bytes; a null text is empty."""
     n = len(texts)
     if not n:

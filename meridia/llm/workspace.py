@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 #: Bytes of an Arrow batch that goes to Python, whatever the length of its texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
