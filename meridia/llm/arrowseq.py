@@ -20,19 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.tokens import WordEncoder, pieces_of_batch
-from meridia.llm.workspace import Workspace
+from meridia.llm.workspace import Workspace, file_system, tidy
 
 ROWS_PER_BATCH = 512
 PLACE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def file_system(uri: str):
-    """pyarrow's file system and path of a folder on a disk that all executors share, HDFS or an object store."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def sequence_schema(length: int, wide: bool) -> pa.Schema:
     kind = pa.uint32() if wide else pa.uint16()
     return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length))])
@@ -71,13 +64,14 @@ class SequenceWriter:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int = 1024, end_id: int = 2, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
+def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
     """Writes the files; returns (file, documents, ids) in order, one row a file.
 
     A null text is empty, so its document holds the end id alone. Rows with a null id are left
     out; rows that share an id all stay, in the order of their texts. An empty table gives
-    empty files.
+    empty files. Ids take 16 bits where the vocabulary and ``end_id`` fit, else 32.
     """
+    wide = max(end_id, WordEncoder.of(tokenizer).largest_id) >= 1 << 16
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
 
@@ -104,16 +98,15 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
             fs.move(f"{mine}.{kind}", f"{root}/{k:06d}.{kind}")
         yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int64()), "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
-    return sorted((r.file, r.docs, r.ids) for r in sorted_rows.mapInArrow(run, "file long, docs long, ids long").collect())
+    return sorted((r.file, r.docs, r.ids) for r in sorted_rows.mapInArrow(tidy(run), "file long, docs long, ids long").collect())
 
 
 class SequenceFile:
-    """Random access to one file's rows and ids; on a local or mounted path, by memory map."""
+    """Random access to the rows and ids of one file on a local or mounted path. The file is mapped, so its
+    batches are addresses and only what is asked for is read."""
 
-    def __init__(self, fs, path: str):
-        from pyarrow import fs as pafs
-
-        self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+    def __init__(self, path: str):
+        self.source = pa.memory_map(path)
         self.batches = list(pa.ipc.open_stream(self.source))
         self.length = self.batches[0].schema.field(0).type.list_size if self.batches else 0
 
@@ -133,6 +126,27 @@ class SequenceFile:
         return found[0] if len(found) == 1 else np.concatenate([*found, np.empty(0, dtype=np.uint16)])
 
 
+class SequenceReader:
+    """One file's ids in ascending order of places, a batch in memory at a time: for stores that can't be mapped."""
+
+    def __init__(self, source):
+        self.stream = pa.ipc.open_stream(source)
+        self.flat, self.at = np.empty(0, dtype=np.uint16), 0
+
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """n ids from ``start``, which isn't before the last start."""
+        found = []
+        while True:
+            part = self.flat[max(0, start - self.at) :][:n]
+            if len(part):
+                found.append(part)
+                start, n = start + len(part), n - len(part)
+            if not n:
+                return found[0] if len(found) == 1 else np.concatenate([*found, np.empty(0, dtype=self.flat.dtype)])
+            self.at += len(self.flat)
+            self.flat = self.stream.read_next_batch().column(0).flatten().to_numpy()
+
+
 def read_documents(spark: SparkSession, folder: str, files: list[tuple[int, int, int]]) -> DataFrame:
     """(doc_id, file, place, start, n_tokens, ids) read back from the files: start counts the ids of
     all documents before, place those before in the same file; ids are little-endian uint32."""
@@ -143,12 +157,15 @@ def read_documents(spark: SparkSession, folder: str, files: list[tuple[int, int,
     count = 1 + max([k for k, _, _ in files], default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
         fs, root = file_system(folder)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 if k not in base:
                     continue
-                file = SequenceFile(fs, f"{root}/{k:06d}.ids")
+                path = f"{root}/{k:06d}.ids"
+                file = SequenceFile(path) if isinstance(fs, pafs.LocalFileSystem) else SequenceReader(fs.open_input_stream(path))
                 with fs.open_input_file(f"{root}/{k:06d}.docs") as source:
                     for places in pa.ipc.open_stream(source):
                         starts, sizes = places.column(1).to_pylist(), places.column(2).to_pylist()
@@ -158,7 +175,7 @@ def read_documents(spark: SparkSession, folder: str, files: list[tuple[int, int,
                             names=["doc_id", "file", "place", "start", "n_tokens", "ids"],
                         )
 
-    return spark.range(0, count, 1, count).mapInArrow(run, "doc_id long, file long, place long, start long, n_tokens long, ids binary")
+    return spark.range(0, count, 1, count).mapInArrow(tidy(run), "doc_id long, file long, place long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2) -> DataFrame:

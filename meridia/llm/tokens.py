@@ -2,23 +2,25 @@
 
 Texts are cut at single spaces and each distinct chunk of a batch is encoded once. For a
 vocabulary whose pre-tokens never hold white space that equals encoding the whole text.
-A chunk of plain letters with plain punctuation behind it goes straight to the library's
-model; every other chunk goes through the library's whole pipeline.
+A chunk of Latin letters with plain marks behind is two pre-tokens at sight, whose distinct
+spellings go straight to the library's model; every other chunk goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a Python worker remembers; beyond it the memory starts afresh.
+#: Spellings that a Python worker remembers; beyond it the memory starts afresh.
 MEMORY = 300_000
-_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?|%*#$&]*)")
+MARKS = ".,;:!?|%*#$&"
+#: Letters whose lower case is one letter and whose composed form is their own.
+_PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?|%*#$&]*$"
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
@@ -30,12 +32,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct space-separated chunks, each chunk's number in them, each text's first chunk."""
     parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
     coded = parts.flatten().dictionary_encode()
     first = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts), dtype=np.int64))])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first
 
 
 def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,19 +50,22 @@ def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[n
 
 
 class WordEncoder:
-    """Encodes batches with one tokenizer file; special-token strings in texts are plain text."""
+    """Encodes batches with one tokenizer file, as the library does by itself: a special token's string in a
+    text is that token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         # ids as packed uint32: a quarter of the memory of lists
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+
+    @property
+    def largest_id(self) -> int:
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values())
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -68,39 +73,56 @@ class WordEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _pre_token(self, letters: str) -> bytes:
-        ids = self.parts.get(letters)
-        if ids is None:
-            ids = self.parts[letters] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        plain = _PLAIN.fullmatch(chunk)
-        if plain and max(chunk) < "ɐ":
-            word = plain[1].lower()
-            if word.isalpha():
-                if not word.isascii():
-                    word = "".join([self.letters[b] for b in word.encode()])
-                return self._pre_token(word) + self._pre_token(plain[2]) if plain[2] else self._pre_token(word)
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, in lower case."""
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _whole(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def _each(self, spellings: list[str], make: Callable[[str], bytes], mark: str = "") -> list[bytes]:
+        """Ids of distinct spellings, remembered under a mark of their kind."""
+        known, out = self.known, []
+        for s in spellings:
+            ids = known.get(mark + s)
+            if ids is None:
+                ids = known[mark + s] = make(s)
+            out.append(ids)
+        return out
+
+    def _of_chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, flat, and each one's bounds in them."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        plain = pc.match_substring_regex(words, _PLAIN)
+        full = words.filter(plain)
+        head = pc.utf8_rtrim(full, characters=MARKS)
+        coded = pc.utf8_lower(head).dictionary_encode()
+        behind = pc.subtract(pc.binary_length(full), pc.binary_length(head)).to_numpy()
+        marked = np.flatnonzero(behind)
+        tails = [w[-k:] for w, k in zip(full.take(pa.array(marked)).to_pylist(), behind[marked].tolist(), strict=True)]
+        kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        other = words.filter(pc.invert(plain)).to_pylist()
+        heads = coded.dictionary.to_pylist()
+        # a space keeps whole chunks apart from words, whose spelling never has one
+        each = [*self._each(heads, self._word), *self._each(list(kinds), self._word), *self._each(other, self._whole, " "), b""]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4)])
+        pool = np.frombuffer(b"".join(each), dtype=np.uint32)
+        # a chunk is two runs of the pool: a word or a whole chunk, and marks or nothing
+        runs = np.full((len(words), 2), len(each) - 1, dtype=np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(is_plain)
+        runs[at, 0] = coded.indices.to_numpy(zero_copy_only=False)
+        runs[at[marked], 1] = len(heads) + np.fromiter((kinds[t] for t in tails), dtype=np.int64, count=len(tails))
+        runs[~is_plain, 0] = len(heads) + len(kinds) + np.arange(len(other))
+        ids, ends = gather(pool, bounds, runs.ravel())
+        return ids, np.concatenate([[0], ends[1::2]])
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, flat, as uint32, and each text's bounds in them."""
         words, codes, first = chunks(texts)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-            self.parts.clear()
-        known, each = self.known, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = self._chunk(w)
-            each.append(ids)
-        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        flat = np.frombuffer(b"".join(each), dtype=np.uint32)
-        bounds = np.concatenate([[0], np.cumsum(size)])
+        flat, bounds = self._of_chunks(words)
         ids, ends = gather(flat, bounds, codes)
         stop = np.concatenate([[0], ends])[first]
         if end_id is None:
@@ -109,7 +131,7 @@ class WordEncoder:
         return with_end, stop + np.arange(len(stop))
 
 
-def pieces_of_batch(batch: pa.RecordBatch, column: str, step: int = 4 << 20):
+def pieces_of_batch(batch: pa.RecordBatch, column: str, step: int = 2 << 20):
     """Slices of a batch of about ``step`` bytes of text, so that temporaries stay small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, i = np.cumsum(lengths), 0

@@ -17,7 +17,6 @@ from meridia.llm.tokens import WordEncoder
 from meridia.llm.workspace import Workspace
 
 HF = Tokenizer.from_file(queries.WORD_BPE)
-HF.encode_special_tokens = True
 RANKED = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpefst.load_ranks(queries.BYTE_BPE), special_tokens={})
 HARD = ["", None, "Don't  stop now \tİstanbul ǅ ß é <|endoftext|> x² 12½ a_b", " '' 's I'LL we've", "日本語 テキスト。", "\n\n a\n b", "ﬁ Ω K", "x" * 300, " " * 50, "🎉🎉🇩🇪", " lead", "trail ", "a  b  c"]
 
@@ -89,9 +88,9 @@ def test_op2_files_and_random_access(spark, table, odd_rows):
         want = np.array([*HF.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
         assert (r.start, r.n_tokens, bytes(r.ids)) == (start, len(want), want.tobytes())
         start += len(want)
-    fs, root = arrowseq.file_system(folder)
+    _, root = arrowseq.file_system(folder)
     k, _, n = max(files, key=lambda f: f[2])
-    file = arrowseq.SequenceFile(fs, f"{root}/{k:06d}.ids")
+    file = arrowseq.SequenceFile(f"{root}/{k:06d}.ids")
     ids, mask = file.row((n - 1) // 16)
     assert mask.sum() == (n - 1) % 16 + 1 and not ids[mask.sum() :].any()
     assert np.array_equal(ids[mask], file.ids((n - 1) // 16 * 16, int(mask.sum())))
