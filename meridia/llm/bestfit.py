@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences with swap-based local search.
 
-``pack`` places lengths into bins of a fixed capacity: best fit in decreasing order first, then
-a local search over the underfull bins. The search moves one item, or exchanges one for one,
+``pack`` places lengths into bins of a fixed capacity: best fit of the longer half first and then the shorter, as they come,
+and a local search over the underfull bins. The search moves one item, or exchanges one for one,
 two for one or one for two, whenever a fuller bin gains and a less full one loses tokens; each
 such step raises the sum of squared fills, so it ends, and bins that lose everything go. It
-stops early once the number of bins equals the lower bound, ceil(sum / capacity).
+stops early once the number of bins equals the lower bound, ceil(sum / capacity). Where it ends above
+the bound, it starts again from best fit in decreasing order, and the fewer bins count.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.tokens import WordEncoder, pieces_of_batch
-from meridia.llm.workspace import Workspace
+from meridia.llm.workspace import Workspace, tidy
 
 #: Pieces that are packed together in one task. Groups waste less than a bin each beyond the search's own loss.
 GROUP = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers; the longest first, each into the fullest bin that holds it."""
+def best_fit(lengths: list[int], capacity: int, step: int = 1) -> list[list[int]]:
+    """Bins of item numbers; the longest first (those of one length in units of ``step`` as they come), each into the
+    fullest bin that holds it."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r is set where a bin has r tokens of room
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in sorted(range(len(lengths)), key=lambda i: (-(lengths[i] // step), i)):
         n = lengths[i]
         fitting = rooms >> n
         if fitting:
@@ -154,7 +156,14 @@ class _Exchanges:
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
     """Item numbers of each bin. Every length lies in 1..capacity."""
-    return improve(lengths, best_fit(lengths, capacity), capacity)
+    bound, found = -(-sum(lengths) // capacity), None
+    for step in (capacity // 2 + 1, 1):
+        bins = improve(lengths, best_fit(lengths, capacity, step), capacity)
+        if found is None or len(bins) < len(found):
+            found = bins
+        if len(found) <= bound:
+            break
+    return found
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(tidy(run), PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
