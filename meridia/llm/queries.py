@@ -17,15 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as deflated TIFF with horizontal differencing; digests of the samples read back."""
+    """Texts as TIFF in layouts of all kinds; digests of the samples read back, of all pages of a file."""
     docs = _table(spark, sf_dir, "documents")
     stored = tiff.texts_to_tiff(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")))
     stored = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    pages = tiff.tiff_pages(stored)
+    pages = tiff.join_pages(tiff.tiff_pages(stored))
     size = F.octet_length("pixels")
     tail = F.expr("substring(pixels, octet_length(pixels) - 63, 64)")
     feature = F.concat_ws("|", F.concat(F.col("width"), F.lit("x"), F.col("height")), F.format_string("%08x", F.crc32("pixels")), F.hex(F.expr("substring(pixels, 1, 4)")))
-    return pages.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), "page", "width", "height")
+    return pages.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), F.col("page").alias("pages"), "width", "height", "compression", "predictor", "tiled")
 
 
 def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

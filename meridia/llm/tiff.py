@@ -4,7 +4,11 @@ The reader walks the chain of image directories of a classic TIFF in either byte
 decodes strips and tiles stored plainly or with PackBits, LZW or deflate, and undoes
 horizontal differencing (predictor 2, on 8-, 16- and 32-bit samples) and floating-point
 differencing (predictor 3). Null bytes give no page; a damaged file gives one row whose
-``error`` says why and whose other columns are null.
+``error`` says why and whose other columns are null. A page that claims more samples than its
+bytes could hold under any of the schemes is damaged, so a small file can't ask for much memory.
+
+``texts_to_tiff`` stores each text in a layout that follows from the text alone: scheme, predictor, strips or
+tiles, and pages of a number of rows. ``join_pages`` puts the pages of a file together again.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from meridia.llm.tokens import pieces_of_batch
-from meridia.llm.workspace import ship
+from meridia.llm.workspace import ship, tidy
 
 # Fixed values of the TIFF 6.0 format: field types' sizes, tags and compression schemes.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
@@ -30,6 +34,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 27
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 SCHEMES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 OLD_DEFLATE = 32946
+#: No scheme expands by more: the longest LZW entry, 4096 bytes, takes 12 bits.
+EXPANSION = 4096
 
 PAGE_COLUMNS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
@@ -158,7 +164,7 @@ def expand(data: bytes, code: int, size: int) -> bytes:
     if code == 1:
         return data
     if code in (8, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if code == 5:
         return lzw_expand(data, size)
     if code == 32773:
@@ -276,6 +282,10 @@ def read_page(data: bytes, order: str, tags: dict[int, list]) -> dict[str, objec
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     planes = samples if planar else 1
     each = samples // planes
+    if wide < 1 or high < 1 or samples < 1 or bw < 1 or bh < 1:
+        raise ValueError("a page without samples")
+    if max(wide * high, bw * bh) * samples * bits // 8 > EXPANSION * (len(data) + 1):
+        raise ValueError("more samples than the file can hold")
     image = np.zeros((high, wide, samples), dtype=f"f{bits // 8}" if is_float else f"u{bits // 8}")
     k = 0
     for plane in range(planes):
@@ -300,7 +310,7 @@ def pages(data: bytes | None) -> Iterator[dict[str, object]]:
         for order, tags in directories(data):
             yield {"page": k, **read_page(data, order, tags)}
             k += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError) as e:
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
         yield dict.fromkeys(names) | {"page": k, "error": f"{type(e).__name__}: {e}"}
 
 
@@ -310,8 +320,22 @@ def text_payload(text: bytes | None, line: int = 64) -> bytes:
     return text + b"\0" * (-len(text) % line if text else line)
 
 
-def texts_to_tiff(df: DataFrame, text_col: str = "text", media_col: str = "media", width: int = 64, scheme: str = "deflate", predictor: int = 2) -> DataFrame:
-    """Adds each text, padded to whole rows of ``width`` samples, as a one-page TIFF.
+def text_to_tiff(text: bytes | None, width: int = 64) -> bytes:
+    """A text, padded to whole rows of ``width`` samples, as a TIFF whose layout follows from the payload's checksum:
+    one of four schemes, with LZW and deflate one of two predictors, strips or tiles, and
+    64 to 512 rows a page."""
+    payload = text_payload(text, width)
+    image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
+    choice = zlib.crc32(payload)
+    scheme = ("deflate", "lzw", "packbits", "none")[choice & 3]
+    predictor = 1 + (choice >> 2 & 1) if scheme in ("deflate", "lzw") else 1
+    tile = 64 if choice >> 3 & 1 else 0
+    rows = 64 << (choice >> 4 & 3)
+    return write_tiff([write_page(image[y : y + rows], scheme, predictor, tile, 64) for y in range(0, len(image), rows)])
+
+
+def texts_to_tiff(df: DataFrame, text_col: str = "text", media_col: str = "media", width: int = 64) -> DataFrame:
+    """Adds each text as a TIFF (see ``text_to_tiff``).
 
     A null text counts as empty and gives one row of zeros. Equal texts give equal files.
     A column named ``media_col`` is replaced; the others stay as they are.
@@ -322,14 +346,11 @@ def texts_to_tiff(df: DataFrame, text_col: str = "text", media_col: str = "media
 
     def run(batches):
         for whole in batches:
-            for batch in pieces_of_batch(whole, media_col, 8 << 20):
-                media = []
-                for text in batch.column(media_col).to_pylist():
-                    image = np.frombuffer(text_payload(text, width), dtype=np.uint8).reshape(-1, width)
-                    media.append(write_tiff([write_page(image, scheme, predictor)]))
+            for batch in pieces_of_batch(whole, media_col):
+                media = [text_to_tiff(text, width) for text in batch.column(media_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(media, pa.binary())], names=batch.schema.names)
 
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(tidy(run), source.schema)
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -348,7 +369,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces_of_batch(whole, "__media", 8 << 20):
+            for batch in pieces_of_batch(whole, "__media"):
                 rows, found = [], []
                 for i, media in enumerate(batch.column("__media").to_pylist()):
                     for page in pages(media):
@@ -358,4 +379,45 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
                 made = [pa.array([p[n] for p in found], kinds[t]) for n, t in fields]
                 yield pa.RecordBatch.from_arrays([*taken, *made], names=[*batch.schema.names[:-1], *(n for n, _ in fields)])
 
-    return source.mapInArrow(run, spark_schema)
+    return source.mapInArrow(tidy(run), spark_schema)
+
+
+def join_pages(pages_of: DataFrame) -> DataFrame:
+    """One row per file from the rows of ``tiff_pages``, which lie side by side as they were made, in the same task: the
+    columns of the first page, but ``pixels`` of all pages one below the other, ``height`` their sum, and ``page``
+    their number. A file with a damaged page has null pixels and that page's error."""
+    schema = pages_of.schema
+    at = {f.name: i for i, f in enumerate(schema)}
+
+    def run(batches):
+        kept: list | None = None  # the open file's first row, as a batch of one
+        pixels: list[bytes | None] = []
+        height, error = 0, None
+
+        def closed(firsts, made):
+            columns = list(pa.Table.from_batches(firsts).combine_chunks().to_batches()[0].columns)
+            for name, kind in (("page", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())):
+                columns[at[name]] = pa.array([m[name] for m in made], kind)
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        def file():
+            whole = None if error is not None else pixels[0] if len(pixels) == 1 else b"".join(pixels)
+            return {"page": len(pixels), "height": None if error is not None else height, "pixels": whole, "error": error}
+
+        for batch in batches:
+            firsts, made = [], []
+            rows = zip(*(batch.column(at[c]).to_pylist() for c in ("page", "height", "pixels", "error")), strict=True)
+            for i, (page, high, body, bad) in enumerate(rows):
+                if page == 0:
+                    if kept is not None:
+                        firsts.append(kept)
+                        made.append(file())
+                    kept, pixels, height, error = batch.slice(i, 1), [], 0, None
+                pixels.append(body)
+                height, error = height + (high or 0), error if error is not None else bad
+            if firsts:
+                yield closed(firsts, made)
+        if kept is not None:
+            yield closed([kept], [file()])
+
+    return pages_of.mapInArrow(tidy(run), schema)
