@@ -11,7 +11,10 @@ needed and then kept, so the merge table is compiled only as far as the data ask
 A token is final once the analyses of all prefixes that a later token may start after agree on
 it: ``stream`` gives it out then, after a lookahead of less than the longest token behind the
 point where they agree. A pre-token that is a token as a whole is that token, as ranked encoders
-have it; ``transduce`` traces a whole pre-token back at once.
+have it.
+
+Decoding is a machine of the same kind: its states are the bytes of a character that is still open, and a
+transition on a token, made by the incremental UTF-8 machine when first needed, gives the text that the token completes.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.tokens import chunks, pieces_of_batch
-from meridia.llm.workspace import ship
+from meridia.llm.workspace import ship, tidy
 
 #: Distinct pre-tokens, and transitions, that a Python worker remembers; beyond that the memory starts afresh.
 MEMORY = 500_000
@@ -46,10 +49,12 @@ class State(dict):
     starts a longer token; ``lasts`` are the last tokens of the prefixes that end at its places, from
     before its first byte to its end: empty at the start of the text, None where no token starts."""
 
-    __slots__ = ("lasts", "machine", "tail")
+    __slots__ = ("lasts", "machine", "open", "tail")
 
     def __init__(self, machine: BpeTransducer, tail: bytes, lasts: tuple[bytes | None, ...]):
         self.machine, self.tail, self.lasts = machine, tail, lasts
+        # how far back from the end a later token may start
+        self.open = tuple({len(tail) - k for k, t in enumerate(lasts) if t is not None} | {0})
 
     def __missing__(self, byte: int) -> tuple[State, int]:
         self.machine.made += 1
@@ -166,33 +171,31 @@ class BpeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, last = self.start, []
-        for b in piece:
-            state, token = state[b]
-            last.append(token)
+        ids = list(self.stream(piece))
         if self.made > TRANSITIONS:
             self._reset()
-        out, at, length = [], len(last), self.length
-        while at:
-            out.append(last[at - 1])
-            at -= length[last[at - 1]]
-        out.reverse()
-        return out
+        return ids
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
         """Ids of one pre-token's bytes as they come, each as soon as it is final; a pre-token that is a
         token as a whole isn't known as such before its end, and comes as its merges give it."""
-        state, last, settled = self.start, [], 0
+        state, last, settled, length = self.start, [], 0, self.length
         for b in piece:
             state, token = state[b]
             last.append(token)
             n = len(last)
-            ends = {n - len(state.tail) + k for k, t in enumerate(state.lasts) if t is not None} | {n}
-            while len(ends) > 1:
-                far = max(ends)
-                ends = (ends - {far}) | {max(settled, far - self.length[last[far - 1]])}
-            yield from self._path(last, settled, next(iter(ends)))
-            settled = next(iter(ends))
+            if len(state.open) == 1:
+                agreed = n
+            else:
+                ends = {n - k for k in state.open}
+                while len(ends) > 1:
+                    far = max(ends)
+                    ends.remove(far)
+                    ends.add(max(settled, far - length[last[far - 1]]))
+                (agreed,) = ends
+            if agreed > settled:
+                yield from self._path(last, settled, agreed)
+                settled = agreed
         yield from self._path(last, settled, len(last))
 
     def _path(self, last: list[int], start: int, end: int) -> list[int]:
@@ -231,11 +234,11 @@ class Utf8Stream:
     """Incremental UTF-8 state machine: feed bytes in any cuts, get the text that is complete so far.
 
     A state is the number of continuation bytes to come and the range allowed for the next one;
-    a byte that doesn't fit gives U+FFFD and the machine starts afresh, at that byte if it can.
+    a byte that doesn't fit gives U+FFFD, counts in ``errors``, and the machine starts afresh, at that byte if it can.
     """
 
     def __init__(self):
-        self.held, self.more, self.low, self.high = bytearray(), 0, 0x80, 0xBF
+        self.held, self.more, self.low, self.high, self.errors = bytearray(), 0, 0x80, 0xBF, 0
 
     def feed(self, data: bytes) -> str:
         if not self.more and data.isascii():
@@ -251,6 +254,7 @@ class Utf8Stream:
                         self.held.clear()
                     continue
                 out.append("�")
+                self.errors += 1
                 self._clear()
             if b < 0x80:
                 out.append(chr(b))
@@ -262,6 +266,7 @@ class Utf8Stream:
                 self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(b, 0xBF)
             else:
                 out.append("�")
+                self.errors += 1
         return "".join(out)
 
     def _clear(self) -> None:
@@ -270,6 +275,7 @@ class Utf8Stream:
 
     def close(self) -> str:
         rest = "�" if self.more else ""
+        self.errors += len(rest)
         self._clear()
         return rest
 
@@ -284,11 +290,55 @@ def stream_text(tokens: Iterable[bytes]) -> Iterator[str]:
         yield rest
 
 
+class Open(dict):
+    """A state of the decoder: token id -> (text completed, next state), filled when first asked. ``held`` are the
+    bytes of the open character; ``broken`` tells that some byte before didn't fit."""
+
+    __slots__ = ("broken", "decoder", "held")
+
+    def __init__(self, decoder: TokenDecoder, held: bytes, broken: bool):
+        self.decoder, self.held, self.broken = decoder, held, broken
+
+    def __missing__(self, token: int) -> tuple[str, Open]:
+        machine = Utf8Stream()
+        machine.feed(self.held)
+        text = machine.feed(self.decoder.bytes_of[token])
+        step = self[token] = text, self.decoder.state(bytes(machine.held), self.broken or machine.errors > 0)
+        return step
+
+
+class TokenDecoder:
+    """Streaming decoder of token ids."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        self.bytes_of = bytes_of
+        self.states: dict[tuple[bytes, bool], Open] = {}
+        self.start = self.state(b"", False)
+
+    def state(self, held: bytes, broken: bool) -> Open:
+        # an open character has three bytes at most, so the states are few
+        found = self.states.get((held, broken))
+        if found is None:
+            found = self.states[held, broken] = Open(self, held, broken)
+        return found
+
+    def decode(self, ids: Iterable[int]) -> tuple[str, bool]:
+        """The text, and whether all bytes made characters."""
+        state, out = self.start, []
+        for i in ids:
+            text, state = state[i]
+            out.append(text)
+        if state.held:
+            out.append("�")
+        return "".join(out), not state.broken and not state.held
+
+
 def encode_batch(machine: BpeTransducer, texts: pa.Array) -> Iterator[list[int]]:
     """Ids of each text. Texts are cut before single spaces that follow other than white space, where
     the pattern cuts as well; each distinct chunk is encoded once. Other texts are encoded whole."""
     texts = pc.fill_null(texts, "")
-    words, codes, first = chunks(texts)
+    spelt, codes, first = chunks(texts)
+    words = spelt.to_pylist()
     open_end = np.array([not w or w[-1].isspace() for w in words], dtype=bool)
     heads: dict[int, list[int]] = {}
     bodies = [None] * len(words)
@@ -319,26 +369,20 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = BpeTransducer.of(ranks_path, pattern)
+        decoder = TokenDecoder(machine.bytes_of)
         digits = {v: str(v) for v in machine.bytes_of}
         for whole in batches:
-            for batch in pieces_of_batch(whole, "text", 6 << 20):
+            for batch in pieces_of_batch(whole, "text"):
                 counts, ids_sha, decoded_sha, valid = [], [], [], []
                 for ids in encode_batch(machine, batch.column("text")):
                     counts.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    data = machine.decode(ids)
-                    decoded_sha.append(hashlib.sha256(data).hexdigest())
-                    stream = Utf8Stream()
-                    valid.append("�" not in stream.feed(data) + stream.close() if not _whole(data) else True)
+                    text, whole_text = decoder.decode(ids)
+                    # text that isn't whole can't give its bytes back
+                    decoded_sha.append(hashlib.sha256(text.encode() if whole_text else machine.decode(ids)).hexdigest())
+                    valid.append(whole_text)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(valid, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
-
+    return source.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
 
-def _whole(data: bytes) -> bool:
-    try:
-        data.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
