@@ -2,8 +2,8 @@
 
 Each of ``curves`` orderings projects the vectors onto ``dims`` random orthonormal directions,
 quantises their ranks in a sample, shifted, and takes the Hilbert key. The keys are range-partitioned into cells of
-a bounded size; a query looks through its own cell and the neighbouring ones on either side, a
-share of ``window`` of all rows each way, whatever the size of the table. What the windows of all
+a bounded size; a query looks through its own cell and the neighbouring ones on either side, in all a
+share of ``window`` of the rows, whatever the size of the table (and ``LEAST_ROWS`` a cell at least). What the windows of all
 curves find is merged and ranked again by the exact distance of the original vectors.
 
 Equal vectors are searched once and stand for their smallest ids. Equal keys are told apart by a
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.workspace import Workspace
+from meridia.llm.workspace import Workspace, tidy
 
 #: Vectors from which the scale of the projections and the cells' bounds are taken.
 SAMPLE = 20_000
-CELL_ROWS = 20_000
+CELL_ROWS = 100_000
+LEAST_ROWS = 64
 TIE_BITS = 15
 #: Quantiles of the sample that place a projection.
 KNOTS = 257
@@ -103,7 +104,7 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 16, dims: int = 8, bits: int = 6, window: float = 0.05, seed: int = 7) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 16, dims: int = 8, bits: int = 6, window: float = 0.0625, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k nearest
     found by Euclidean distance, itself left out; ties go to the smaller id. Fewer rows than k give
     what there is; see ``usable_vectors`` for what takes part."""
@@ -122,8 +123,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int =
     sampled = classes.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).orderBy("rep").limit(2 * SAMPLE).toArrow()
     if not len(sampled):
         sampled = classes.orderBy("rep").limit(1).toArrow()
-    cells = max(2 * math.ceil(1 / window) if n > 1000 else 1, math.ceil(n / CELL_ROWS))
-    reach = math.ceil(window * cells)
+    cells = max(1, min(n // LEAST_ROWS, max(math.ceil(5 / window), math.ceil(n / CELL_ROWS))))
+    reach = max(1, math.ceil((window * cells - 1) / 2))
     index = Curves(_matrix(sampled["v"]), sampled["rep"].to_numpy(), curves, dims, bits, cells, seed)
     held = spark.sparkContext.broadcast(index)
 
@@ -158,24 +159,27 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int =
         there = there.sort_by("rep")
         q, x = _matrix(asked["v"]), _matrix(there["v"])
         squares = (x * x).sum(axis=1)
-        most = min(len(x), k + 8)
+        most, step = min(len(x), k + 1), max(1, min(256, (1 << 22) // len(x)))
         who, found, score = [], [], []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
             near = squares[None] - 2 * part @ x.T
-            few = np.argpartition(near, most - 1, axis=1)[:, :most]
-            exact = np.sqrt(((x[few] - part[:, None]) ** 2).sum(axis=2))
-            best = np.take_along_axis(few, np.lexsort((few, exact), axis=1)[:, : k + 1], axis=1)
-            exact = np.sqrt(((x[best] - part[:, None]) ** 2).sum(axis=2))
-            who.append(np.repeat(np.arange(at, at + len(part)), best.shape[1]))
-            found.append(best.ravel())
-            score.append(exact.ravel())
+            # whatever may tie with the last place, for rounding's sake a little beyond
+            last = np.partition(near, most - 1, axis=1)[:, most - 1]
+            asks, place = np.nonzero(near <= (last + 1e-9 * (squares.max() + (part * part).sum(axis=1)))[:, None])
+            exact = np.concatenate([np.sqrt(((x[place[i : i + 65536]] - part[asks[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(asks), 65536)])
+            order = np.lexsort((place, exact, asks))
+            rank = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
+            order = order[rank <= k]
+            who.append(asks[order] + at)
+            found.append(place[order])
+            score.append(exact[order])
         found, who = pa.array(np.concatenate(found)), pa.array(np.concatenate(who))
         return pa.table([asked["query_id"].take(who), pa.array(np.concatenate(score)), there["rep"].take(found), there["ids"].take(found)], names=names)
 
     columns = "cell long, rep long, v array<double>, ids array<long>, query_id long"
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    both = classes.select("rep", "v", "ids").mapInArrow(place, columns).union(queries.mapInArrow(ask, columns))
+    both = classes.select("rep", "v", "ids").mapInArrow(tidy(place), columns).union(queries.mapInArrow(tidy(ask), columns))
     met = both.groupBy("cell").applyInArrow(search, "query_id long, score double, rep long, ids array<long>")
     merged = met.groupBy("query_id", "rep").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
     each = merged.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
