@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTRY = "kind string, value string, listed_on date, action string"
+#: Fixed value of the domain name system: the longest name. A longer host is none, so a capture has 128 keys at most.
+LONGEST_HOST = 253
 
 
 def host_of(url):
-    """Lower-case host of a URL with a scheme; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.when(F.length(host) > 0, F.regexp_replace(host, r"\.$", ""))
+    """Lower-case host of a URL with a scheme, an address in brackets with them; null where there is none, or
+    where it is longer than a domain name can be."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    return F.when((F.length(host) > 0) & (F.length(host) <= LONGEST_HOST + 1), F.regexp_replace(host, r"\.$", ""))
 
 
 def folder_of(url):
@@ -48,7 +51,8 @@ def capture_keys(captures: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds host and one row for each entry that could list the capture (kind, value); captures
     without a host keep one row of nulls."""
     with_host = captures.withColumn("__host", host_of(F.col(url_col))).withColumn("__folder", folder_of(F.col(url_col)))
-    parts = F.split("__host", r"\.")
+    # dots inside an address in brackets don't part domains
+    parts = F.when(F.col("__host").startswith("["), F.array("__host")).otherwise(F.split("__host", r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("__host").alias("value")))
     folder = F.when(F.col("__folder").isNotNull(), F.array(F.struct(F.lit("folder").alias("kind"), F.concat("__host", F.lit("/"), "__folder").alias("value"))))
