@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.expr import FormulaError, Node, canonical, expand
+from meridia.functions.expr import FormulaError, Node, canonical, expand, walk
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,8 @@ class Dialect:
 
 
 def compile_formulas(df: DataFrame, formulas: dict[str, Node], dialect: Dialect, panel: Panel) -> DataFrame:
-    """df with a column per formula. Sequential operators (exponential averages) run as one grouped
-    Arrow pass each; all else stays in the JVM."""
+    """df with a column per formula. Sequential operators (exponential averages) of all formulas run in one Arrow
+    pass over the series, or one for each level where they lie within each other; all else stays in the JVM."""
     staged: dict[str, Column] = {}
     state = {"df": df, "n": 0}
 
@@ -80,25 +80,37 @@ def compile_formulas(df: DataFrame, formulas: dict[str, Node], dialect: Dialect,
         if len(n.children) != op.series or len(n.params) < op.params:
             raise FormulaError(f"{n.op} takes {op.series} series and {op.params} numbers")
         kids = [build(c) for c in n.children]
-        if n.op in dialect.sequential:
-            from meridia.operators.sequential import exponential
-
-            source = stage(kids[0])
-            name = f"__f{state['n']}"
-            state["n"] += 1
-            kind, number = op.make(panel, kids, n.params)
-            state["df"] = exponential(state["df"], str(source._jc.toString()), name, panel, kind, number)
-            made = stage(dialect.finish(F.col(name)))
-        else:
-            if op.windowed:
-                # window functions don't nest: arguments come first
-                kids = [k if c.op in ("feature", "const") else stage(k) for k, c in zip(kids, n.children, strict=True)]
-            made = op.make(panel, kids, n.params)
-            # staged before the finish, which reads its argument several times
-            made = dialect.finish(stage(made) if op.windowed else made)
+        if op.windowed:
+            # window functions don't nest: arguments come first
+            kids = [k if c.op in ("feature", "const") else stage(k) for k, c in zip(kids, n.children, strict=True)]
+        made = op.make(panel, kids, n.params)
+        # staged before the finish, which reads its argument several times
+        made = dialect.finish(stage(made) if op.windowed else made)
         staged[key] = made
         return made
 
-    built = {name: build(expand(tree, dialect.macros)) for name, tree in formulas.items()}
+    def level(n: Node) -> int:
+        return (n.op in dialect.sequential) + max(map(level, n.children), default=0)
+
+    trees = {name: expand(tree, dialect.macros) for name, tree in formulas.items()}
+    found = {str(canonical(n)): n for tree in trees.values() for _, n in walk(tree) if n.op in dialect.sequential}
+    for depth in sorted({level(n) for n in found.values()}):
+        from meridia.operators.sequential import exponentials
+
+        wanted, sources = {}, {}
+        for key, n in found.items():
+            if level(n) == depth:
+                op = dialect.operators[n.op]
+                if len(n.children) != op.series or len(n.params) < op.params:
+                    raise FormulaError(f"{n.op} takes {op.series} series and {op.params} numbers")
+                child = str(canonical(n.children[0]))
+                if child not in sources:
+                    stage(build(n.children[0]))
+                    sources[child] = f"__f{state['n'] - 1}"
+                wanted[key] = (f"__e{len(wanted)}_{depth}", sources[child], *op.make(panel, [], n.params))
+        state["df"] = exponentials(state["df"], panel, {name: (source, kind, number) for name, source, kind, number in wanted.values()})
+        for key, (name, *_) in wanted.items():
+            staged[key] = stage(dialect.finish(F.col(name)))
+    built = {name: build(tree) for name, tree in trees.items()}
     out = state["df"]
     return out.select(*df.columns, *[c.alias(name) for name, c in built.items()])

@@ -75,8 +75,9 @@ def average_rank(x: Column, over_order, over_all) -> Column:
 
 
 def correlation(x: Column, y: Column, w=None) -> Column:
-    """Correlation, null where a side doesn't vary (the built-in raises there under ANSI)."""
+    """Correlation of the rows that have both, null where a side doesn't vary (the built-in raises there under ANSI)."""
     over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     sx, sy = over(F.stddev_pop(x)), over(F.stddev_pop(y))
     vary = (sx > 1e-9) & (sy > 1e-9)
     return F.when(vary, over(F.covar_pop(x, y)) / F.when(vary, sx * sy))

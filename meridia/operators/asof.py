@@ -34,20 +34,31 @@ def next_days(dates: DataFrame, days: DataFrame, date_col: str = "date", day_col
     return dates.join(ahead.where("n > 0").select(F.col("__d").alias(date_col), "ge", "gt"), date_col)
 
 
+def disjoint_spans(spans: DataFrame, by: list[str], start: str, end: str, values: list[str]) -> DataFrame:
+    """(by, start, end, values): what is left of each span beside those of its key that start earlier (ties: the lesser
+    values). A span that starts earlier wins wherever it reaches, so of a later one the part behind all ends before
+    counts: a running maximum. A null end is open."""
+    far = F.lit("9999-12-31").cast("date")
+    known = spans.select(*by, F.col(start).alias("__s"), F.coalesce(end, far).alias("__e"), *values).where("__s <= __e")
+    before = Window.partitionBy(*by).orderBy("__s", *values, "__e").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.greatest(F.col("__s"), F.coalesce(F.date_add(F.max("__e").over(before), 1), F.col("__s")))
+    return known.withColumn("__s", lo).where("__s <= __e")
+
+
 def interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, values: list[str], unit: int = 32) -> DataFrame:
     """points with the values of the span start <= at <= end of the same key that starts first.
 
-    Spans are cut at multiples of ``unit`` days, so that points and spans meet by equality. A null
-    end is open and reaches to the last point.
+    Spans are made disjoint first, so a point meets one at most and nothing needs to be grouped. Both sides meet by
+    equality of key and stretch of ``unit`` days; a null end is open and reaches to the last point.
     """
     last = points.agg(F.max(at).alias("__last"))
     bucket = lambda c: F.floor(F.unix_date(c) / unit)
-    s = spans.crossJoin(F.broadcast(last)).withColumn(end, F.coalesce(end, "__last")).where(F.col(start) <= F.col(end))
-    s = s.withColumn("__b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end))))).select(*by, F.col(start).alias("__s"), F.col(end).alias("__e"), "__b", *values)
-    p = points.withColumn("__b", bucket(F.col(at))).withColumn("__id", F.monotonically_increasing_id())
-    met = p.alias("p").join(s.alias("s"), [F.col(f"p.{k}") == F.col(f"s.{k}") for k in by] + [F.col("p.__b") == F.col("s.__b"), F.col(f"p.{at}").between(F.col("s.__s"), F.col("s.__e"))], "left")
-    best = met.groupBy(*[F.col(f"p.{c}") for c in p.columns]).agg(F.min(F.when(F.col("s.__s").isNotNull(), F.struct("s.__s", *[f"s.{v}" for v in values]))).alias("__v"))
-    return best.select(*points.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+    s = disjoint_spans(spans, by, start, end, values).crossJoin(F.broadcast(last)).withColumn("__e", F.least("__e", "__last")).where("__s <= __e")
+    s = s.withColumn("__b", F.explode(F.sequence(bucket(F.col("__s")), bucket(F.col("__e"))))).drop("__last")
+    p = points.withColumn("__b", bucket(F.col(at)))
+    same = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in by] + [F.col("p.__b") == F.col("s.__b"), F.col(f"p.{at}").between(F.col("s.__s"), F.col("s.__e"))]
+    met = p.alias("p").join(s.alias("s"), same, "left")
+    return met.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{v}") for v in values])
 
 
 def members_on(log: DataFrame, day: Column) -> DataFrame:

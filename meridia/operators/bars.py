@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from meridia.functions.compile import Panel
 from meridia.operators.asof import next_days
 from meridia.operators.sequential import ewm_halflife, ewm_varying, per_series
+from meridia.session import written
 
 NIGHT_START = 20 * 60 + 30
 
@@ -275,12 +276,17 @@ def variable_lag_sum(df: DataFrame, panel: Panel, x: str, lag: str, name: str) -
     return met.withColumn(name, F.when(F.col("__n") - n0 == F.col(lag), F.col("__s") - s0)).drop("__i", "__j", "__s", "__n", "__s0", "__n0")
 
 
-def features(bars: DataFrame, product: str = "product", day: str = "day", segment: str = "segment", order: str = "bob", close: str = "close", high: str = "close", low: str = "close", volume: str = "volume", position: str = "volume", slot: str = "slot", template: str = "template") -> DataFrame:
+def features(bars: DataFrame, product: str = "product", day: str = "day", segment: str = "segment", order: str = "bob", close: str = "close", high: str = "close", low: str = "close", volume: str = "volume", position: str = "volume", slot: str = "slot", template: str = "template", breaks: dict[str, datetime.date] | None = None) -> DataFrame:
     """The fourteen panel features of traded bars: x_std, vol_ewma, ret_5m, ret_15m, ret_60m, ret_1d,
     oi_chg_1d, z_60, z_240, z_1200, vol_ratio, range_1, range_15, range_60. Windows count traded bars.
-    A day's bar count is the half-life of vol_ewma and the reach of the daily changes."""
+    A day's bar count is the half-life of vol_ewma and the reach of the daily changes.
+
+    ``breaks`` are days on which an exchange changed how it counts, by product: oi_chg_1d is null on bars within three days of
+    one, and on the bar behind the last of these. The averages are computed once and written, with prefix sums beside
+    them; a row then meets the row a day before it in one join."""
     p = Panel((product,), (order,), (order,))
     w = p.rows()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     same = F.lag(segment).over(w) == F.col(segment)
     df = bars.withColumn("r", F.when(same, F.ln(F.col(close)) - F.ln(F.lag(close).over(w))))
     df = df.withColumn("bars_per_day", F.count(F.lit(1)).over(Window.partitionBy(product, day)).cast("double"))
@@ -291,17 +297,9 @@ def features(bars: DataFrame, product: str = "product", day: str = "day", segmen
         return [np.sqrt(ewm_varying(r2, half)), np.divide(short, long, out=np.full(len(vol), np.nan), where=long > 0)]
 
     df = per_series(df, p, ["__r2", "bars_per_day", "__vol"], {"vol_ewma": DoubleType(), "vol_ratio": DoubleType()}, averages).drop("__r2", "__vol")
-    df = df.join(daily_sigma(df, product, day, "r"), [product, day], "left").join(seasonal_profile(df, [product, template], day, slot, "r"), [product, template, day, slot], "left")
-    cut = F.greatest(-5 * F.col("sigma"), F.least(5 * F.col("sigma"), F.col("r")))
-    before = F.lag("vol_ewma").over(w)
-    scale = before * F.coalesce("profile", F.lit(1.0))
-    df = df.withColumn("x_std", F.when(scale > 0, F.coalesce(cut, F.col("r")) / F.when(scale > 0, scale)))
+    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__s", F.coalesce(F.sum("r").over(so_far), F.lit(0.0))).withColumn("__n", F.count("r").over(so_far)).withColumn("__before", F.lag("vol_ewma").over(w))
     for n in (5, 15, 60):
         df = df.withColumn(f"ret_{n}m", strict_sum(F.col("r"), p, n))
-    df = variable_lag_sum(df, p, "r", "bars_per_day", "ret_1d")
-    past = df.select(product, F.row_number().over(w).alias("__j"), F.col(position).cast("double").alias("__p0"), F.col(segment).alias("__seg0"))
-    df = df.withColumn("__j", F.row_number().over(w) - F.col("bars_per_day").cast("int")).join(past, [product, "__j"], "left")
-    df = df.withColumn("oi_chg_1d", F.when((F.col("__seg0") == F.col(segment)) & (F.col("__p0") > 0), F.col(position) / F.when(F.col("__p0") > 0, F.col("__p0")) - 1)).drop("__j", "__p0", "__seg0")
     for n in (60, 240, 1200):
         f = p.last(n)
         sd = F.stddev_pop(close).over(f)
@@ -309,4 +307,23 @@ def features(bars: DataFrame, product: str = "product", day: str = "day", segmen
     for n in (1, 15, 60):
         f = p.last(n)
         df = df.withColumn(f"range_{n}", F.when((F.count(close).over(f) == n) & (F.col(close) != 0), (F.max(high).over(f) - F.min(low).over(f)) / F.when(F.col(close) != 0, F.col(close))))
-    return df
+    if breaks:
+        at = F.create_map(*[F.lit(v) for k, b in breaks.items() for v in (k, b)])[F.col(product).cast("string")]
+        near = F.coalesce(F.abs(F.datediff(day, at)) <= 3, F.lit(False))
+        df = df.withColumn("__near", near).withColumn("__near", F.col("__near") | F.coalesce(F.lag("__near").over(w), F.lit(False)))
+    else:
+        df = df.withColumn("__near", F.lit(False))
+    df = rows = written(df, "features")
+    past = df.select(F.col(product).alias("__p"), F.col("__i").alias("__j"), F.col("__s").alias("__s0"), F.col("__n").alias("__n0"), F.col(position).cast("double").alias("__p0"), F.col(segment).alias("__seg0"))
+    reach = F.col("__i") - F.col("bars_per_day").cast("int")
+    df = df.join(past, (F.col(product) == F.col("__p")) & (reach == F.col("__j")), "left")
+    known = F.when(reach == 0, 0).otherwise(F.col("__n0"))
+    df = df.withColumn("ret_1d", F.when(F.col("__n") - known == F.col("bars_per_day"), F.col("__s") - F.when(reach == 0, 0.0).otherwise(F.col("__s0"))))
+    change = F.col(position) / F.when(F.col("__p0") > 0, F.col("__p0")) - 1
+    df = df.withColumn("oi_chg_1d", F.when((F.col("__seg0") == F.col(segment)) & (F.col("__p0") > 0) & ~F.col("__near"), change))
+    df = df.join(daily_sigma(rows, product, day, "r"), [product, day], "left").join(seasonal_profile(rows, [product, template], day, slot, "r"), [product, template, day, slot], "left")
+    # greatest and least pass over nulls: a bar without a return has none
+    cut = F.when(F.col("r").isNotNull(), F.greatest(-5 * F.col("sigma"), F.least(5 * F.col("sigma"), F.col("r"))))
+    scale = F.col("__before") * F.coalesce("profile", F.lit(1.0))
+    df = df.withColumn("x_std", F.when(scale > 0, F.coalesce(cut, F.col("r")) / F.when(scale > 0, scale)))
+    return df.drop(*[c for c in df.columns if c.startswith("__")])

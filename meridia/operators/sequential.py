@@ -7,6 +7,7 @@ key where a series may be long.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,33 +18,26 @@ from meridia.functions.compile import Panel
 
 def ewm_halflife(x: np.ndarray, halflife: float) -> np.ndarray:
     """y = a x + (1 - a) y', started at the first value; a null keeps the state."""
-    a, out, y = 1 - 0.5 ** (1 / halflife), np.empty(len(x)), np.nan
-    for i, v in enumerate(x):
-        if not np.isnan(v):
-            y = v if np.isnan(y) else a * v + (1 - a) * y
-        out[i] = y
-    return out
+    return pd.Series(x).ewm(halflife=halflife, adjust=False, ignore_na=True).mean().to_numpy()
 
 
 def ewm_adjusted(x: np.ndarray, alpha: float) -> np.ndarray:
     """Weighted mean of all values so far with weights (1 - alpha)^age; a null ages the others."""
-    out, top, bottom = np.empty(len(x)), 0.0, 0.0
-    for i, v in enumerate(x):
-        top, bottom = top * (1 - alpha), bottom * (1 - alpha)
-        if not np.isnan(v):
-            top, bottom = top + v, bottom + 1.0
-        out[i] = top / bottom if bottom else np.nan
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=True, ignore_na=False).mean().to_numpy()
 
 
 def ewm_varying(x: np.ndarray, halflife: np.ndarray) -> np.ndarray:
-    """As ``ewm_halflife`` with a half-life for each row."""
+    """As ``ewm_halflife`` with a half-life for each row; stretches of one half-life are averaged at once, each started at the
+    state of the one before."""
     out, y = np.empty(len(x)), np.nan
-    for i, (v, h) in enumerate(zip(x, halflife, strict=True)):
-        if not np.isnan(v):
-            a = 1 - 0.5 ** (1 / h) if h > 0 else 1.0
-            y = v if np.isnan(y) else a * v + (1 - a) * y
-        out[i] = y
+    cuts = np.concatenate([[0], np.flatnonzero(halflife[1:] != halflife[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, dtype=int)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = np.concatenate([[y], x[lo:hi]])
+        if halflife[lo] > 0:
+            done = ewm_halflife(part, float(halflife[lo]))
+        else:
+            done = pd.Series(part).ffill().to_numpy()
+        out[lo:hi], y = done[1:], done[-1]
     return out
 
 
@@ -92,10 +86,17 @@ def per_series(df: DataFrame, panel: Panel, inputs: list[str], outputs: dict[str
     return dealt.mapInArrow(run, schema)
 
 
+def exponentials(df: DataFrame, panel: Panel, wanted: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """Adds exponential averages, target: (source, kind, number), in one pass over the series; kind is halflife (unadjusted) or
+    adjusted (by its alpha)."""
+    sources = sorted({source for source, _, _ in wanted.values()})
+    jobs = [(sources.index(source), ewm_halflife if kind == "halflife" else ewm_adjusted, number) for source, kind, number in wanted.values()]
+    return per_series(df, panel, sources, {target: DoubleType() for target in wanted}, lambda *x: [f(x[i], number) for i, f, number in jobs])
+
+
 def exponential(df: DataFrame, source: str, target: str, panel: Panel, kind: str, number: float) -> DataFrame:
-    """Adds an exponential average: kind is halflife (unadjusted) or adjusted."""
-    f = ewm_halflife if kind == "halflife" else ewm_adjusted
-    return per_series(df, panel, [source], {target: DoubleType()}, lambda x: [f(x, number)])
+    """Adds one exponential average."""
+    return exponentials(df, panel, {target: (source, kind, number)})
 
 
 def positions(signal: np.ndarray, low: np.ndarray, high: np.ndarray, locked: np.ndarray, segment: np.ndarray, max_hold: int) -> np.ndarray:
@@ -105,19 +106,19 @@ def positions(signal: np.ndarray, low: np.ndarray, high: np.ndarray, locked: np.
     missing, to keep what is held. A locked bar can't trade. A segment starts flat. Once a position
     has been kept for ``max_hold`` bars, a decision to keep it becomes one to close it.
     """
-    wish = np.select([np.isnan(low) | np.isnan(high), signal > high, signal < low], [2, 1, -1], 2)
+    wish = np.select([np.isnan(low) | np.isnan(high), signal > high, signal < low], [2, 1, -1], 2).tolist()
     fresh = np.concatenate([[True], segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, dtype=bool)
-    held = np.zeros(len(signal), dtype=np.int32)
+    held: list[int] = []
     now = kept = following = 0
-    for t in range(len(signal)):
+    for new, shut, want in zip(fresh.tolist(), (locked > 0).tolist(), wish, strict=True):
         before = now
-        if fresh[t]:
+        if new:
             now = 0
-        elif not locked[t] > 0:
+        elif not shut:
             now = following
         kept = kept + 1 if now and now == before else 0
-        held[t] = now
-        following = now if wish[t] == 2 else int(wish[t])
+        held.append(now)
+        following = now if want == 2 else want
         if following == now and kept >= max_hold:
             following = 0
-    return held
+    return np.array(held, dtype=np.int32)

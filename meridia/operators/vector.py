@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.session import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,16 +26,18 @@ def search(store: DataFrame, query: list[float], k: int, least: float = -1.0, id
 
 def neighbours_within(nodes: DataFrame, edges: DataFrame, start: list, steps: int, label: str | None = None, block: bool = False) -> DataFrame:
     """(node, distance) of nodes that undirected edges (a, b) reach in at most ``steps`` steps. With a
-    label, only nodes of it are returned, and with ``block`` other nodes aren't passed through."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    label, only nodes of it are returned, and with ``block`` other nodes aren't passed through. Edges and each
+    step's new nodes are written, so a step reads tables and the plan doesn't grow."""
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     kinds = nodes.select(F.col("node"), F.col("label"))
-    seen = nodes.where(F.col("node").isin(start)).select("node", F.lit(0).alias("distance"))
+    front = written(nodes.where(F.col("node").isin(start)).select("node", F.lit(0).alias("distance")), "front")
+    seen = front
     for step in range(1, steps + 1):
-        front = seen.where(F.col("distance") == step - 1)
         if block and label is not None and step > 1:
             front = front.join(kinds.where(F.col("label") == label), "node", "left_semi")
         new = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.union(new.withColumn("distance", F.lit(step)))
+        front = written(new.withColumn("distance", F.lit(step)), "front")
+        seen = seen.union(front)
     return seen.join(kinds.where(F.col("label") == label), "node", "left_semi") if label is not None else seen
 
 

@@ -404,7 +404,17 @@ def metric_suite(spark, sf_dir):
     return m.select("product", "n", *[r5(F.col(c)).alias(c) for c in ("total", "sharpe", "sortino", "max_drawdown", "calmar", "hit_rate", "profit_factor")])
 
 
-@query("metric_psr")
+_PSR_SQL = f"""WITH {BARS_SQL}, d AS (SELECT product, day, sum(close - 50) / 100 AS r FROM bars GROUP BY ALL),
+s AS (SELECT product, count(*) AS n, avg(r) AS m, stddev_pop(r) AS sd, avg(r * r) AS e2, avg(r * r * r) AS e3, avg(r * r * r * r) AS e4 FROM d GROUP BY product),
+c AS (SELECT *, e2 - m * m AS m2, e3 - 3 * m * e2 + 2 * m * m * m AS m3, e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m AS m4 FROM s),
+x AS (SELECT product, n, {_RATIO.format(a='m', b='sd')} AS sr, {_RATIO.format(a='m3', b='pow(m2, 1.5)')} AS skew, {_RATIO.format(a='m4', b='m2 * m2')} - CASE WHEN m2 > 1e-12 THEN 3 ELSE 0 END AS ex FROM c),
+z AS (SELECT product, n, sr / sqrt(greatest(1 - skew * sr + (ex + 2) / 4 * sr * sr, 1e-12) / nullif(n - 1, 0)) AS z FROM x),
+t AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z),
+e AS (SELECT *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) AS erf FROM t)
+SELECT product, {sql5('CASE WHEN z >= 0 THEN 0.5 * (1 + erf) ELSE 0.5 * (1 - erf) END', 'psr')} FROM e"""
+
+
+@query("metric_psr", _PSR_SQL)
 def metric_psr(spark, sf_dir):
     d = bars(spark, sf_dir).groupBy("product", "day").agg((F.sum(F.col("close") - 50) / 100).alias("r"))
     m = stats.daily_metrics(d, "product", "day", "r")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import random
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from meridia.functions.expr import Space, parse_sexpr, point_mutate
 from meridia.operators import backtest, bars as B, stats, vector
 from meridia.operators.sequential import per_series
 from meridia.plans.base import BARS_SQL, bars, query, r5, sql5, table
+from meridia.session import scratch
 from meridia.streaming import bars as stream
 
 # --- lagged correlation ----------------------------------------------------------------------------
@@ -357,22 +357,13 @@ def _stream(spark, sf_dir):
 
 @query("stream_ohlcv", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS bar_start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def stream_ohlcv(spark, sf_dir):
-    bars_ = stream.ohlcv(_stream(spark, sf_dir), "1 day", "0 seconds")
-    out = stream.drain(bars_.select("user_id", F.col("bar_start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "n"), _scratch(spark))
-    return out.unionByName(_open_windows(spark, sf_dir, out))
-
-
-def _open_windows(spark, sf_dir, closed):
-    """Windows that the watermark hasn't closed when the input ends, from the same rule in batch."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    last = closed.agg(F.max("bar_start").alias("m"))
-    rest = e.crossJoin(F.broadcast(last)).where(F.col("m").isNull() | (F.to_date("ts") > F.to_date("m"))).drop("m")
-    return stream.ohlcv(rest, "1 day", "0 seconds").withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+    build = lambda e: stream.ohlcv(e, "1 day", "0 seconds").select("user_id", F.col("bar_start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "n")
+    return stream.drain_all(_stream(spark, sf_dir), build, scratch(spark, "stream"))
 
 
 @query("stream_unique", "SELECT event_id, user_id FROM events")
 def stream_unique(spark, sf_dir):
-    return stream.drain(stream.unique(_stream(spark, sf_dir), ["event_id"]).select("event_id", "user_id"), _scratch(spark))
+    return stream.drain(stream.unique(_stream(spark, sf_dir), ["event_id"]).select("event_id", "user_id"), scratch(spark, "stream"))
 
 
 @query("stream_sessions_batch", """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS brk FROM events), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
@@ -381,11 +372,3 @@ def stream_sessions_batch(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = stream.sessions(e)
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
-
-
-def _scratch(spark) -> str:
-    """A fresh folder in the cluster's shared scratch, or a temporary one without a cluster."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/meridia-stream-{uuid.uuid4().hex[:12]}"

@@ -61,7 +61,10 @@ class PriceStore:
         """(written, skipped)."""
         new = conform(rows, PRICES).dropDuplicates(["date", "symbol"])
         total = new.count()
-        fresh = new.join(self.read().select("date", "symbol"), ["date", "symbol"], "left_anti").withColumn("year", F.year("date"))
+        ends = new.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+        # partitions of other years aren't read; two writers at a time need a lock of their own
+        there = self.read(start=str(ends.lo), end=str(ends.hi)) if ends.lo else self.read()
+        fresh = new.join(there.select("date", "symbol"), ["date", "symbol"], "left_anti").withColumn("year", F.year("date"))
         observed = fresh.count()
         if observed:
             fresh.repartition("year").write.mode("append").option("compression", "zstd").partitionBy("year").parquet(self.root)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +29,21 @@ def unique(events: DataFrame, keys: list[str], late: str = "1 day", at: str = "t
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
+def drain_all(events: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """Runs ``build`` of the events, a stream, over all that is there, and then over one more row of the far future, without
+    a key: it moves the watermark past every open window, so the table holds the whole result."""
+    spark = events.sparkSession
+    flush = f"{folder}/flush"
+    empty = spark.createDataFrame([], events.schema)
+    empty.write.mode("overwrite").parquet(flush)
+    both = events.unionByName(spark.readStream.schema(events.schema).parquet(flush))
+    drain(build(both), folder)
+    kind = events.schema[at].dataType
+    last = [F.lit("9000-01-01 00:00:00").cast(kind).alias(c) if c == at else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns]
+    spark.range(1).select(*last).write.mode("append").parquet(flush)
+    return drain(build(both), folder).where(F.col(key).isNotNull())
+
+
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there into a Parquet table and returns it."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/table")
