@@ -12,4 +12,4 @@ ORACLES: dict[str, str] = {}
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from meridia.plans import formulas, relational, research  # noqa: F401
+    from meridia.plans import formulas, markets, relational, research  # noqa: F401

@@ -225,7 +225,17 @@ def state_positions(spark, sf_dir):
     return p.select("event_id", F.col("position").cast("bigint").alias("pos"))
 
 
-@query("state_backtest", None)
+_BACKTEST_SQL = f"""WITH RECURSIVE {BARS_SQL}, q AS (SELECT product, day, close, -close AS sig, close + 1 AS open, row_number() OVER w AS k, count(close) OVER b AS known, quantile_cont(-close, 0.1) OVER b AS lo, quantile_cont(-close, 0.9) OVER b AS hi
+  FROM bars WINDOW w AS (PARTITION BY product ORDER BY bob), b AS (PARTITION BY product ORDER BY bob ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN known < 10 THEN NULL WHEN sig > hi THEN 1 WHEN sig < lo THEN -1 END AS wish FROM q),
+r AS (SELECT product, k, day, 0 AS pos, 0 AS kept, coalesce(wish, 0) AS nxt FROM n WHERE k = 1
+ UNION ALL SELECT product, k, day, pos, kept, CASE WHEN want = pos AND kept >= 100 THEN 0 ELSE want END FROM (
+  SELECT *, coalesce(wish, pos) AS want FROM (SELECT *, CASE WHEN pos <> 0 AND pos = before THEN age + 1 ELSE 0 END AS kept FROM (
+   SELECT n.product, n.k, n.day, n.wish, r.pos AS before, r.kept AS age, CASE WHEN n.day <> r.day THEN 0 ELSE r.nxt END AS pos FROM r JOIN n ON n.product = r.product AND n.k = r.k + 1)))),
+m AS (SELECT n.product, n.day, r.pos, coalesce(CASE WHEN lead(n.day) OVER w = n.day THEN lead(n.open) OVER w / n.open - 1 END, 0) AS move, abs(r.pos - coalesce(lag(r.pos) OVER w, 0)) AS turn, n.open FROM r JOIN n USING (product, k) WINDOW w AS (PARTITION BY n.product ORDER BY n.k))"""
+
+
+@query("state_backtest", f"{_BACKTEST_SQL} SELECT product, day, {sql5('sum(pos * move - turn * (0.0001 + 0.01 / open))', 'net')}, CAST(sum(turn) AS BIGINT) AS turnover, {sql5('avg(CASE WHEN pos <> 0 THEN 1.0 ELSE 0.0 END)', 'time_in')} FROM m GROUP BY product, day")
 def state_backtest(spark, sf_dir):
     """Quantile bands, positions, costs and daily profit of a mean-reversion signal."""
     b = bars(spark, sf_dir).withColumn("signal", -F.col("close")).withColumn("open", F.col("close") + 1)
