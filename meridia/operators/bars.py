@@ -95,17 +95,19 @@ def merge_runs(values: list[str], shortest: int) -> list[tuple[int, int, str]]:
 
 
 def session_runs(days: DataFrame, shortest: int = 5) -> DataFrame:
-    """(product, date_start, date_end, template) of rows (product, trading_date, template): the daily
-    templates of one product, a few thousand rows, in one pass each."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("trading_date")
-        dates = table["trading_date"].to_pylist()
-        runs = merge_runs(table["template"].to_pylist(), shortest)
-        return pa.table({"product": pa.array([key[0].as_py()] * len(runs)).cast(table["product"].type), "date_start": pa.array([dates[a] for a, _, _ in runs], pa.date32()), "date_end": pa.array([dates[b] for _, b, _ in runs], pa.date32()), "template": pa.array([v for _, _, v in runs], pa.string())})
-
-    kind = days.schema["product"].dataType.simpleString()
-    return days.select("product", "trading_date", "template").groupBy("product").applyInArrow(run, f"product {kind}, date_start date, date_end date, template string")
+    """(product, date_start, date_end, template) of rows (product, trading_date, template): runs of equal templates, where a run
+    of fewer than ``shortest`` days joins the one before it, and neighbours that are equal afterwards join (see ``merge_runs``).
+    A short run never changes what holds, so a new one starts with each long run that differs from the last long one."""
+    w = Window.partitionBy("product").orderBy("trading_date")
+    change = F.coalesce(F.lag("template").over(w) != F.col("template"), F.lit(True))
+    runs = islands(days.select("product", "trading_date", "template").withColumn("__c", change), ["product"], "trading_date", F.col("__c"), "__run")
+    runs = runs.groupBy("product", "__run").agg(F.min("trading_date").alias("lo"), F.max("trading_date").alias("hi"), F.count("*").alias("n"), F.first("template").alias("v"))
+    of = Window.partitionBy("product").orderBy("__run")
+    holds = (F.col("n") >= shortest) | (F.col("__run") == 1)
+    held = F.last(F.when(holds, F.col("v")), ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("__new", holds & F.coalesce(held != F.col("v"), F.lit(True)))
+    spans = islands(runs, ["product"], "__run", F.col("__new"), "__span")
+    return spans.groupBy("product", "__span").agg(F.min("lo").alias("date_start"), F.max("hi").alias("date_end"), F.min_by("v", "__run").alias("template")).drop("__span")
 
 
 def day_template(bars: DataFrame) -> DataFrame:

@@ -203,7 +203,36 @@ def feat_ewma(spark, sf_dir):
     return exponential(bars(spark, sf_dir), "volume", "y", _P, "halflife", 60).select("event_id", r5(F.col("y")).alias("y"))
 
 
-@query("feat_panel")
+_FEATURES_SQL = f"""WITH RECURSIVE {BARS_SQL}, b AS (SELECT event_id, product, day, close, volume, month(day) AS seg, hour(bob) AS slot, row_number() OVER (PARTITION BY product ORDER BY bob) AS k, count(*) OVER (PARTITION BY product, day) AS bpd FROM bars WHERE close > 0),
+rr AS (SELECT *, CASE WHEN lag(seg) OVER w = seg THEN ln(close) - ln(lag(close) OVER w) END AS r FROM b WINDOW w AS (PARTITION BY product ORDER BY k)),
+e AS (SELECT product, k, r * r AS y, volume AS s, volume AS l FROM rr WHERE k = 1
+ UNION ALL SELECT n.product, n.k, CASE WHEN n.r IS NULL THEN e.y WHEN e.y IS NULL THEN n.r * n.r ELSE (1 - pow(0.5, 1.0 / n.bpd)) * n.r * n.r + pow(0.5, 1.0 / n.bpd) * e.y END,
+  (1 - pow(0.5, 1.0 / 60)) * n.volume + pow(0.5, 1.0 / 60) * e.s, (1 - pow(0.5, 1.0 / 1200)) * n.volume + pow(0.5, 1.0 / 1200) * e.l FROM e JOIN rr n ON n.product = e.product AND n.k = e.k + 1),
+d AS (SELECT product, day, sum(r) AS s1, sum(r * r) AS s2, count(r) AS n FROM rr GROUP BY ALL),
+sg AS (SELECT product, day, CASE WHEN sum(n) OVER w >= 100 THEN sqrt(greatest(0, sum(s2) OVER w / sum(n) OVER w - pow(sum(s1) OVER w / sum(n) OVER w, 2))) END AS sigma FROM d WINDOW w AS (PARTITION BY product ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+sl AS (SELECT product, day, slot, avg(abs(r)) AS a, dense_rank() OVER (PARTITION BY product ORDER BY day) AS dk FROM rr GROUP BY product, day, slot),
+md AS (SELECT *, CASE WHEN count(a) OVER w >= 5 THEN quantile_cont(a, 0.5) OVER w END AS m FROM sl WINDOW w AS (PARTITION BY product, slot ORDER BY dk RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+pf AS (SELECT product, day, slot, CASE WHEN m IS NOT NULL AND avg(m) OVER v > 0 THEN greatest(0.25, m / avg(m) OVER v) END AS profile FROM md WINDOW v AS (PARTITION BY product, day)),
+j AS (SELECT rr.*, sqrt(e.y) AS ewma, e.s, e.l, sigma, profile, lag(sqrt(e.y)) OVER (PARTITION BY rr.product ORDER BY rr.k) AS before FROM rr JOIN e USING (product, k) LEFT JOIN sg USING (product, day) LEFT JOIN pf USING (product, day, slot))"""
+
+
+def _rolled(n, test, value):
+    return f"CASE WHEN {test} THEN {value} END".replace("$w", f"OVER (PARTITION BY j.product ORDER BY j.k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)")
+
+
+_FEATURES = {
+    "x_std": "CASE WHEN before * coalesce(profile, 1) > 0 AND r IS NOT NULL THEN CASE WHEN sigma IS NULL THEN r ELSE greatest(-5 * sigma, least(5 * sigma, r)) END / (before * coalesce(profile, 1)) END",
+    "vol_ewma": "ewma",
+    **{f"ret_{n}m": _rolled(n, f"count(r) $w = {n}", "sum(r) $w") for n in (5, 15, 60)},
+    "ret_1d": "(SELECT CASE WHEN count(m.r) = j.bpd THEN sum(m.r) END FROM rr m WHERE m.product = j.product AND m.k > j.k - j.bpd AND m.k <= j.k)",
+    "oi_chg_1d": "(SELECT CASE WHEN m.seg = j.seg AND m.volume > 0 THEN j.volume / m.volume - 1 END FROM rr m WHERE m.product = j.product AND m.k = j.k - j.bpd)",
+    **{f"z_{n}": _rolled(n, f"count(close) $w = {n} AND stddev_pop(close) $w > 0", "(close - avg(close) $w) / stddev_pop(close) $w") for n in (60, 240, 1200)},
+    "vol_ratio": "CASE WHEN l > 0 THEN s / l END",
+    **{f"range_{n}": _rolled(n, f"count(close) $w = {n}", "(max(close) $w - min(close) $w) / close") for n in (1, 15, 60)},
+}
+
+
+@query("feat_panel", f"{_FEATURES_SQL} SELECT event_id, {', '.join(sql5(v, k) for k, v in _FEATURES.items())} FROM j")
 def feat_panel(spark, sf_dir):
     """All fourteen features of the bars."""
     b = bars(spark, sf_dir).where("close > 0").withColumn("segment", F.month("day")).withColumn("slot", F.hour("bob")).withColumn("template", F.lit(0))
@@ -277,7 +306,15 @@ def state_dominant_contract(spark, sf_dir):
     return spans.select("product", F.col("segment").cast("bigint").alias("segment"), "contract", "date_start", "date_end", r5(F.col("adj_factor")).alias("adj_factor"), "rolled")
 
 
-@query("state_sessions", None)
+_SESSIONS_SQL = f"""WITH {BARS_SQL}, m AS (SELECT DISTINCT product % 5 AS product, day, (hour(bob) * 60 - 1230 + 1440) % 1440 AS rel FROM bars), g AS (SELECT *, CASE WHEN rel - lag(rel) OVER w <= 15 THEN 0 ELSE 1 END AS brk FROM m WINDOW w AS (PARTITION BY product, day ORDER BY rel)),
+bl AS (SELECT *, sum(brk) OVER (PARTITION BY product, day ORDER BY rel) AS block FROM g), e AS (SELECT product, day, block, min(rel) AS lo, max(rel) + 1 AS hi FROM bl GROUP BY ALL), t AS (SELECT product, day, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS v FROM e GROUP BY ALL),
+c AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY product ORDER BY day) = v THEN 0 ELSE 1 END AS ch FROM t), r AS (SELECT *, sum(ch) OVER (PARTITION BY product ORDER BY day) AS run FROM c), u AS (SELECT product, run, min(day) AS lo, max(day) AS hi, count(*) AS n, any_value(v) AS v FROM r GROUP BY ALL),
+h AS (SELECT *, last_value(CASE WHEN n >= 2 OR run = 1 THEN v END IGNORE NULLS) OVER (PARTITION BY product ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM u),
+s AS (SELECT *, sum(CASE WHEN (n >= 2 OR run = 1) AND held IS DISTINCT FROM v THEN 1 ELSE 0 END) OVER (PARTITION BY product ORDER BY run) AS span FROM h)
+SELECT product, min(lo) AS date_start, max(hi) AS date_end, arg_min(v, run) AS template FROM s GROUP BY product, span"""
+
+
+@query("state_sessions", _SESSIONS_SQL)
 def state_sessions(spark, sf_dir):
     b = bars(spark, sf_dir).select((F.col("product") % 5).alias("product"), F.col("day").alias("trading_date"), F.col("bob").alias("wall"))
     days = B.day_template(b.withColumn("wall", F.date_trunc("hour", "wall").cast("timestamp_ntz")))
