@@ -72,6 +72,33 @@ def optimise_weights(mutual: np.ndarray, ic: np.ndarray, l1: float = 0.005, step
     return w
 
 
+def least_squares_weights(mutual: np.ndarray, ic: np.ndarray) -> np.ndarray:
+    """Weights of least squares, of least size where several fit."""
+    return np.linalg.lstsq(mutual, ic, rcond=None)[0]
+
+
+def steady_weights(mutual: np.ndarray, daily: np.ndarray, objective: str = "icir", beta: float = 1.0, l1: float = 0.005, steps: int = 400, rate: float = 0.02) -> np.ndarray:
+    """Weights that raise the pool's daily correlations (days, alphas) with the target together: mean over deviation ("icir"), or the
+    mean less ``beta`` deviations ("lcb"), less l1 |w|; by Adam from the mean correlations. The pool is scaled by w'Mw."""
+    w = daily.mean(axis=0) + 1e-6
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    best, top = w.copy(), -np.inf
+
+    def value(v: np.ndarray) -> float:
+        pool = daily @ v / np.sqrt(max(float(v @ mutual @ v), 1e-12))
+        spread = pool.std() + 1e-9
+        return float(pool.mean() / spread if objective == "icir" else pool.mean() - beta * spread)
+
+    for step in range(1, steps + 1):
+        here = value(w)
+        if here > top:
+            best, top = w.copy(), here
+        slope = np.array([(value(w + e) - value(w - e)) / 2e-5 for e in np.eye(len(w)) * 1e-5]) - l1 * np.sign(w)
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
+        w = w + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+    return best if value(w) < top else w
+
+
 class AlphaPool:
     """A bounded pool: a new alpha too close to a member is refused; beyond the capacity the one of
     least weight goes."""

@@ -244,6 +244,11 @@ def daily_metrics(df: DataFrame, key: str, day: str, pnl: str, periods: float =
     )
 
 
+def portfolio(df: DataFrame, key: str, day: str, pnl: str) -> DataFrame:
+    """(day, pnl): the mean of the keys' results of each day, those that are null left out."""
+    return df.groupBy(day).agg(F.avg(pnl).alias(pnl)).where(F.col(pnl).isNotNull())
+
+
 def probabilistic_sharpe(sr: Column, n: Column, skew: Column, excess: Column, benchmark: float = 0.0) -> Column:
     """Chance that the true ratio exceeds the benchmark, of a per-period ratio sr over n periods."""
     from meridia.functions.kernels import normal_cdf

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meridia.functions import kernels as K
 from meridia.functions.compile import compile_formulas
 from meridia.functions.expr import lift_parameters, parse_infix, parse_sexpr
-from meridia.operators import bars as B, calendar, program, search, stats
+from meridia.operators import bars as B, calendar, panel, program, search, stats
 from meridia.plans.base import BARS_SQL, MONTHS, MONTHS_SQL, SERIES, bars, months, query, r5, sql5, table
 from meridia.plans.research import _DOMINANT_SQL, _contract_days
 from meridia.session import scratch
@@ -144,6 +144,43 @@ def pool_alpha(spark, sf_dir):
     return search.combine(bars(spark, sf_dir), pool, K.MINING, SERIES).select("event_id", r5(F.col("alpha")).alias("alpha"))
 
 
+@query("panel_slice", f"WITH {MONTHS_SQL}, m AS (SELECT date, instrument, CASE WHEN instrument = 3 AND date < DATE '1998-01-01' THEN NULL ELSE close END AS close FROM months), d AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM m)), x AS (SELECT min(i) AS lo, max(i) AS hi FROM d WHERE date BETWEEN DATE '1996-03-15' AND DATE '1996-09-20'), k AS (SELECT m.* FROM m JOIN d USING (date), x WHERE i BETWEEN lo - 4 AND hi + 2) SELECT date, instrument, {sql5('close', 'close')} FROM k WHERE instrument IN (SELECT instrument FROM k WHERE close IS NOT NULL)")
+def panel_slice(spark, sf_dir):
+    """Half a year of months with margins, instruments without a price left out."""
+    m = months(spark, sf_dir)
+    price = F.when((F.col("instrument") == 3) & (F.col("date") < F.lit("1998-01-01").cast("date")), None).otherwise(F.col("close"))
+    m = m.select("date", "instrument", price.alias("close"))
+    out = panel.panel_slice(m, datetime.date(1996, 3, 15), datetime.date(1996, 9, 20), 4, 2)
+    return out.select("date", "instrument", r5(F.col("close")).alias("close"))
+
+
+@query("panel_warm_up", f"WITH {BARS_SQL}, r AS (SELECT event_id, product, day, day < DATE '2024-01-16' AS warm, dense_rank() OVER (PARTITION BY product, day < DATE '2024-01-16' ORDER BY day DESC) AS r FROM bars) SELECT event_id, product, day, warm FROM r WHERE NOT warm OR r <= 5")
+def panel_warm_up(spark, sf_dir):
+    """The second half of the month with the last five days of each product before it."""
+    return panel.with_warm_up(bars(spark, sf_dir).select("event_id", "product", "day"), datetime.date(2024, 1, 16), ["product"], "day", 5)
+
+
+@query("topk_tail", f"WITH {BARS_SQL} SELECT product, event_id, close FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY bob DESC, event_id DESC) AS r FROM bars) WHERE r <= 3")
+def topk_tail(spark, sf_dir):
+    return panel.tail(bars(spark, sf_dir), ["product"], [F.desc("bob"), F.desc("event_id")], 3).select("product", "event_id", "close")
+
+
+@query("agg_row_pattern", f"WITH {BARS_SQL}, e AS (SELECT product, day, list_sort(list(DISTINCT event_type)) AS pattern FROM bars GROUP BY ALL), c AS (SELECT product, pattern, count(*) AS n FROM e GROUP BY ALL) SELECT product, array_to_string(pattern, '|') AS pattern, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY n DESC, pattern) AS r FROM c) WHERE r = 1")
+def agg_row_pattern(spark, sf_dir):
+    """The set of event types that most days of a product have."""
+    p = panel.commonest_pattern(bars(spark, sf_dir), ["product"], ["day"], "event_type")
+    return p.select("product", F.array_join("pattern", "|").alias("pattern"), "n")
+
+
+@query("metric_portfolio", f"""WITH {BARS_SQL}, d AS (SELECT product, day, sum(close - 50) / 100 AS r FROM bars GROUP BY ALL), p AS (SELECT day, avg(r) AS r FROM d GROUP BY day), c AS (SELECT *, sum(r) OVER (ORDER BY day) AS cum FROM p), q AS (SELECT *, greatest(0, max(cum) OVER (ORDER BY day)) AS peak FROM c)
+SELECT CAST(count(*) AS BIGINT) AS n, {sql5('sum(r)', 'total')}, {sql5('coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) * sqrt(252)', 'sharpe')}, {sql5('max(peak - cum)', 'max_drawdown')} FROM q""")
+def metric_portfolio(spark, sf_dir):
+    """Measures of the evenly weighted portfolio of all products."""
+    d = bars(spark, sf_dir).groupBy("product", "day").agg((F.sum(F.col("close") - 50) / 100).alias("r"))
+    m = stats.daily_metrics(stats.portfolio(d, "product", "day", "r").withColumn("all", F.lit(1)), "all", "day", "r")
+    return m.select("n", *[r5(F.col(c)).alias(c) for c in ("total", "sharpe", "max_drawdown")])
+
+
 _PROGRAMS = {"(add x y)": "x + y", "(mul x (sub y x))": "x * (y - x)", "(sqrt (abs (sub x y)))": "sqrt(abs(abs(x - y)))", "(div x (add y 1))": "CASE WHEN abs(y + 1) > 0.001 THEN x / (y + 1) ELSE 1 END"}
 
 

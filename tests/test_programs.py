@@ -179,3 +179,16 @@ def test_command_line(spark, tmp_path, sf):
     facts = cli.run(args("validate", "--panel", tmp_path / "panel", "--windows", tmp_path / "w", "--priors", tmp_path / "pr", "--out", tmp_path / "v", "--lags", "1,2", "--draws", 20, "--min-shift", 2, "--manifests", tmp_path / "m"), spark)
     assert facts["pairs"] == 6 and 0 <= facts["validated"] <= 6 and (tmp_path / "m" / "latest.json").exists()
     assert cli.run(args("scan", "--panel", tmp_path / "panel", "--out", tmp_path / "s", "--lags", "1"), spark)["pairs"] == 6
+
+
+def test_weights_of_pools():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 3)) * [0.02, 0.02, 0.2] + [0.05, 0.03, 0.05]
+    mutual = np.eye(3)
+    assert np.allclose(search.least_squares_weights(mutual, np.array([0.1, 0.2, 0.0])), [0.1, 0.2, 0.0])
+    flat = base.mean(axis=0)
+    score = lambda w: (base @ w).mean() / (base @ w).std()
+    w = search.steady_weights(mutual, base)
+    assert score(w) > score(flat) and abs(w[2]) < abs(w[0])
+    low = lambda w: ((p := base @ w / np.sqrt(w @ w)).mean() - p.std())
+    assert low(search.steady_weights(mutual, base, "lcb")) > low(flat)
