@@ -4,14 +4,12 @@ The encoder reads a pre-token byte by byte. The BPE encoding of a text has exact
 token for each prefix, and a sequence of tokens is an encoding if and only if every two
 neighbours encode to themselves when joined. So the last token of a prefix follows from (a) the
 longest suffix that some longer token starts with and (b) the last token of each prefix that ends
-inside that suffix where a longer token can still start. These make a state. A transition on a byte
-gives the next state and the new prefix's last token. States and transitions are made when first
-needed and then kept, so the merge table is compiled only as far as the data ask for.
-
-A token is final once the analyses of all prefixes that a later token may start after agree on
-it: ``stream`` gives it out then, after a lookahead of less than the longest token behind the
-point where they agree. A pre-token that is a token as a whole is that token, as ranked encoders
-have it.
+inside that suffix where a longer token can still start. These make a state, together with (c) the tokens
+that lead to each of these prefixes and aren't final yet. A token is final once all of these ways begin with it:
+a transition on a byte gives the next state and the tokens that it makes final, so tokens come after a lookahead of
+less than the longest token. States and transitions are made when first
+needed and then kept, so the merge table is compiled only as far as the data ask for. A pre-token that is a
+token as a whole is that token, as ranked encoders have it.
 
 Decoding is a machine of the same kind: its states are the bytes of a character that is still open, and a
 transition on a token, made by the incremental UTF-8 machine when first needed, gives the text that the token completes.
@@ -21,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.tokens import chunks, pieces_of_batch
+from meridia.llm.tokens import MARKS, assemble, chunks, gather, pieces_of_batch
 from meridia.llm.workspace import ship, tidy
 
-#: Distinct pre-tokens, and transitions, that a Python worker remembers; beyond that the memory starts afresh.
-MEMORY = 500_000
+#: Distinct pre-tokens of a generation that a Python worker remembers; two generations are kept, so what is asked again stays.
+MEMORY = 200_000
+#: Transitions beyond which the machine starts afresh.
 TRANSITIONS = 700_000
 _LOADED: dict[tuple[str, str], "BpeTransducer"] = {}
 
@@ -45,18 +45,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class State(dict):
-    """Byte -> (next state, last token's id), filled when first asked. ``tail`` is the longest suffix that
+    """Byte -> (next state, ids that are final), filled when first asked. ``tail`` is the longest suffix that
     starts a longer token; ``lasts`` are the last tokens of the prefixes that end at its places, from
-    before its first byte to its end: empty at the start of the text, None where no token starts."""
+    before its first byte to its end: empty at the start of the text, None where no token starts. ``ways`` are the ids behind the
+    final ones up to each of these prefixes; the last of them ends the text, if it ends here."""
 
-    __slots__ = ("lasts", "machine", "open", "tail")
+    __slots__ = ("lasts", "machine", "tail", "ways")
 
-    def __init__(self, machine: BpeTransducer, tail: bytes, lasts: tuple[bytes | None, ...]):
-        self.machine, self.tail, self.lasts = machine, tail, lasts
-        # how far back from the end a later token may start
-        self.open = tuple({len(tail) - k for k, t in enumerate(lasts) if t is not None} | {0})
+    def __init__(self, machine: BpeTransducer, tail: bytes, lasts: tuple[bytes | None, ...], ways: tuple[tuple[int, ...] | None, ...]):
+        self.machine, self.tail, self.lasts, self.ways = machine, tail, lasts, ways
 
-    def __missing__(self, byte: int) -> tuple[State, int]:
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
         self.machine.made += 1
         step = self[byte] = self.machine._advance(self, bytes((byte,)))
         return step
@@ -70,16 +69,17 @@ class BpeTransducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.starts = {t[:i] for t in ranks for i in range(len(t))}
-        self.length = {v: len(k) for k, v in ranks.items()}
         self._merged: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
-        self.pieces: dict[str, list[int]] = {}
+        # ids as packed uint32: a quarter of the memory of lists
+        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _reset(self) -> None:
-        self.states: dict[tuple[bytes, tuple[bytes | None, ...]], State] = {}
+        self.states: dict[tuple, State] = {}
         self.made = 0
-        self.start = self._state(b"", (b"",))
+        self.start = self._state(b"", (b"",), ((),))
 
     @classmethod
     def of(cls, path: str, pattern: str) -> BpeTransducer:
@@ -87,10 +87,10 @@ class BpeTransducer:
             _LOADED[path, pattern] = cls(load_ranks(path), pattern)
         return _LOADED[path, pattern]
 
-    def _state(self, tail: bytes, lasts: tuple[bytes | None, ...]) -> State:
-        state = self.states.get((tail, lasts))
+    def _state(self, *key) -> State:
+        state = self.states.get(key)
         if state is None:
-            state = self.states[tail, lasts] = State(self, tail, lasts)
+            state = self.states[key] = State(self, *key)
         return state
 
     def _merge(self, text: bytes) -> list[bytes]:
@@ -150,7 +150,7 @@ class BpeTransducer:
             else:
                 until, right = b + 0.5, self._parts(right)[0]
 
-    def _advance(self, state: State, byte: bytes) -> tuple[State, int]:
+    def _advance(self, state: State, byte: bytes) -> tuple[State, tuple[int, ...]]:
         text, lasts = state.tail + byte, state.lasts
         n = len(text)
         for at in range(n - 1, -1, -1):
@@ -163,68 +163,65 @@ class BpeTransducer:
         cut = 0
         while text[cut:] not in self.starts:
             cut += 1
-        kept = [lasts[at] if text[at:] in self.starts else None for at in range(cut, n)]
-        return self._state(text[cut:], (*kept, token)), self.ranks[token]
+        places = [k if text[k:] in self.starts and lasts[k] is not None else None for k in range(cut, n)]
+        ways = [None if k is None else state.ways[k] for k in places] + [state.ways[at] + (self.ranks[token],)]
+        there = [w for w in ways if w is not None]
+        final = 0
+        while len(first := {w[final : final + 1] for w in there}) == 1 and () not in first:
+            final += 1
+        ways = tuple(None if w is None else w[final:] for w in ways)
+        kept = [None if k is None else lasts[k] for k in places]
+        return self._state(text[cut:], (*kept, token), ways), there[0][:final]
 
     def transduce(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ids = list(self.stream(piece))
+        state, out = self.start, []
+        for b in piece:
+            state, ids = state[b]
+            if ids:
+                out += ids
+        out += state.ways[-1]
         if self.made > TRANSITIONS:
             self._reset()
-        return ids
+        return out
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
         """Ids of one pre-token's bytes as they come, each as soon as it is final; a pre-token that is a
         token as a whole isn't known as such before its end, and comes as its merges give it."""
-        state, last, settled, length = self.start, [], 0, self.length
+        state = self.start
         for b in piece:
-            state, token = state[b]
-            last.append(token)
-            n = len(last)
-            if len(state.open) == 1:
-                agreed = n
-            else:
-                ends = {n - k for k in state.open}
-                while len(ends) > 1:
-                    far = max(ends)
-                    ends.remove(far)
-                    ends.add(max(settled, far - length[last[far - 1]]))
-                (agreed,) = ends
-            if agreed > settled:
-                yield from self._path(last, settled, agreed)
-                settled = agreed
-        yield from self._path(last, settled, len(last))
-
-    def _path(self, last: list[int], start: int, end: int) -> list[int]:
-        out = []
-        while end > start:
-            out.append(last[end - 1])
-            end -= self.length[last[end - 1]]
-        return out[::-1]
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            ids = self.pieces[piece] = self.transduce(piece.encode())
-        return ids
+            state, ids = state[b]
+            yield from ids
+        yield from state.ways[-1]
+
+    def packed(self, pieces: Iterable[str]) -> list[bytes]:
+        """Ids of pre-tokens, each packed as uint32."""
+        if len(self.pieces) > MEMORY:
+            self.pieces, self.before = {}, self.pieces
+        known, before, out = self.pieces, self.before, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = before.get(piece)
+                if ids is None:
+                    ids = array("I", self.transduce(piece.encode())).tobytes()
+                known[piece] = ids
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return [i for p in self.pattern.findall(text) for i in self._piece(p)]
+        return array("I", b"".join(self.packed(self.pattern.findall(text)))).tolist()
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a short text. Letters with at most a space before and plain marks behind are two
+    def encode_chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, each with a space before it, flat, and their bounds. Letters with plain marks behind are two
         pre-tokens at sight; all else goes through the pattern."""
-        word = chunk.rstrip(".,;:!?|")
-        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and max(word) < "ɐ":
-            ids = self._piece(word)
-            return ids + self._piece(chunk[len(word) :]) if len(word) < len(chunk) else ids
-        return self.encode(chunk)
+        whole = lambda chunks: [b"".join(self.packed(self.pattern.findall(" " + c))) for c in chunks]
+        spelt = lambda heads: self.packed([" " + h if h[0] not in MARKS else h for h in heads])
+        return assemble(words, spelt, whole, False)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -314,6 +311,7 @@ class TokenDecoder:
         self.bytes_of = bytes_of
         self.states: dict[tuple[bytes, bool], Open] = {}
         self.start = self.state(b"", False)
+        self.digits = {i: str(i) for i in bytes_of}
 
     def state(self, held: bytes, broken: bool) -> Open:
         # an open character has three bytes at most, so the states are few
@@ -324,7 +322,12 @@ class TokenDecoder:
 
     def decode(self, ids: Iterable[int]) -> tuple[str, bool]:
         """The text, and whether all bytes made characters."""
-        state, out = self.start, []
+        start = self.start
+        steps = [start[i] for i in ids]
+        if all([s is start for _, s in steps]):
+            # every token ends where it began, between characters
+            return "".join([t for t, _ in steps]), True
+        state, out = start, []
         for i in ids:
             text, state = state[i]
             out.append(text)
@@ -339,27 +342,23 @@ def encode_batch(machine: BpeTransducer, texts: pa.Array) -> Iterator[list[int]]
     texts = pc.fill_null(texts, "")
     spelt, codes, first = chunks(texts)
     words = spelt.to_pylist()
-    open_end = np.array([not w or w[-1].isspace() for w in words], dtype=bool)
-    heads: dict[int, list[int]] = {}
-    bodies = [None] * len(words)
-    for i in range(len(first) - 1):
-        lo, hi = first[i], first[i + 1]
-        if hi - lo > 1 and open_end[codes[lo : hi - 1]].any():
+    open_end = np.fromiter((not w or w[-1].isspace() for w in words), dtype=np.int64, count=len(words))
+    upto = np.concatenate([[0], np.cumsum(open_end[codes])])
+    last = np.maximum(first[1:] - 1, first[:-1])
+    whole = upto[last] > upto[first[:-1]]
+    # chunks behind a space, of the texts that are cut
+    inner = np.repeat(~whole, np.diff(first))
+    inner[first[:-1][first[:-1] < first[1:]]] = False
+    used, where = np.unique(codes[inner], return_inverse=True)
+    flat, bounds = machine.encode_chunks(spelt.take(pa.array(used)))
+    ids, ends = gather(flat, bounds, where)
+    stop = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(inner)])[first]]
+    for i, (lo, hi) in enumerate(zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)):
+        if whole[i]:
             yield machine.encode(texts[i].as_py())
-            continue
-        out: list[int] = []
-        own = codes[lo:hi].tolist()
-        if own:
-            c = own[0]
-            if c not in heads:
-                heads[c] = machine.encode_chunk(words[c]) if words[c] else []
-            out += heads[c]
-        for c in own[1:]:
-            ids = bodies[c]
-            if ids is None:
-                ids = bodies[c] = machine.encode_chunk(" " + words[c])
-            out += ids
-        yield out
+        else:
+            head = words[codes[first[i]]] if first[i + 1] > first[i] else ""
+            yield (machine.encode(head) if head else []) + ids[lo:hi].tolist()
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,17 +369,17 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = BpeTransducer.of(ranks_path, pattern)
         decoder = TokenDecoder(machine.bytes_of)
-        digits = {v: str(v) for v in machine.bytes_of}
+        digit = decoder.digits.__getitem__
         for whole in batches:
-            for batch in pieces_of_batch(whole, "text"):
+            for batch in pieces_of_batch(whole, "text", 4 << 20):
                 counts, ids_sha, decoded_sha, valid = [], [], [], []
                 for ids in encode_batch(machine, batch.column("text")):
                     counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    text, whole_text = decoder.decode(ids)
+                    ids_sha.append(hashlib.sha256(",".join(map(digit, ids)).encode()).hexdigest())
+                    text, fits = decoder.decode(ids)
                     # text that isn't whole can't give its bytes back
-                    decoded_sha.append(hashlib.sha256(text.encode() if whole_text else machine.decode(ids)).hexdigest())
-                    valid.append(whole_text)
+                    decoded_sha.append(hashlib.sha256(text.encode() if fits else machine.decode(ids)).hexdigest())
+                    valid.append(fits)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(valid, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

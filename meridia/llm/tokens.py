@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Spellings that a Python worker remembers; beyond it the memory starts afresh.
-MEMORY = 300_000
+#: Spellings of a generation that a Python worker remembers; two generations are kept, so what is asked again stays.
+MEMORY = 150_000
 MARKS = ".,;:!?|%*#$&"
 #: Letters whose lower case is one letter and whose composed form is their own.
 _PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?|%*#$&]*$"
@@ -49,6 +49,32 @@ def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[n
     return values[at], ends
 
 
+def assemble(words: pa.Array, word_ids: Callable[[list[str]], list[bytes]], whole_ids: Callable[[list[str]], list[bytes]], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct chunks, flat, and each one's bounds in them. A chunk of letters with marks behind is two runs, the ids of its
+    letters (in lower case with ``fold``) and of its marks, as ``word_ids`` gives them for distinct spellings, packed as uint32;
+    others are one run, as ``whole_ids`` gives it."""
+    plain = pc.match_substring_regex(words, _PLAIN)
+    full = words.filter(plain)
+    head = pc.utf8_rtrim(full, characters=MARKS)
+    coded = (pc.utf8_lower(head) if fold else head).dictionary_encode()
+    behind = pc.subtract(pc.binary_length(full), pc.binary_length(head)).to_numpy()
+    marked = np.flatnonzero(behind)
+    tails = [w[-k:] for w, k in zip(full.take(pa.array(marked)).to_pylist(), behind[marked].tolist(), strict=True)]
+    kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+    heads, other = coded.dictionary.to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+    each = [*word_ids(heads), *word_ids(list(kinds)), *whole_ids(other), b""]
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4)])
+    pool = np.frombuffer(b"".join(each), dtype=np.uint32)
+    runs = np.full((len(words), 2), len(each) - 1, dtype=np.int64)
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(is_plain)
+    runs[at, 0] = coded.indices.to_numpy(zero_copy_only=False)
+    runs[at[marked], 1] = len(heads) + np.fromiter((kinds[t] for t in tails), dtype=np.int64, count=len(tails))
+    runs[~is_plain, 0] = len(heads) + len(kinds) + np.arange(len(other))
+    ids, ends = gather(pool, bounds, runs.ravel())
+    return ids, np.concatenate([[0], ends[1::2]])
+
+
 class WordEncoder:
     """Encodes batches with one tokenizer file, as the library does by itself: a special token's string in a
     text is that token."""
@@ -62,6 +88,7 @@ class WordEncoder:
         self.letters = byte_letters()
         # ids as packed uint32: a quarter of the memory of lists
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @property
     def largest_id(self) -> int:
@@ -83,41 +110,24 @@ class WordEncoder:
 
     def _each(self, spellings: list[str], make: Callable[[str], bytes], mark: str = "") -> list[bytes]:
         """Ids of distinct spellings, remembered under a mark of their kind."""
-        known, out = self.known, []
+        known, before, out = self.known, self.before, []
         for s in spellings:
-            ids = known.get(mark + s)
+            key = mark + s
+            ids = known.get(key)
             if ids is None:
-                ids = known[mark + s] = make(s)
+                ids = before.get(key)
+                if ids is None:
+                    ids = make(s)
+                known[key] = ids
             out.append(ids)
         return out
 
     def _of_chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, flat, and each one's bounds in them."""
         if len(self.known) > MEMORY:
-            self.known.clear()
-        plain = pc.match_substring_regex(words, _PLAIN)
-        full = words.filter(plain)
-        head = pc.utf8_rtrim(full, characters=MARKS)
-        coded = pc.utf8_lower(head).dictionary_encode()
-        behind = pc.subtract(pc.binary_length(full), pc.binary_length(head)).to_numpy()
-        marked = np.flatnonzero(behind)
-        tails = [w[-k:] for w, k in zip(full.take(pa.array(marked)).to_pylist(), behind[marked].tolist(), strict=True)]
-        kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
-        other = words.filter(pc.invert(plain)).to_pylist()
-        heads = coded.dictionary.to_pylist()
+            self.known, self.before = {}, self.known
         # a space keeps whole chunks apart from words, whose spelling never has one
-        each = [*self._each(heads, self._word), *self._each(list(kinds), self._word), *self._each(other, self._whole, " "), b""]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4)])
-        pool = np.frombuffer(b"".join(each), dtype=np.uint32)
-        # a chunk is two runs of the pool: a word or a whole chunk, and marks or nothing
-        runs = np.full((len(words), 2), len(each) - 1, dtype=np.int64)
-        is_plain = plain.to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(is_plain)
-        runs[at, 0] = coded.indices.to_numpy(zero_copy_only=False)
-        runs[at[marked], 1] = len(heads) + np.fromiter((kinds[t] for t in tails), dtype=np.int64, count=len(tails))
-        runs[~is_plain, 0] = len(heads) + len(kinds) + np.arange(len(other))
-        ids, ends = gather(pool, bounds, runs.ravel())
-        return ids, np.concatenate([[0], ends[1::2]])
+        return assemble(words, lambda w: self._each(w, self._word), lambda w: self._each(w, self._whole, " "), True)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, flat, as uint32, and each text's bounds in them."""
