@@ -6,10 +6,11 @@ import datetime
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
 from meridia.functions.compile import Panel
 from meridia.operators.asof import next_days
@@ -278,54 +279,68 @@ def variable_lag_sum(df: DataFrame, panel: Panel, x: str, lag: str, name: str) -
     return met.withColumn(name, F.when(F.col("__n") - n0 == F.col(lag), F.col("__s") - s0)).drop("__i", "__j", "__s", "__n", "__s0", "__n0")
 
 
+def series_features(day: np.ndarray, segment: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, volume: np.ndarray, position: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
+    """Of one series in order, what needs no other day's deviation or profile: r, the windowed features, and ``before``, the
+    vol_ewma of the bar before. Rolling sums, extremes and deviations cost the same whatever the width of their window."""
+    n = len(close)
+    same = np.concatenate([[False], segment[1:] == segment[:-1]])
+    logs = np.log(close)
+    r = np.where(same, logs - np.concatenate([[np.nan], logs[:-1]]), np.nan)
+    _, which, count = np.unique(day, return_inverse=True, return_counts=True)
+    per_day = count[which]
+    vol_ewma = np.sqrt(ewm_varying(r * r, per_day.astype(float)))
+    short, long = ewm_halflife(volume, 60), ewm_halflife(volume, 1200)
+    out = {"r": r, "vol_ewma": vol_ewma, "before": np.concatenate([[np.nan], vol_ewma[:-1]]), "vol_ratio": np.divide(short, long, out=np.full(n, np.nan), where=long > 0)}
+    prices = pd.Series(close)
+    for w in (5, 15, 60):
+        out[f"ret_{w}m"] = pd.Series(r).rolling(w).sum().to_numpy()
+    for w in (60, 240, 1200):
+        rolled = prices.rolling(w)
+        spread = rolled.std(ddof=0).to_numpy()
+        out[f"z_{w}"] = np.divide(close - rolled.mean().to_numpy(), spread, out=np.full(n, np.nan), where=spread > 0)
+    for w in (1, 15, 60):
+        reach = (pd.Series(high).rolling(w).max() - pd.Series(low).rolling(w).min()).to_numpy()
+        out[f"range_{w}"] = np.divide(reach, close, out=np.full(n, np.nan), where=(close != 0) & ~np.isnan(prices.rolling(w).sum().to_numpy()))
+    # a day back is as many bars back as the day has
+    start = np.arange(n) - per_day
+    sums, known = np.concatenate([[0.0], np.cumsum(np.nan_to_num(r))]), np.concatenate([[0], np.cumsum(~np.isnan(r))])
+    first = np.maximum(start + 1, 0)
+    whole = (start >= -1) & (known[1:] - known[first] == per_day)
+    out["ret_1d"] = np.where(whole, sums[1:] - sums[first], np.nan)
+    past = np.maximum(start, 0)
+    there = (start >= 0) & (segment[past] == segment) & (position[past] > 0) & ~(near > 0)
+    out["oi_chg_1d"] = np.divide(position, position[past], out=np.full(n, np.nan), where=there) - 1
+    return out
+
+
 def features(bars: DataFrame, product: str = "product", day: str = "day", segment: str = "segment", order: str = "bob", close: str = "close", high: str = "close", low: str = "close", volume: str = "volume", position: str = "volume", slot: str = "slot", template: str = "template", breaks: dict[str, datetime.date] | None = None) -> DataFrame:
     """The fourteen panel features of traded bars: x_std, vol_ewma, ret_5m, ret_15m, ret_60m, ret_1d,
     oi_chg_1d, z_60, z_240, z_1200, vol_ratio, range_1, range_15, range_60. Windows count traded bars.
     A day's bar count is the half-life of vol_ewma and the reach of the daily changes.
 
     ``breaks`` are days on which an exchange changed how it counts, by product: oi_chg_1d is null on bars within three days of
-    one, and on the bar behind the last of these. The averages are computed once and written, with prefix sums beside
-    them; a row then meets the row a day before it in one join."""
+    one, and on the bar behind the last of these. One pass over each product's series, written once, gives all but x_std, whose
+    deviations and profiles are aggregates of days."""
     p = Panel((product,), (order,), (order,))
-    w = p.rows()
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    same = F.lag(segment).over(w) == F.col(segment)
-    df = bars.withColumn("r", F.when(same, F.ln(F.col(close)) - F.ln(F.lag(close).over(w))))
-    df = df.withColumn("bars_per_day", F.count(F.lit(1)).over(Window.partitionBy(product, day)).cast("double"))
-    df = df.withColumn("__r2", F.col("r") * F.col("r")).withColumn("__vol", F.col(volume).cast("double"))
-
-    def averages(r2: np.ndarray, half: np.ndarray, vol: np.ndarray) -> list[np.ndarray]:
-        short, long = ewm_halflife(vol, 60), ewm_halflife(vol, 1200)
-        return [np.sqrt(ewm_varying(r2, half)), np.divide(short, long, out=np.full(len(vol), np.nan), where=long > 0)]
-
-    df = per_series(df, p, ["__r2", "bars_per_day", "__vol"], {"vol_ewma": DoubleType(), "vol_ratio": DoubleType()}, averages).drop("__r2", "__vol")
-    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__s", F.coalesce(F.sum("r").over(so_far), F.lit(0.0))).withColumn("__n", F.count("r").over(so_far)).withColumn("__before", F.lag("vol_ewma").over(w))
-    for n in (5, 15, 60):
-        df = df.withColumn(f"ret_{n}m", strict_sum(F.col("r"), p, n))
-    for n in (60, 240, 1200):
-        f = p.last(n)
-        sd = F.stddev_pop(close).over(f)
-        df = df.withColumn(f"z_{n}", F.when((F.count(close).over(f) == n) & (sd > 0), (F.col(close) - F.avg(close).over(f)) / F.when(sd > 0, sd)))
-    for n in (1, 15, 60):
-        f = p.last(n)
-        df = df.withColumn(f"range_{n}", F.when((F.count(close).over(f) == n) & (F.col(close) != 0), (F.max(high).over(f) - F.min(low).over(f)) / F.when(F.col(close) != 0, F.col(close))))
+    near = F.lit(0.0)
     if breaks:
         at = F.create_map(*[F.lit(v) for k, b in breaks.items() for v in (k, b)])[F.col(product).cast("string")]
-        near = F.coalesce(F.abs(F.datediff(day, at)) <= 3, F.lit(False))
-        df = df.withColumn("__near", near).withColumn("__near", F.col("__near") | F.coalesce(F.lag("__near").over(w), F.lit(False)))
-    else:
-        df = df.withColumn("__near", F.lit(False))
-    df = rows = written(df, "features")
-    past = df.select(F.col(product).alias("__p"), F.col("__i").alias("__j"), F.col("__s").alias("__s0"), F.col("__n").alias("__n0"), F.col(position).cast("double").alias("__p0"), F.col(segment).alias("__seg0"))
-    reach = F.col("__i") - F.col("bars_per_day").cast("int")
-    df = df.join(past, (F.col(product) == F.col("__p")) & (reach == F.col("__j")), "left")
-    known = F.when(reach == 0, 0).otherwise(F.col("__n0"))
-    df = df.withColumn("ret_1d", F.when(F.col("__n") - known == F.col("bars_per_day"), F.col("__s") - F.when(reach == 0, 0.0).otherwise(F.col("__s0"))))
-    change = F.col(position) / F.when(F.col("__p0") > 0, F.col("__p0")) - 1
-    df = df.withColumn("oi_chg_1d", F.when((F.col("__seg0") == F.col(segment)) & (F.col("__p0") > 0) & ~F.col("__near"), change))
-    df = df.join(daily_sigma(rows, product, day, "r"), [product, day], "left").join(seasonal_profile(rows, [product, template], day, slot, "r"), [product, template, day, slot], "left")
+        near = F.coalesce(F.abs(F.datediff(day, at)) <= 3, F.lit(False)).cast("double")
+    # which day and which segment, as numbers
+    label = lambda c: F.col(c).cast("double") if isinstance(bars.schema[c].dataType, NumericType) else F.xxhash64(c).cast("double")
+    staged = bars.withColumn("__day", label(day)).withColumn("__seg", label(segment)).withColumn("__near", near)
+    names = ["r", "vol_ewma", "before", "vol_ratio", "ret_5m", "ret_15m", "ret_60m", "z_60", "z_240", "z_1200", "range_1", "range_15", "range_60", "ret_1d", "oi_chg_1d"]
+
+    def run(day, segment, close, high, low, volume, position, near):
+        near = np.maximum(near, np.concatenate([[0.0], near[:-1]]))
+        found = series_features(day, segment, close, high, low, volume, position, near)
+        return [found[name] for name in names]
+
+    inputs = ["__day", "__seg", close, high, low, volume, position, "__near"]
+    targets = {("__before" if name == "before" else name): DoubleType() for name in names}
+    df = written(per_series(staged, p, inputs, targets, run).drop("__day", "__seg", "__near"), "features")
+    out = df.join(daily_sigma(df, product, day, "r"), [product, day], "left").join(seasonal_profile(df, [product, template], day, slot, "r"), [product, template, day, slot], "left")
     # greatest and least pass over nulls: a bar without a return has none
     cut = F.when(F.col("r").isNotNull(), F.greatest(-5 * F.col("sigma"), F.least(5 * F.col("sigma"), F.col("r"))))
     scale = F.col("__before") * F.coalesce("profile", F.lit(1.0))
-    df = df.withColumn("x_std", F.when(scale > 0, F.coalesce(cut, F.col("r")) / F.when(scale > 0, scale)))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return out.withColumn("x_std", F.when(scale > 0, F.coalesce(cut, F.col("r")) / F.when(scale > 0, scale))).drop("__before")

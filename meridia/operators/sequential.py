@@ -45,10 +45,11 @@ def _doubles(column) -> np.ndarray:
     return np.asarray(column.cast(pa.float64()).to_pandas(), dtype=float)
 
 
-def per_series(df: DataFrame, panel: Panel, inputs: list[str], outputs: dict[str, object], function) -> DataFrame:
+def per_series(df: DataFrame, panel: Panel, inputs: list[str], outputs: dict[str, object], function, together: bool = False) -> DataFrame:
     """Adds columns: ``function`` gets the inputs of one series in order, as double arrays with NaN for
     null, and returns an array per output. Partitions hold whole series, sorted; they stream through,
-    and one series at a time is in memory."""
+    and a batch and one series at a time are in memory. With ``together`` it gets the series of a batch at once, behind an array of
+    their numbers, so that many short ones cost one call."""
     schema = StructType([*df.schema.fields, *(StructField(k, t) for k, t in outputs.items())])
     keyed = df.withColumn("__series", F.xxhash64(*panel.series))
     dealt = keyed.repartition(*panel.series).sortWithinPartitions(*panel.series, *panel.order)
@@ -57,7 +58,10 @@ def per_series(df: DataFrame, panel: Panel, inputs: list[str], outputs: dict[str
         key = table["__series"].to_numpy()
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         columns = [_doubles(table[c]) for c in inputs]
-        parts = [function(*[c[lo:hi] for c in columns]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        if together:
+            parts = [function(np.repeat(np.arange(len(edges) - 1), np.diff(edges)), *columns)]
+        else:
+            parts = [function(*[c[lo:hi] for c in columns]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         table = table.drop_columns(["__series"])
         for k, (name, kind) in enumerate(outputs.items()):
             values = np.concatenate([p[k] for p in parts])
@@ -90,8 +94,14 @@ def exponentials(df: DataFrame, panel: Panel, wanted: dict[str, tuple[str, str,
     """Adds exponential averages, target: (source, kind, number), in one pass over the series; kind is halflife (unadjusted) or
     adjusted (by its alpha)."""
     sources = sorted({source for source, _, _ in wanted.values()})
-    jobs = [(sources.index(source), ewm_halflife if kind == "halflife" else ewm_adjusted, number) for source, kind, number in wanted.values()]
-    return per_series(df, panel, sources, {target: DoubleType() for target in wanted}, lambda *x: [f(x[i], number) for i, f, number in jobs])
+    how = {"halflife": lambda h: {"halflife": h, "adjust": False, "ignore_na": True}, "adjusted": lambda a: {"alpha": a, "adjust": True, "ignore_na": False}}
+    jobs = [(sources.index(source), how[kind](number)) for source, kind, number in wanted.values()]
+
+    def run(series: np.ndarray, *x: np.ndarray) -> list[np.ndarray]:
+        # series lie one behind the other, so the groups come in the order of the rows
+        return [pd.Series(x[i]).groupby(series, sort=False).ewm(**rule).mean().to_numpy() for i, rule in jobs]
+
+    return per_series(df, panel, sources, {target: DoubleType() for target in wanted}, run, together=True)
 
 
 def exponential(df: DataFrame, source: str, target: str, panel: Panel, kind: str, number: float) -> DataFrame:
