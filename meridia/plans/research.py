@@ -80,12 +80,29 @@ def leadlag_permutation(spark, sf_dir):
     return p.select("leader", "follower", r5(F.col("a_stat")).alias("a_stat"), r5(F.col("p_value")).alias("p_value"))
 
 
-@query("leadlag_validate", None)
+_SPANS = [("2024-01-01", "2024-01-16"), ("2024-01-05", "2024-01-21"), ("2024-01-10", "2024-01-26"), ("2024-01-01", "2024-01-30")]
+_GRAM = "sum(a.x * b.x) AS s_xy, sum(a.x * a.x) AS s_x2m, sum(b.x * b.x) AS s_mx2"
+_VALIDATE_SQL = f"""{_GRID_SQL}, w(ws, we) AS (VALUES {', '.join(f"(DATE '{a}', DATE '{b}')" for a, b in _SPANS)}), own AS (SELECT ws, we, pn.* FROM pn JOIN w ON segment BETWEEN ws AND we),
+dl AS (SELECT ws, we, segment, count(DISTINCT pos) AS n FROM own GROUP BY ALL), ch AS (SELECT *, CASE WHEN lag(n) OVER (PARTITION BY ws, we ORDER BY segment) <> n THEN 1 ELSE 0 END AS c FROM dl), st AS (SELECT ws, we, segment, sum(c) OVER (PARTITION BY ws, we ORDER BY segment) AS stratum FROM ch),
+dy AS (SELECT *, row_number() OVER (PARTITION BY ws, we, stratum ORDER BY segment) - 1 AS k, count(*) OVER (PARTITION BY ws, we, stratum) AS days FROM st),
+dr AS (SELECT ws, we, draw, stratum, days, CASE WHEN days >= 4 THEN 2 + CAST('0x' || substr(md5(concat_ws(':', 42, draw, CAST(stratum AS BIGINT), ws, we)), 1, 12) AS BIGINT) % (days - 3) ELSE 0 END AS o FROM (SELECT DISTINCT ws, we, stratum, days FROM dy), (SELECT unnest(range(1, 51)) AS draw)),
+pr AS (SELECT DISTINCT ws, we, a.stratum, o, a.segment AS d1, b.segment AS d2 FROM dy a JOIN dr USING (ws, we, stratum) JOIN dy b USING (ws, we) WHERE b.stratum = a.stratum AND b.k = (a.k + o) % a.days),
+g2 AS (SELECT pr.ws, pr.we, stratum, o, a.product AS leader, b.product AS follower, lag, {_GRAM} FROM pr JOIN pn a ON a.segment = d1 CROSS JOIN (VALUES (1), (2), (3)) t(lag) JOIN pn b ON b.segment = d2 AND b.pos = a.pos + lag WHERE a.product <> b.product GROUP BY ALL),
+gd AS (SELECT ws, we, draw, leader, follower, lag, sum(s_xy) AS s_xy, sum(s_x2m) AS s_x2m, sum(s_mx2) AS s_mx2 FROM dr JOIN g2 USING (ws, we, stratum, o) GROUP BY ALL),
+one AS (SELECT ws, we, draw, leader, follower, {_A_SQL} FROM gd GROUP BY ALL), nul AS (SELECT a.ws, a.we, a.draw, a.leader, a.follower, a.total - coalesce(b.total, 0) AS a_stat FROM one a LEFT JOIN one b ON a.ws = b.ws AND a.we = b.we AND a.draw = b.draw AND a.leader = b.follower AND a.follower = b.leader),
+go AS (SELECT a.ws, a.we, a.product AS leader, b.product AS follower, lag, {_GRAM} FROM own a CROSS JOIN (VALUES (1), (2), (3)) t(lag) JOIN own b ON b.ws = a.ws AND b.we = a.we AND b.segment = a.segment AND b.pos = a.pos + lag WHERE a.product <> b.product GROUP BY ALL),
+oo AS (SELECT ws, we, leader, follower, {_A_SQL} FROM go GROUP BY ALL), ob AS (SELECT a.ws, a.we, a.leader, a.follower, a.total - coalesce(b.total, 0) AS a_stat FROM oo a LEFT JOIN oo b ON a.ws = b.ws AND a.we = b.we AND a.leader = b.follower AND a.follower = b.leader),
+pv AS (SELECT o.ws, o.we, o.leader, o.follower, o.a_stat, (1 + count(*) FILTER (WHERE abs(n.a_stat) >= abs(o.a_stat) - 1e-12)) / 51.0 AS p, CASE WHEN (o.leader, o.follower) IN ((0, 1), (1, 0), (2, 3), (3, 2)) THEN 'A' ELSE 'B' END AS family FROM ob o JOIN nul n USING (ws, we, leader, follower) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ws, we, family ORDER BY p) AS i, count(*) OVER (PARTITION BY ws, we, family) AS m FROM pv),
+ed AS (SELECT *, least(1, min(p * m / i) OVER (PARTITION BY ws, we, family ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM rk),
+sb AS (SELECT e.ws, e.we, e.leader, e.follower, avg(CASE WHEN sign(b.a_stat) = sign(e.a_stat) AND b.q <= 0.1 THEN 1.0 ELSE 0.0 END) AS stability FROM ed e JOIN ed b ON b.leader = e.leader AND b.follower = e.follower AND b.we < e.we GROUP BY ALL)"""
+
+
+@query("leadlag_validate", f"WITH {_VALIDATE_SQL} SELECT e.ws AS window_start, e.we AS window_end, e.leader, e.follower, family, {sql5('a_stat', 'a_stat')}, {sql5('p', 'p_value')}, {sql5('q', 'q_value')}, {sql5('coalesce(stability, 0)', 'stability')}, (family = 'A' AND q <= 0.05) OR (family = 'B' AND q <= 0.1) AS validated FROM ed e LEFT JOIN sb USING (ws, we, leader, follower)")
 def leadlag_validate(spark, sf_dir):
     """Edges of three overlapping windows and of the whole month, each with its own null."""
     grid = _lag_grid(spark, sf_dir)
-    spans = [("2024-01-01", "2024-01-16"), ("2024-01-05", "2024-01-21"), ("2024-01-10", "2024-01-26"), ("2024-01-01", "2024-01-30")]
-    windows = spark.createDataFrame(spans, "a string, b string").select(F.to_date("a").alias("window_start"), F.to_date("b").alias("window_end"))
+    windows = spark.createDataFrame(_SPANS, "a string, b string").select(F.to_date("a").alias("window_start"), F.to_date("b").alias("window_end"))
     priors = spark.createDataFrame([(0, 1), (2, 3)], "leader bigint, follower bigint")
     e = stats.validated_edges(grid, windows, [1, 2, 3], priors, 50, 2)
     return e.select("window_start", "window_end", "leader", "follower", "family", *[r5(F.col(c)).alias(c) for c in ("a_stat", "p_value", "q_value", "stability")], "validated")
