@@ -382,16 +382,40 @@ def graph_neighbours(spark, sf_dir):
 
 # --- search --------------------------------------------------------------------------------------
 
-@query("search_generation", None)
-def search_generation(spark, sf_dir):
-    """A generation of mutated seeds scored in one plan: its daily correlation with the next close."""
+def _generation():
+    """A seed and its mutations, without repeats."""
     rng = random.Random(7)
     space = Space(("close", "volume"), windows=(3, 5, 8))
     seed = parse_sexpr("(sub (ts_mean :3 close) (ts_mean :8 close))")
-    trees = {f"c{i}": t for i, t in enumerate([seed] + [point_mutate(seed, space, rng) for _ in range(7)])}
-    b = bars(spark, sf_dir)
-    out = compile_formulas(b, trees, K.MINING, Panel(("product",), ("bob",))).withColumn("y", F.lead("close").over(_P.rows()) - F.col("close"))
-    both = out.select("day", "y", F.explode(F.array(*[F.struct(F.lit(str(t)).alias("formula"), F.col(k).alias("x")) for k, t in trees.items()])).alias("f")).select("day", "y", "f.*")
+    trees = [seed] + [point_mutate(seed, space, rng) for _ in range(7)]
+    return list({str(t): t for t in trees}.values())
+
+
+def _in_sql(n) -> str:
+    """The formulas of the generation in SQL: sums and differences of windows, each value bounded."""
+    if n.op in ("ts_mean", "ts_std"):
+        w = f"OVER (PARTITION BY product ORDER BY bob ROWS BETWEEN {n.params[0] - 1} PRECEDING AND CURRENT ROW)"
+        x = n.children[0].params[0]
+        value = f"CASE WHEN count({x}) {w} = {n.params[0]} THEN {'avg' if n.op == 'ts_mean' else 'stddev_pop'}({x}) {w} END"
+    else:
+        value = f" {'+' if n.op == 'add' else '-'} ".join(map(_in_sql, n.children))
+    return f"greatest(-1e6, least(1e6, coalesce({value}, 0)))"
+
+
+def _generation_sql() -> str:
+    trees = _generation()
+    columns = ", ".join(f"{_in_sql(t)} AS c{i}" for i, t in enumerate(trees))
+    ic = lambda i: sql5(f"CASE WHEN stddev_pop(c{i}) FILTER (WHERE y IS NOT NULL) > 1e-9 THEN corr(c{i}, y) END", "ic")
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS formula, {ic(i)}, CAST(count(y) AS BIGINT) AS n FROM x" for i, t in enumerate(trees))
+    return f"WITH {BARS_SQL}, x AS (SELECT lead(close) OVER (PARTITION BY product ORDER BY bob) - close AS y, {columns} FROM bars) {rows}"
+
+
+@query("search_generation", _generation_sql())
+def search_generation(spark, sf_dir):
+    """A generation of mutated seeds scored in one plan: its correlation with the next close."""
+    trees = {f"c{i}": t for i, t in enumerate(_generation())}
+    out = compile_formulas(bars(spark, sf_dir), trees, K.MINING, Panel(("product",), ("bob",))).withColumn("y", F.lead("close").over(_P.rows()) - F.col("close"))
+    both = out.select("y", F.explode(F.array(*[F.struct(F.lit(str(t)).alias("formula"), F.col(k).alias("x")) for k, t in trees.items()])).alias("f")).select("y", "f.*")
     return both.groupBy("formula").agg(r5(K.correlation(F.col("x"), F.col("y"))).alias("ic"), F.count("y").alias("n"))
 
 
