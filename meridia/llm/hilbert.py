@@ -104,7 +104,7 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 16, dims: int = 8, bits: int = 6, window: float = 0.0625, seed: int = 7) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 20, dims: int = 8, bits: int = 6, window: float = 0.0625, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k nearest
     found by Euclidean distance, itself left out; ties go to the smaller id. Fewer rows than k give
     what there is; see ``usable_vectors`` for what takes part."""
