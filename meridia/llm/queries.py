@@ -125,6 +125,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS sig FROM sh GROUP BY doc_id),
+cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, sig) AS class_id FROM sets),
+own AS (SELECT sh.doc_id, s, n FROM sh JOIN cls USING (doc_id) WHERE sh.doc_id = class_id),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(node, other) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT r.node, e.v FROM reach r JOIN both_ways e ON e.u = r.other),
+root AS (SELECT node, min(other) AS root FROM reach GROUP BY node), deg AS (SELECT u, count(*) AS k FROM both_ways GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, class_id, d.doc_id) AS component_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(k, 0) AS n_links
+FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN root ON node = class_id LEFT JOIN deg ON deg.u = class_id
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+marked AS (SELECT words.doc_id, k, word, max(i) OVER (PARTITION BY words.doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN again ON again.doc_id = words.doc_id AND again.i = words.k),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_arrow_sequences": op2_arrow_sequences,
@@ -137,4 +162,4 @@ QUERIES = {
     "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op3_temporal_list_join": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_temporal_list_join": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op10_substring_dedup": OP10_SQL}
