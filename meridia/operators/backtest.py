@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from meridia.functions.compile import Panel
-from meridia.operators.sequential import per_series, positions
+from meridia.operators.sequential import positions, streamed
 
 INVALID = -10.0
 
@@ -24,10 +24,14 @@ def bands(signal: str, panel: Panel, lookback: int, least: int, low: float, high
 
 
 def with_positions(df: DataFrame, panel: Panel, signal: str, low: str, high: str, locked: str, segment: str, max_hold: int) -> DataFrame:
-    """Adds position. One series is read in order by one task."""
+    """Adds position. One series is read in order by one task, a batch at a time."""
     staged = df.withColumn("__lock", F.col(locked).cast("double")).withColumn("__seg", F.col(segment).cast("double"))
-    run = lambda s, lo, hi, k, g: [positions(s, lo, hi, k, g, max_hold)]
-    return per_series(staged, panel, [signal, low, high, "__lock", "__seg"], {"position": IntegerType()}, run).drop("__lock", "__seg")
+
+    def run(edges, state, *columns):
+        left: list = []
+        return [positions(*columns, max_hold, state, edges, left)], left[0]
+
+    return streamed(staged, panel, [signal, low, high, "__lock", "__seg"], {"position": IntegerType()}, run).drop("__lock", "__seg")
 
 
 def with_costs(df: DataFrame, costs: DataFrame, product: str = "product") -> DataFrame:
