@@ -116,20 +116,67 @@ def validated_edges(panel: DataFrame, windows: DataFrame, lags: list[int], prior
     return edges.withColumn("__past", past).withColumn("stability", F.when(n > 0, F.size(agree) / F.when(n > 0, n)).otherwise(0.0)).drop("__past")
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: added up to 64 terms, beyond them by the asymptotic series, as exact as doubles are."""
+    n = m.cast("double")
+    added = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(64)).cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    series = F.ln(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n) - 1 / (252 * n * n * n * n * n * n)
+    return F.when(m <= 64, added).otherwise(series)
+
+
 def false_discovery(df: DataFrame, p: str = "p_value", family: list[str] | None = None, dependent: bool = False, name: str = "q_value") -> DataFrame:
     """Step-up q-values in each family: p m / rank, from the largest down the least so far, at most 1.
-    ``dependent`` multiplies by the harmonic sum. A family is a table of pairs, not of raw rows."""
+    ``dependent`` multiplies by the harmonic sum. A family is a table of pairs, not of raw rows: those have
+    ``false_discovery_by_parts``. A null p counts in m, comes last and has 1."""
     family = family or []
     all_rows = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    w = all_rows.orderBy(F.col(p))
+    w = all_rows.orderBy(F.col(p).asc_nulls_last())
     m = F.count(F.lit(1)).over(all_rows)
-    factor = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k) if dependent else F.lit(1.0)
+    factor = harmonic(m) if dependent else F.lit(1.0)
     raw = F.col(p) * m * factor / F.row_number().over(w)
     staged = df.withColumn("__raw", raw).withColumn("__rank", F.row_number().over(w))
-    least = F.min("__raw").over(all_rows.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing))
+    # from the end: a frame to the end of the group would read the rest of it again for every row
+    least = F.min("__raw").over(all_rows.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
     return staged.withColumn(name, F.least(F.lit(1.0), least)).drop("__raw", "__rank")
 
 
+def false_discovery_by_parts(df: DataFrame, p: str = "p_value", family: list[str] | None = None, name: str = "q_value", dependent_name: str | None = None, parts: int = 128) -> DataFrame:
+    """As ``false_discovery``, for families of any size; ``dependent_name`` adds the dependent q-values. df is read several times.
+
+    A q-value depends on p alone, so distinct p are ranked, with their numbers of rows, in stretches between cuts that
+    all families share (the distinct p of the smallest hashes, the same on every reading). A table of families and
+    stretches tells how many rows lie before each and the least value behind it."""
+    family = family or []
+    every, place = family or [F.lit(0)], [*family, "__part"]
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        found = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & left[k].eqNullSafe(found[f"__r{i}"])
+        return left.join(found, on, "left").drop(*[f"__r{i}" for i in range(len(keys))])
+
+    cuts = df.select(p).where(F.col(p).isNotNull()).distinct().orderBy(F.xxhash64(p), p).limit(parts - 1).agg(F.array_sort(F.collect_list(p)).alias("__cuts"))
+    part = F.when(F.col(p).isNull(), parts).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(p))))
+    seen = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("__n")).crossJoin(F.broadcast(cuts)).withColumn("__part", part).drop("__cuts")
+    rising = Window.partitionBy(*every).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = seen.groupBy(*place).agg(F.sum("__n").alias("__rows"))
+    sizes = sizes.select(*place, F.coalesce(F.sum("__rows").over(rising), F.lit(0)).alias("__before"), F.sum("__rows").over(Window.partitionBy(*every)).alias("__m"))
+    inside = Window.partitionBy(*place).orderBy(F.col(p).asc_nulls_last())
+    ranked = met(seen, sizes, place).withColumn("__rank", F.col("__before") + F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
+    falling = Window.partitionBy(*every).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = ranked.groupBy(*place).agg(F.min("__raw").alias("__low"))
+    lows = lows.select(*place, F.min("__low").over(falling).alias("__behind"))
+    back = Window.partitionBy(*place).orderBy(F.col(p).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    least = F.least(F.min("__raw").over(back), F.col("__behind"))
+    values = met(ranked, lows, place).withColumn("__least", least)
+    wanted = [F.least(F.lit(1.0), F.col("__least")).alias(name)]
+    if dependent_name:
+        wanted.append(F.least(F.lit(1.0), F.col("__least") * harmonic(F.col("__m"))).alias(dependent_name))
+    return met(df, values.select(*family, p, *wanted), [*family, p])
+
+
 def stability(history: DataFrame, windows: int = 12, q_max: float = 0.1) -> DataFrame:
     """(leader, follower, stability, half_life) of rows (leader, follower, asof_date, a_stat, q_value):
     the share of the last windows that agree in sign with the newest and pass, and ln 2 / -ln phi of

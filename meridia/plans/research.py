@@ -122,7 +122,7 @@ def leadlag_false_discovery(spark, sf_dir):
 
 def _discoveries(o):
     t = o.select(F.col("o_orderkey").alias("k"), (((F.col("o_orderkey") * 7919) % 10007) / 10007.0).alias("p"), F.when(F.col("o_custkey") % 3 == 0, "A").otherwise("B").alias("family"))
-    q = stats.false_discovery(stats.false_discovery(t, "p", ["family"], name="bh"), "p", ["family"], dependent=True, name="by_q")
+    q = stats.false_discovery_by_parts(t, "p", ["family"], name="bh", dependent_name="by_q")
     ok = ((F.col("family") == "A") & (F.col("bh") <= 0.05)) | ((F.col("family") == "B") & (F.col("bh") <= 0.10))
     return q.select("k", "family", r5(F.col("bh")).alias("bh"), r5(F.col("by_q")).alias("by_q"), ok.alias("validated"))
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,37 @@ def test_false_discovery_vector(spark):
     assert by[0] == pytest.approx(0.008 * sum(1 / k for k in range(1, 9)))
 
 
+def test_false_discovery_of_large_families(spark):
+    """Families of raw rows against numpy: in seconds, with ties, nulls and values that crowd at one end."""
+    rng = np.random.default_rng(5)
+    n = 60000
+    p = np.where(np.arange(n) % 3 == 0, np.round(rng.uniform(size=n), 2), rng.uniform(size=n) ** 8)
+    gone = np.arange(n) % 1000 == 7
+    family = np.where(np.arange(n) % 4 == 0, "a", "b")
+    rows = [(int(i), None if gone[i] else float(p[i]), None if family[i] == "a" else "b") for i in range(n)]
+    df = spark.createDataFrame(rows, "i int, p double, family string")
+    want = {}
+    for f in ("a", "b"):
+        own = np.flatnonzero(family == f)
+        own = own[np.argsort(np.where(gone[own], np.inf, p[own]), kind="stable")]
+        m = len(own)
+        raw = np.where(gone[own], np.inf, p[own]) * m / np.arange(1, m + 1)
+        least = np.minimum.accumulate(raw[::-1])[::-1]
+        total = float(np.sum(1 / np.arange(1, m + 1)))
+        want |= {int(i): (min(1.0, a), min(1.0, a * total)) for i, a in zip(own, least, strict=True)}
+    got = stats.false_discovery_by_parts(df, "p", ["family"], "bh", "by_q").collect()
+    assert len(got) == n
+    assert all(r.bh == pytest.approx(want[r.i][0]) and r.by_q == pytest.approx(want[r.i][1]) for r in got)
+    began = time.time()
+    by = stats.false_discovery(df, "p", ["family"], dependent=True).collect()
+    assert time.time() - began < 20 and all(r.q_value == pytest.approx(want[r.i][1]) for r in by)
+
+
+def test_harmonic_sum(spark):
+    got = {r.m: r.h for r in spark.range(1, 200).select(F.col("id").alias("m"), stats.harmonic(F.col("id")).alias("h")).collect()}
+    assert all(h == pytest.approx(sum(1 / k for k in range(1, m + 1)), rel=1e-14) for m, h in got.items())
+
+
 def test_planted_lag_is_found(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=2000)
