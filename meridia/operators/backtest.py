@@ -16,11 +16,52 @@ class UndeclaredCostsError(ValueError):
     """A product without declared costs."""
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a b + c, rounded once: the product's and the sum's own errors are added last. Very large and undefined a: as it comes."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        wide = x * 134217729.0
+        high = wide - (wide - x)
+        return high, x - high
+
+    def added(s: Column) -> Column:
+        (ah, al), (bh, bl) = halves(s["a"]), halves(s["b"])
+        lost = ((ah * bh - s["p"]) + ah * bl + al * bh) + al * bl
+        return _let(F.struct(s["p"].alias("p"), s["c"].alias("c"), lost.alias("e"), (s["p"] + s["c"]).alias("s")), rounded)
+
+    def rounded(s: Column) -> Column:
+        back = s["s"] - s["p"]
+        return s["s"] + ((s["p"] - (s["s"] - back)) + (s["c"] - back) + s["e"])
+
+    exact = _let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), (a * b).alias("p")), added)
+    return F.when((F.abs(a) < 1e290) & (F.abs(c) < 1e290), exact).otherwise(a * b + c)
+
+
+def sorted_quantile(values: Column, q: float) -> Column:
+    """The quantile between two neighbours of a sorted array, as quantile_cont has it to the last place: a signal that lies on
+    a bound must not be told from it by a rounding."""
+
+    def between(s: Column) -> Column:
+        return F.when(s["d"] == 0, s["lo"]).otherwise(_fused(s["lo"], 1 - s["d"], s["hi"] * s["d"]))
+
+    def met(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(float(q))
+        return _let(F.struct(F.get(v, F.floor(at).cast("int")).alias("lo"), F.get(v, F.ceil(at).cast("int")).alias("hi"), (at - F.floor(at)).alias("d")), between)
+
+    return _let(values, met)
+
+
 def bands(signal: str, panel: Panel, lookback: int, least: int, low: float, high: float) -> tuple[Column, Column]:
     """Quantiles of the ``lookback`` rows before each, null with fewer than ``least`` known."""
     w = panel.rows(-lookback, -1)
     enough = F.count(signal).over(w) >= least
-    return F.when(enough, F.percentile(signal, low).over(w)), F.when(enough, F.percentile(signal, high).over(w))
+    known = F.sort_array(F.collect_list(F.col(signal).cast("double")).over(w))
+    return F.when(enough, sorted_quantile(known, low)), F.when(enough, sorted_quantile(known, high))
 
 
 def with_positions(df: DataFrame, panel: Panel, signal: str, low: str, high: str, locked: str, segment: str, max_hold: int) -> DataFrame:

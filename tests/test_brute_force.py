@@ -146,6 +146,27 @@ def test_backtest(spark, sf):
         assert abs(r.net - net) < 2e-5 and r.turnover == turn and abs(r.time_in - inside / n) < 2e-5
 
 
+def test_backtest_of_signals_on_a_bound(spark, tmp_path):
+    """Signals that lie on their bound or a last place beside it: positions are those of the SQL."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from oracle import same
+
+    past = [
+        [112.85, 62.46, 49.96, 41.04, 34.97, 23.1, 18.82, 17.75, 16.83, 13.81, 10.43, 9.99, 9.1, 7.45, 7.41, 6.64, 5.03, 3.16, 2.36, 1.01],
+        [116.81, 92.16, 89.36, 74.4, 72.49, 68.08, 55.81, 44.05, 40.57, 40.1, 29.65, 24.48, 23.43, 19.87, 19.59, 17.63, 10.41, 5.69, 3.77, 2.61],
+        [186.85, 148.34, 97.04, 71.09, 68.3, 53.12, 50.66, 49.98, 48.54, 48.05, 47.96, 47.75, 47.22, 45.58, 36.94, 30.66, 16.87, 16.41, 14.22, 1.6],
+    ]
+    series = [[*rows, last, 10.0, 20.0] for rows, last in zip(past, [51.21, 89.64, 102.17], strict=True)] + [[7.3] * 24, [0.1] * 12 + [0.7] * 9]
+    rows = [(k, v) for k, values in enumerate(series) for v in values]
+    at = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i) for i in range(len(rows))]
+    pq.write_table(pa.table({"event_id": range(len(rows)), "ts": pa.array(at, pa.timestamp("us")), "user_id": [k for k, _ in rows], "event_type": ["view"] * len(rows), "value": [v for _, v in rows], "props": ['{"k": 1}'] * len(rows)}), f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    same(registry.QUERIES["state_backtest"](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES["state_backtest"]).fetchdf())
+
+
 def test_generation_gives_what_each_formula_gives(spark, sf):
     """One formula by pandas, and every formula by itself."""
     got = {r.formula: (r.ic, r.n) for r in registry.QUERIES["search_generation"](spark, sf).collect()}
