@@ -269,6 +269,14 @@ def pareto_front(df: DataFrame, low: str, high: str, parts: int = 256) -> DataFr
     return front(front(best, F.pmod(F.xxhash64(low), F.lit(parts))), F.lit(0))
 
 
+def ordered_sums(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataFrame:
+    """(keys, x): sums of doubles added in ``order``, whatever the partitions. Values that cancel leave 0 or a last place,
+    by the order in which they are added, and a count of results above or other than 0 tells these apart."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    path = df.select(*keys, F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(x), F.lead(F.lit(1)).over(w).alias("__more"))
+    return path.where(F.col("__more").isNull()).drop("__more")
+
+
 def daily_metrics(df: DataFrame, key: str, day: str, pnl: str, periods: float = 252.0) -> DataFrame:
     """Per key: n, total, mean, volatility, sharpe, sortino, max_drawdown, calmar, hit_rate,
     profit_factor, skew, excess_kurtosis. Undefined ratios are 0; a profit factor without losses 999."""

@@ -399,7 +399,7 @@ SELECT product, CAST(n AS BIGINT) AS n, {sql5('total', 'total')}, {sql5(_RATIO.f
 
 @query("metric_suite", _METRICS_SQL)
 def metric_suite(spark, sf_dir):
-    d = bars(spark, sf_dir).groupBy("product", "day").agg((F.sum(F.col("close") - 50) / 100).alias("r"))
+    d = stats.ordered_sums(bars(spark, sf_dir).withColumn("x", F.col("close") - 50), ["product", "day"], ["bob", "event_id"], "x").select("product", "day", (F.col("x") / 100).alias("r"))
     m = stats.daily_metrics(d, "product", "day", "r")
     return m.select("product", "n", *[r5(F.col(c)).alias(c) for c in ("total", "sharpe", "sortino", "max_drawdown", "calmar", "hit_rate", "profit_factor")])
 

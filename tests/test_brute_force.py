@@ -167,6 +167,27 @@ def test_backtest_of_signals_on_a_bound(spark, tmp_path):
     same(registry.QUERIES["state_backtest"](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES["state_backtest"]).fetchdf())
 
 
+def test_day_sums_that_cancel(spark, tmp_path):
+    """A day whose moves cancel counts as the SQL counts it, in whatever files its rows lie."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from oracle import same
+
+    days = [[1.2, 24.43, 27.32, 10.42, 186.63], [19.04, 93.91, 111.98, 18.03, 7.04]]
+    rows = [(i, p, v) for i, values in enumerate(zip(*days, strict=True)) for p, v in enumerate(values)]
+    at = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i) for i, _, _ in rows]
+    table = pa.table({"event_id": range(len(rows)), "ts": pa.array(at, pa.timestamp("us")), "user_id": [p for _, p, _ in rows], "event_type": ["view"] * len(rows), "value": [v for _, _, v in rows], "props": ['{"k": 1}'] * len(rows)})
+    (tmp_path / "events.parquet").mkdir()
+    pq.write_table(table.slice(0, 6), f"{tmp_path}/events.parquet/a.parquet")
+    pq.write_table(table.slice(6), f"{tmp_path}/events.parquet/b.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = registry.QUERIES["metric_suite"](spark, str(tmp_path)).toPandas()
+    same(got, con.execute(registry.ORACLES["metric_suite"]).fetchdf())
+    assert got.set_index("product").hit_rate.to_dict() == {0: 0.0, 1: 1.0}
+
+
 def test_generation_gives_what_each_formula_gives(spark, sf):
     """One formula by pandas, and every formula by itself."""
     got = {r.formula: (r.ic, r.n) for r in registry.QUERIES["search_generation"](spark, sf).collect()}
